@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import quality_rules, substring_dedup
 
-QUERIES = {"op6_substring_dedup": substring_dedup.op6_substring_dedup}
-ORACLES = {"op6_substring_dedup": substring_dedup.ORACLE}
+QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+}
+ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text of one numpy pass. A longer single text is its own pass.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Text of one Arrow batch; the session's own limit if that is smaller.
+BATCH_BYTES = 8 << 20
 #: The word of every corpus operator: a run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +66,14 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
     yield batch.slice(first)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of BATCH_BYTES at most, so that a worker's memory is bounded."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m")
+    if not re.fullmatch(r"\d+b?", now) or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def by_chunk(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """mapInArrow whose function sees one chunk of whole texts at a time."""
 
@@ -72,6 +83,7 @@ def by_chunk(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if (out := each(part)) is not None:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

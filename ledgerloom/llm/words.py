@@ -43,20 +43,21 @@ class Words:
         return np.concatenate([[0], np.cumsum(self.counts())])
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit polynomial hash of each word's bytes and length."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        power = np.full(int(size.max()) + 1, MUL)
-        power[0] = 1
-        power = np.cumprod(power)
-        edges = np.concatenate([[0], self.start, [len(self.buf)]])
-        at = np.arange(len(self.buf)) - np.repeat(edges[:-1], np.diff(edges))
-        blank = SPACE[self.buf]
-        at[blank] = 0
-        term = (self.buf.astype(np.uint64) + np.uint64(1)) * power[at]
-        term[blank] = 0
-        return mixed(np.add.reduceat(term, self.start) + size.astype(np.uint64) * MIX)
+        return range_hashes(self.buf, self.start, self.end)
+
+
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of the bytes and length of each range; ranges are in order, apart and not empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    power = np.full(int(size.max()) + 1, MUL)
+    power[0] = 1
+    power = np.cumprod(power)
+    term = np.zeros(len(buf), np.uint64)
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    term[at] = (buf[at].astype(np.uint64) + np.uint64(1)) * power[at - np.repeat(start, size)]
+    return mixed(np.add.reduceat(term, start) + size.astype(np.uint64) * MIX)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
