@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, quality_classifier, quality_rules, substring_dedup
+from . import ngram_join, packing, quality_classifier, quality_rules, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op3_ngram_join": ngram_join.ORACLE,
     "op6_substring_dedup": substring_dedup.ORACLE,
 }
