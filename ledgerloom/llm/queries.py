@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, quality_classifier, quality_rules, secret_scans, substring_dedup
+from . import language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scans, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_language_id": language_id.op9_language_id,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 ORACLES = {
