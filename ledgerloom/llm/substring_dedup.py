@@ -24,12 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, partitions_for
+from .shared import chunks, partitions_for, read, small_batches
 from .words import MUL, Words, inside, mixed, same_bytes, split_words, texts_of, take_ranges, windows, words_of
 
-K, M = 13, 4
+K, M = 13, 3
+#: Unpacked bytes of one bucket on average: what a task sorts at a time.
+BUCKET_BYTES = 6 << 20
 #: A packed chunk: bytes of words, then these arrays of one row per super-k-mer.
-_PACKED = "part int, n long, texts binary, doc binary, key binary, pos binary, spans binary"
+_PACKED = "bucket long, n long, texts binary, doc binary, key binary, pos binary, spans binary"
 
 
 def runs_of(words: Words, hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,9 +65,13 @@ def _joined(starts: np.ndarray, stops: np.ndarray, ids: np.ndarray) -> tuple[np.
     return starts[at], np.maximum.reduceat(stops, at), ids[at]
 
 
-def _spread(batches: Iterator[pa.RecordBatch], parts: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
+def _spread(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3).compress
+    names = [x.split()[0] for x in _PACKED.split(", ")]
+    types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
     for batch in batches:
+        out = []
+        held: dict[int, list[tuple]] = {}  # a batch's super-k-mers by bucket
         for rows in chunks(batch):
             rows = rows.take(pc.sort_indices(rows.column("doc_id")))
             words = words_of(rows.column("text"))
@@ -86,15 +92,14 @@ def _spread(batches: Iterator[pa.RecordBatch], parts: int, k: int, m: int) -> It
             alone[copy] = False
             in_doc, begin = words.doc[first], words.first()
             pos = first - begin[in_doc]
-            part = (least % np.uint64(parts)).astype(np.int32)
+            part = (least % np.uint64(buckets)).astype(np.int64)
             # copies in a larger doc_id of this chunk go, whatever the bucket finds; copies in the same one ask as well
             later = copy[doc[in_doc[copy]] > doc[in_doc[lead[copy]]]]
             alone[copy[doc[in_doc[copy]] == doc[in_doc[lead[copy]]]]] = True
             s, e, d = _joined(pos[later], pos[later] + size[later], in_doc[later])
-            out = []
             if len(s):
                 spans = np.stack([doc[d].astype(np.int64), key[d].astype(np.int64), s, e])
-                out.append((int(key[0] % parts), 0, b"", b"", b"", b"", spans.tobytes()))
+                out.append((int(key[0] % buckets), 0, b"", b"", b"", b"", spans.tobytes()))
             send = np.flatnonzero(alone)
             send = send[np.argsort(part[send], kind="stable")]
             cut = np.flatnonzero(np.diff(part[send], prepend=-1))
@@ -104,10 +109,12 @@ def _spread(batches: Iterator[pa.RecordBatch], parts: int, k: int, m: int) -> It
                 text = take_ranges(black.buf, at[rows_], n)
                 text[np.cumsum(n) - 1] = 10
                 arrays = (doc[in_doc[rows_]].astype(np.int64), key[in_doc[rows_]].astype(np.int64), pos[rows_].astype(np.int32))
-                out.append((int(part[rows_[0]]), len(rows_), press.compress(text.tobytes()), *(press.compress(x.tobytes()) for x in arrays), b""))
-            names = [x.split()[0] for x in _PACKED.split(", ")]
-            types = [pa.int32(), pa.int64()] + [pa.binary()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names) if out else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, types))))
+                held.setdefault(int(part[rows_[0]]), []).append((text, *arrays))
+        for bucket, parts in held.items():
+            packed = [press(np.concatenate(x).tobytes()) for x in zip(*parts)]
+            out.append((bucket, sum(len(x[1]) for x in parts), *packed, b""))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
 
 
 def _normal(words: Words) -> Words:
@@ -124,23 +131,25 @@ _SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("a", pa.int64(
 
 
 def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A partition: whole buckets. Sorts their windows and returns the spans of words that a smaller document has too."""
-    unpack = zstandard.ZstdDecompressor()
-    texts, docs, keys, places = [], [], [], []
+    """A partition: whole buckets in order. Each one's windows are sorted; out come the spans of words that a smaller document has too."""
+    rows: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
             if r["spans"]:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(r["spans"], np.int64).reshape(4, -1)], schema=_SPANS)
             if r["n"]:
-                texts.append(np.frombuffer(unpack.decompress(r["texts"]), np.uint8))
-                docs.append(np.frombuffer(unpack.decompress(r["doc"]), np.int64))
-                keys.append(np.frombuffer(unpack.decompress(r["key"]), np.int64))
-                places.append(np.frombuffer(unpack.decompress(r["pos"]), np.int32))
-    if not texts:
-        return
-    buf = np.concatenate(texts)
-    texts.clear()
-    doc, key, pos = np.concatenate(docs), np.concatenate(keys), np.concatenate(places).astype(np.int64)
+                if rows and rows[0]["bucket"] != r["bucket"]:
+                    yield _bucket(rows, k)
+                    rows = []
+                rows.append(r)
+    if rows:
+        yield _bucket(rows, k)
+
+
+def _bucket(rows: list[dict], k: int) -> pa.RecordBatch:
+    unpack = zstandard.ZstdDecompressor().decompress
+    column = lambda c, kind: np.concatenate([np.frombuffer(unpack(r[c]), kind) for r in rows])
+    buf, doc, key, pos = column("texts", np.uint8), column("doc", np.int64), column("key", np.int64), column("pos", np.int32).astype(np.int64)
     words = split_words(buf, np.concatenate([[0], np.flatnonzero(buf == 10) + 1]))
     own = windows(words.hashes(), k)
     at = np.flatnonzero(inside(words.doc, k))
@@ -166,7 +175,7 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
     hit = np.flatnonzero(bad)
     s = pos[run[hit]] + at[hit] - words.first()[run[hit]]
     s, e, r = _joined(s, s + k, run[hit])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[r], key[r], s, e)], schema=_SPANS)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[r], key[r], s, e)], schema=_SPANS)
 
 
 def _by_bytes(words: Words, at: np.ndarray, run: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
@@ -180,9 +189,11 @@ def _by_bytes(words: Words, at: np.ndarray, run: np.ndarray, doc: np.ndarray, k:
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """doc_id, key (hash of the text), a, b: spans of words of each document that windows of smaller documents cover."""
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
-    parts = partitions_for(docs, "text", 3.2, 48 << 20)
-    packed = rows.mapInArrow(lambda it: _spread(it, parts, k, m), _PACKED)
-    return packed.repartition(parts, "part").mapInArrow(lambda it: _count(it, k), "doc_id long, key long, a long, b long")
+    small_batches(docs.sparkSession)
+    parts = partitions_for(docs, "text", 3.0)
+    buckets = partitions_for(docs, "text", 3.0, BUCKET_BYTES)
+    packed = rows.mapInArrow(lambda it: _spread(it, buckets, k, m), _PACKED)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _count(it, k), "doc_id long, key long, a long, b long")
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -220,8 +231,6 @@ def dedup_substrings(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Digest of the whole table: see the module's docstring."""
-    from .shared import read
-
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
