@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, ngram_join, packing, quality_classifier, quality_rules, secret_scans, substring_dedup
+from . import language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, secret_scans, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_lm_scoring": lm_scoring.op4_lm_scoring,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_secret_scans": secret_scans.op7_secret_scans,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
