@@ -6,7 +6,11 @@ amount_cents, row_order (the order of the sheet).
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,54 +45,68 @@ def match_counts(tx: DataFrame, existing: DataFrame) -> DataFrame:
     return sums.where("n_tx > 0").withColumn("n_new", F.greatest(F.lit(0), F.col("n_tx") - F.col("n_slots")))
 
 
-def _use_up(tx: pd.DataFrame, slots: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: in file order each row takes the first free slot of its name, else of its counterparty, else any."""
-    tx = tx.sort_values("source_order", kind="stable")
-    slots = slots.sort_values("row_order", kind="stable")
-    free = list(zip(slots["_key"], slots["_party"], slots["description"]))
-    by_key: dict[str, list[int]] = {}
-    by_party: dict[str, list[int]] = {}
-    for i in range(len(free) - 1, -1, -1):
-        by_key.setdefault(free[i][0], []).append(i)
-        if free[i][1]:
-            by_party.setdefault(free[i][1], []).append(i)
-    any_slot = list(range(len(free) - 1, -1, -1))
-    used = [False] * len(free)
-
-    def take(stack: list[int] | None) -> int | None:
-        while stack and used[stack[-1]]:
-            stack.pop()
-        if not stack:
-            return None
-        used[i := stack.pop()] = True
-        return i
-
-    out = []
-    for key, party in zip(tx["_key"], tx["_party"]):
-        named = take(by_key.get(key))
-        if named is None and party:
-            named = take(by_party.get(party))
-        slot = take(any_slot) if named is None else named
-        out.append((slot is None, None if slot is None else free[slot][2], slot is not None and named is None))
-    rows = {c: tx[c].to_numpy(object) for c in tx.columns if c not in ("_key", "_party")}
-    for i, c in enumerate(("is_new", "recorded_as", "name_differs")):
-        rows[c] = [x[i] for x in out]
-    return pd.DataFrame(rows)
+class _Slots:
+    """Recorded rows of one bucket; each is taken once: the first free one of the name, else of the counterparty, else any."""
+
+    def __init__(self):
+        self.said: list[str] = []
+        self.queues: dict[tuple, deque[int]] = {}
+        self.used: list[bool] = []
+
+    def add(self, key: str, party: str, said: str) -> None:
+        for q in (("key", key), ("party", party), ("any",)):
+            self.queues.setdefault(q, deque()).append(len(self.said))
+        self.said.append(said)
+        self.used.append(False)
+
+    def take(self, key: str, party: str) -> tuple[bool, str | None, bool]:
+        """is_new, recorded_as, name_differs."""
+        for q in (("key", key), ("party", party), ("any",)):
+            waiting = self.queues.get(q) if q != ("party", "") else None
+            while waiting:
+                i = waiting.popleft()
+                if not self.used[i]:
+                    self.used[i] = True
+                    return False, self.said[i], q[0] == "any"
+        return True, None, False
+
+
+def _use_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets one after the other, recorded rows before the incoming ones, both in order; only the slots of one bucket are held."""
+    bucket, slots = None, _Slots()
+    for batch in batches:
+        out = []
+        names = [*BUCKET, "_kind", "_key", "_party", "_said"]
+        for *at, kind, key, party, said in zip(*(batch.column(c).to_pylist() for c in names)):
+            if at != bucket:
+                bucket, slots = at, _Slots()
+            if kind:
+                out.append(slots.take(key, party))
+            else:
+                slots.add(key, party, said)
+        rows = batch.column("_row").filter(pc.equal(batch.column("_kind"), 1))
+        found = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.bool_(), pa.string(), pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([rows, *found], ["_row", "is_new", "recorded_as", "name_differs"])
 
 
 def match_recorded(tx: DataFrame, existing: DataFrame) -> DataFrame:
     """tx with is_new, recorded_as and name_differs; each recorded row absorbs one transaction.
 
-    The result depends on the order within a bucket (day, cents, direction), so a bucket is one sequential step, in time
-    linear in its rows; only buckets that have recorded rows go through it, the others are new by a join.
+    The result depends on the order within a bucket (day, cents, direction). So a bucket is run through in order, in one
+    task, as a stream: time is linear in its rows and memory in its recorded rows. Buckets without recorded rows never get there.
     """
-    keys = lambda d: d.withColumn("_key", text.comparison_key(F.col("description"))).withColumn("_party", text.counterparty_key(F.col("description")))
+    # new expressions: the two may come from one table
     slots = existing.select(*[F.col(c).alias(c) for c in (*BUCKET, "description", "row_order")])
     taken = slots.select(*BUCKET).distinct()
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tx.schema.fields) + ", is_new boolean, recorded_as string, name_differs boolean"
-    met = keys(tx.join(taken, BUCKET, "left_semi")).groupBy(*BUCKET).cogroup(keys(slots).groupBy(*BUCKET)).applyInPandas(lambda a, b: _use_up(a, b), fields)
+    keys = {"_key": text.comparison_key(F.col("description")), "_party": text.counterparty_key(F.col("description"))}
+    mine = tx.join(taken, BUCKET, "left_semi").withColumns(keys)
+    mine = mine.select(*BUCKET, F.lit(1).alias("_kind"), F.col("source_order").cast("long").alias("_at"), "_key", "_party", F.lit(None).cast("string").alias("_said"), F.struct(*tx.columns).alias("_row"))
+    theirs = slots.withColumns(keys).select(*BUCKET, F.lit(0).alias("_kind"), F.col("row_order").cast("long").alias("_at"), "_key", "_party", F.col("description").alias("_said"), F.lit(None).alias("_row"))
+    met = mine.unionByName(theirs).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "_kind", "_at")
+    schema = f"_row {mine.schema['_row'].dataType.simpleString()}, is_new boolean, recorded_as string, name_differs boolean"
+    met = met.mapInArrow(_use_up, schema).select("_row.*", "is_new", "recorded_as", "name_differs")
     free = tx.join(taken, BUCKET, "left_anti").select(*tx.columns, F.lit(True).alias("is_new"), F.lit(None).cast("string").alias("recorded_as"), F.lit(False).alias("name_differs"))
-    return met.select(*free.columns).unionByName(free)
+    return met.unionByName(free)
 
 
 def deduplicate(tx: DataFrame, ledger: DataFrame, existing: DataFrame) -> DataFrame:
