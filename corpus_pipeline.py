@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import ngram_join, packing, quality_classifier, secret_scans, substring_dedup
-from ledgerloom.llm.shared import materialise, read
+from ledgerloom.llm.shared import free_name, materialise, read
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the least doc_id. Of rows that repeat both id and text, one."""
     classes = materialise(ngram_join.near_duplicates(docs))
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = materialise(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_again")))
+    other = free_name(docs, "_other")
+    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
+    same = F.col("doc_id") == F.col(other)
+    kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    again = materialise(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(other)))
     if again.isEmpty():
         return kept
-    same = F.col("doc_id") == F.col("_again")
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
