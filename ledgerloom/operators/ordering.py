@@ -59,7 +59,8 @@ def sink_plan(existing: DataFrame, new: DataFrame, order: DataFrame) -> DataFram
     """Every row of the sheet afterwards: group, target (0, 1, ...), is_new, idx or seq."""
     placed = insertion_points(existing, new, order).join(order.select("group", "order"), "group", "left")
     day = F.unix_date("date") * F.when(F.col("order") == "descending", -1).when(F.col("order") == "ascending", 1).otherwise(0)
-    rows = placed.select("group", "position", F.lit(0).alias("kind"), F.col("date").isNull().cast("int").alias("undated"), F.coalesce(day, F.lit(0)).alias("day"), F.col("seq").alias("at"))
+    undated = F.col("date").isNull() & F.coalesce(F.col("order").isin("ascending", "descending"), F.lit(False))
+    rows = placed.select("group", "position", F.lit(0).alias("kind"), undated.cast("int").alias("undated"), F.coalesce(day, F.lit(0)).alias("day"), F.col("seq").alias("at"))
     rows = rows.unionByName(existing.select("group", F.col("idx").cast("long").alias("position"), F.lit(1).alias("kind"), F.lit(0).alias("undated"), F.lit(0).alias("day"), F.col("idx").cast("long").alias("at")))
     target = F.row_number().over(W.partitionBy("group").orderBy("position", "kind", "undated", "day", "at")) - 1
     return rows.select("group", target.cast("long").alias("target"), (F.col("kind") == 0).alias("is_new"), "at")
