@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..operators import arbitrate, dedup, inference, ordering, proof, report, rules
+from ..sources import files, ofx, pages, tabular, workbook
 from .tables import EVENTS, ORDERS, cents, events_tx, orders_tx, read
 
 QUERIES: dict = {}
@@ -422,3 +423,188 @@ def column_letters(spark, d: str) -> DataFrame:
 def formula_translate(spark, d: str) -> DataFrame:
     rows = read(spark, d, "part").select("p_partkey", F.lit('H1+F2-$G$7&"F1"').alias("f"), F.lit(1).alias("a"), F.col("p_size").alias("b"))
     return inference.translated(rows, "f", "a", "b").select("p_partkey", "translated")
+
+
+# --- sources: the tables written out in a source's form, and read back by it ---
+
+
+@_query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'image' WHEN 2 THEN 'xls-legacy' WHEN 3 THEN 'spreadsheet' WHEN 4 THEN 'text' WHEN 5 THEN 'ofx' ELSE 'text' END AS kind FROM events""")
+def file_kinds(spark, d: str) -> DataFrame:
+    heads = [b"%PDF-1.7", b"\xff\xd8\xff\xe0", b"\xd0\xcf\x11\xe0", b"PK\x03\x04.. xl/workbook.xml", b"PK\x03\x04", b"OFXHEADER:100", b"data,valor"]
+    body = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (F.col("event_id") % 7 + 1).cast("int")), F.encode("props", "UTF-8"))
+    return read(spark, d, "events").select("event_id", files.kind(body, F.lit("a.dat")).alias("kind"))
+
+
+@_query("SELECT doc_id, text FROM documents")
+def decode_text(spark, d: str) -> DataFrame:
+    """Texts as UTF-8, Latin letters of one byte, and UTF-16 with its mark."""
+    k = F.col("doc_id") % 3
+    content = F.when(k == 0, F.encode("text", "UTF-8")).when(k == 1, F.encode("text", "ISO-8859-1")).otherwise(F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE")))
+    # a text with other letters than those of one byte stays UTF-8
+    content = F.when((k == 1) & F.col("text").rlike(r"[^\x00-\x7E\xA0-\xFF]"), F.encode("text", "UTF-8")).otherwise(content)
+    return files.with_text(read(spark, d, "documents").where("text is not null").select("doc_id", content.alias("content"))).select("doc_id", "text")
+
+
+@_query("""SELECT p_brand AS path, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS row_no, CAST(p_partkey AS VARCHAR) || '~' || p_name || chr(10) || '"' || p_type || '"~' || p_size || '' AS cells FROM part
+UNION ALL SELECT DISTINCT p_brand, 0, 'key~name; type~size' FROM part""")
+def delimited_tables(spark, d: str) -> DataFrame:
+    """Parts as one delimited file a brand, with quotes, breaks and blank lines; the delimiter is found out."""
+    name = F.concat(F.lit('"'), "p_name", F.lit("\n"), F.lit('""'), "p_type", F.lit('"""'))
+    lines = F.concat_ws(";", "p_partkey", name, "p_size")
+    body = read(spark, d, "part").groupBy(F.col("p_brand").alias("path")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", lines.alias("l")))).alias("_l"))
+    text_ = F.concat(F.lit('key;"name; type";size\r\n'), F.array_join(F.transform("_l", lambda x: x["l"]), "\r\n\r\n"))
+    return files.tables(body.select("path", text_.alias("text"))).select("path", F.col("row_no").cast("long").alias("row_no"), F.array_join("cells", "~").alias("cells"))
+
+
+def _written(spark, d: str) -> DataFrame:
+    """Each customer's orders as a statement of text cells; a fee of 7 cents on every fifth, a broken balance on every 97th."""
+    rows = _statement(spark, d).withColumn("fee_cents", F.when(F.col("row_no") % 5 == 0, 7).otherwise(0))
+    rows = rows.withColumn("after_cents", F.col("after_cents") - F.col("fee_cents"))
+    cells = F.array(F.when(F.col("value_cents") >= 0, "Crédito").otherwise("Débito"), money.format_brl(F.col("value_cents")), money.format_brl(F.col("before_cents")), money.format_brl(F.col("after_cents")), F.when(F.col("fee_cents") > 0, "0,07").otherwise("Grátis"), F.lit("31/08/2026 10:00"))
+    body = rows.select(F.col("file_id").cast("string").alias("path"), (F.row_number().over(W.partitionBy("file_id").orderBy("row_no"))).alias("row_no"), cells.alias("cells"))
+    header = F.array(*[F.lit(x) for x in ("Movimentação", "Valor", "Saldo Antes", "Saldo depois", "Tarifa", "Data")])
+    return body.unionByName(body.select("path").distinct().select("path", F.lit(0).alias("row_no"), header.alias("cells")))
+
+
+@_query(f"""WITH s AS (SELECT account_id, source_order, CASE WHEN direction = 'credit' THEN amount_cents ELSE -amount_cents END AS v, CASE WHEN source_order % 5 = 0 THEN 7 ELSE 0 END AS fee FROM ({ORDERS})),
+r AS (SELECT *, sum(v) OVER (PARTITION BY account_id ORDER BY source_order) AS a FROM s), q AS (SELECT account_id, source_order, v, fee, a - v AS b, a + CASE WHEN source_order % 97 = 0 THEN 1 ELSE 0 END - fee AS a FROM r),
+l AS (SELECT *, lead(a) OVER w AS na, lead(b) OVER w AS nb FROM q WINDOW w AS (PARTITION BY account_id ORDER BY source_order)),
+g AS (SELECT CAST(account_id AS VARCHAR) AS path, count(*) AS n_tx, count(*) FILTER (fee > 0) AS n_fees, count(*) FILTER (b + v - fee = a) AS rows_ok, count(*) FILTER (b + v - fee <> a) AS rows_bad, least(count(*) FILTER (b <> na), count(*) FILTER (a <> nb)) AS links_broken FROM l GROUP BY 1)
+SELECT *, CASE WHEN rows_bad > 0 THEN 'row arithmetic fails' WHEN links_broken > 0 THEN 'balance chain breaks' WHEN rows_ok = 0 THEN 'nothing to check' END AS reason FROM g""")
+def statement_audit(spark, d: str) -> DataFrame:
+    return tabular.audit(tabular.read_rows(_written(spark, d))).select("path", "n_tx", "n_fees", "rows_ok", "rows_bad", "links_broken", "reason")
+
+
+@_query(f"""SELECT CAST(account_id AS VARCHAR) AS path, direction, amount_cents, CASE WHEN direction = 'credit' THEN 'Recebimento vendas' ELSE 'Lançamento' END AS description FROM ({ORDERS})
+UNION ALL SELECT CAST(account_id AS VARCHAR), 'debit', 7, 'Tarifa' FROM ({ORDERS}) WHERE source_order % 5 = 0""")
+def statement_transactions(spark, d: str) -> DataFrame:
+    return tabular.transactions(tabular.read_rows(_written(spark, d))).select("path", "direction", "amount_cents", "description")
+
+
+def _ofx_texts(spark, d: str) -> DataFrame:
+    tx = orders_tx(spark, d)
+    sign = F.when(F.col("direction") == "credit", "").otherwise("-")
+    amount = F.concat(sign, F.floor(F.col("amount_cents") / 100), F.lit("."), F.lpad((F.col("amount_cents") % 100).cast("string"), 2, "0"))
+    block = F.concat(F.lit("<STMTTRN><TRNTYPE>"), F.upper("direction"), F.lit("</TRNTYPE><DTPOSTED>"), F.date_format("date", "yyyyMMdd"), F.lit("120000[-3:BRT]<TRNAMT>"), amount, F.lit("<MEMO>"), "description", F.lit(" - Transferência | Pix</STMTTRN>\n"))
+    files_ = tx.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("source_order", block.alias("b")))).alias("_b"))
+    body = F.concat(F.lit("OFXHEADER:100\n<OFX><ORG>Banco X</ORG><ACCTID>"), "account_id", F.lit("</ACCTID><BANKTRANLIST><DTSTART>19960101<DTEND>20031231\n"), F.array_join(F.transform("_b", lambda x: x["b"]), ""), F.lit("</BANKTRANLIST></OFX>"))
+    return files_.select(F.col("account_id").cast("string").alias("path"), body.alias("text"))
+
+
+@_query(f"""SELECT CAST(account_id AS VARCHAR) AS path, row_number() OVER (PARTITION BY account_id ORDER BY source_order) - 1 AS source_order, date, 'Pix - ' || description AS description, direction, amount_cents, 'banco-x-' || account_id AS account FROM ({ORDERS})""")
+def ofx_transactions(spark, d: str) -> DataFrame:
+    tx = ofx.transactions(ofx.blocks(_ofx_texts(spark, d)))
+    return tx.select("path", "source_order", "date", "description", "direction", "amount_cents", F.col("account_id").alias("account"))
+
+
+@_query(f"""WITH g AS (SELECT CAST(account_id AS VARCHAR) AS path, count(*) AS declared, count(*) AS n_tx, count(*) FILTER (date < DATE '1996-01-01' OR date > DATE '2003-12-31') AS n_out_of_period FROM ({ORDERS}) GROUP BY 1)
+SELECT *, CASE WHEN n_out_of_period > 0 THEN 'dates out of period' END AS reason FROM g""")
+def ofx_audit(spark, d: str) -> DataFrame:
+    texts = _ofx_texts(spark, d)
+    return ofx.audit(texts, ofx.blocks(texts)).select("path", F.col("declared").cast("long").alias("declared"), "n_tx", "n_out_of_period", "reason")
+
+
+def _page_texts(spark, d: str) -> DataFrame:
+    """Each user's events as a page of a day-balance statement: a closing line after each day, off by a cent on the 20th."""
+    e = events_tx(spark, d).withColumn("v", F.when(F.col("direction") == "credit", F.col("amount_cents")).otherwise(-F.col("amount_cents")))
+    days = e.groupBy("account_id", "date").agg(F.sum("v").alias("v"), F.max("source_order").alias("source_order"))
+    closing = F.sum("v").over(W.partitionBy("account_id").orderBy("date").rowsBetween(W.unboundedPreceding, 0)) + F.when(F.dayofmonth("date") == 20, 1).otherwise(0)
+    rows = e.select("account_id", "date", F.lit(0).alias("k"), "source_order", F.col("description").alias("t"), "v").unionByName(days.select("account_id", "date", F.lit(1).alias("k"), "source_order", F.lit("Saldo do dia").alias("t"), closing.alias("v")))
+    line = F.concat(dates.brazilian(F.col("date")), F.lit(" "), "t", F.lit(" "), money.format_brl(F.col("v")))
+    body = rows.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("date", "k", "source_order", line.alias("l")))).alias("_l"))
+    text_ = F.concat(F.lit("290 - PagSeguro Internet S/A\nConta "), "account_id", F.lit("\nExtrato da conta\nData Valor\nDescrição\n"), F.array_join(F.transform("_l", lambda x: x["l"]), "\n"))
+    return body.select(F.col("account_id").alias("path"), F.lit(0).alias("page"), text_.alias("text"))
+
+
+@_query(f"""WITH e AS (SELECT account_id AS path, date, sum(CASE WHEN direction = 'credit' THEN amount_cents ELSE -amount_cents END) AS v, count(*) AS n FROM ({EVENTS}) GROUP BY ALL),
+c AS (SELECT *, sum(v) OVER (PARTITION BY path ORDER BY date) + CASE WHEN day(date) = 20 THEN 1 ELSE 0 END AS closing FROM e),
+x AS (SELECT *, lag(closing) OVER (PARTITION BY path ORDER BY date) + v AS want FROM c)
+SELECT path, CAST(sum(n) AS BIGINT) AS n_tx, count(want) AS days_checked, count(*) FILTER (want <> closing) AS days_bad,
+ CASE WHEN count(want) = 0 THEN 'no day balance to check' WHEN count(*) FILTER (want <> closing) > 0 THEN 'day balance does not follow' END AS reason FROM x GROUP BY path""")
+def page_audit(spark, d: str) -> DataFrame:
+    texts = _page_texts(spark, d)
+    return pages.audit(texts, pages.read_lines(texts)).select("path", "n_tx", "days_checked", "days_bad", "reason")
+
+
+@_query(f"SELECT account_id AS path, date, description, direction, amount_cents FROM ({EVENTS}) WHERE amount_cents > 0 OR direction = 'credit'")
+def page_transactions(spark, d: str) -> DataFrame:
+    texts = _page_texts(spark, d)
+    found = pages.transactions(texts, pages.read_lines(texts)).select("path", "date", "description", "direction", "amount_cents")
+    return found.where("amount_cents > 0 or direction = 'credit' and description in ('purchase', 'signup')")
+
+
+@_query(r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '[^\s]+') AS w FROM benchmark), l AS (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t),
+n AS (SELECT item_id, i // 8 AS line, string_agg(x, ' ' ORDER BY i) AS s FROM l GROUP BY ALL)
+SELECT item_id, line // 5 AS page, string_agg(s, chr(10) ORDER BY line) AS text FROM n GROUP BY ALL""")
+def words_to_pages(spark, d: str) -> DataFrame:
+    """Positioned words, eight to a line and five lines to a page, out of order and of unequal height."""
+    w = read(spark, d, "benchmark").select(F.col("item_id").alias("path"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"))).alias("i", "text"))
+    line = F.floor(F.col("i") / 8)
+    placed = w.select("path", F.floor(line / 5).alias("page"), "text", (F.col("i") % 8 * 50.5).alias("x0"), (line % 5 * 12 + F.when(F.col("i") % 2 == 0, 0.3).otherwise(-0.3)).alias("top"))
+    return pages.lines_to_pages(pages.words_to_lines(placed)).select(F.col("path").alias("item_id"), "page", "text")
+
+
+# --- what cells tell ---
+
+
+@_query("""SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents WHERE text IS NOT NULL GROUP BY lang""")
+def description_lengths(spark, d: str) -> DataFrame:
+    return inference.description_style(read(spark, d, "documents"), ["lang"], "text").select("lang", "n", "n_chars")
+
+
+def _cells(spark, d: str) -> DataFrame:
+    """Each customer's orders as a sheet: dates in B, names in C, amounts in F or G, a running balance in H."""
+    tx = orders_tx(spark, d).withColumn("row", (F.row_number().over(W.partitionBy("account_id").orderBy("source_order")) + 12).cast("int"))
+    r = F.col("row").cast("string")
+    cell = lambda col, kind, value, style, formula=None: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(style).alias("style"), (F.lit(None).cast("string") if formula is None else formula).alias("formula"))
+    credit = F.col("direction") == "credit"
+    balance = F.when(F.col("row") == 13, F.concat(F.lit("G7+F"), r, F.lit("-G"), r)).otherwise(F.concat(F.lit("H"), F.col("row") - 1, F.lit("+F"), r, F.lit("-G"), r))
+    each = F.array(cell("B", "number", dates.sheet_serial(F.col("date")), "dd/mm/yyyy"), cell("C", "text", F.col("description"), "0"), F.when(credit, cell("F", "number", F.col("amount_cents") / 100, "#,##0.00")), F.when(~credit, cell("G", "number", F.col("amount_cents") / 100, "#,##0.00")), cell("H", "formula", F.lit("1"), "#,##0.00", balance))
+    return tx.select(F.col("account_id").alias("sheet"), "row", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("c")).select("sheet", "row", "c.*")
+
+
+@_query(f"""WITH n AS (SELECT account_id AS sheet, count(*) AS n, count(*) FILTER (direction = 'credit') AS f FROM ({ORDERS}) GROUP BY 1)
+SELECT sheet, unnest(list_filter([CASE WHEN true THEN 'B date' END, 'C text', CASE WHEN f > 0 THEN 'F money' END, CASE WHEN n > f THEN 'G money' END, 'H formula'], lambda x: x IS NOT NULL)) AS found FROM n""")
+def column_kinds(spark, d: str) -> DataFrame:
+    kinds = inference.column_kinds(_cells(spark, d), workbook.is_date_style(F.col("style")), workbook.is_money_style(F.col("style")))
+    return kinds.select("sheet", F.concat_ws(" ", "col", "column_kind").alias("found"))
+
+
+@_query(f"""WITH n AS (SELECT account_id AS sheet, count(*) AS n FROM ({ORDERS}) GROUP BY 1)
+SELECT sheet, 'H' AS col, n, CASE WHEN n > 1 THEN 'H' || (n + 11) || '+F' || (n + 12) || '-G' || (n + 12) END AS model, n >= least(n, 3) AS column_wide, CASE WHEN n > 1 THEN 'accumulated' ELSE 'other' END AS formula_kind,
+ CASE WHEN n > 1 THEN true WHEN n >= 3 THEN true WHEN n <= 2 THEN false END AS repeats FROM n""")
+def formula_columns(spark, d: str) -> DataFrame:
+    found = inference.repeat_formula(inference.formula_columns(_cells(spark, d), 13, ("B", "C", "F", "G")))
+    return found.select("sheet", "col", "n", "model", "column_wide", "formula_kind", "repeats")
+
+
+@_query(f"""SELECT account_id AS sheet, 12 + row_number() OVER (PARTITION BY account_id ORDER BY source_order) AS row_order, date, description, direction, amount_cents FROM ({ORDERS})""")
+def existing_rows(spark, d: str) -> DataFrame:
+    found = workbook.existing_rows(_cells(spark, d).withColumn("path", F.lit("book")), 13, "B", "C", "D", "F", "G")
+    return found.select("sheet", "row_order", "date", "description", "direction", "amount_cents")
+
+
+@_query("""SELECT event_type AS option, count(*) FILTER (user_id % 2 = 0) AS n_in, count(*) FILTER (user_id % 2 = 1) AS n_out, array_to_string((list(props ORDER BY event_id))[1:3], ',') AS contexts FROM events GROUP BY 1""")
+def option_usage(spark, d: str) -> DataFrame:
+    rows = read(spark, d, "events").select(F.col("event_type").alias("option"), F.col("props").alias("context"), F.col("event_id").alias("pos"), F.when(F.col("user_id") % 2 == 0, "in").otherwise("out").alias("flow"))
+    return inference.option_usage(rows).select("option", "n_in", "n_out", F.array_join("contexts", ",").alias("contexts"))
+
+
+@_query("""SELECT rule_id, array_to_string(list_sort(list(DISTINCT k)), ',') AS candidates FROM (SELECT upper(p_name) AS k, unnest(list_filter([CASE WHEN list_contains(string_split(upper(p_name), ' '), 'RED') <> list_contains(string_split(upper(p_name), ' '), 'WIDGET') THEN 'r1' END,
+ CASE WHEN list_contains(string_split(upper(p_name), ' '), 'RED') AND NOT list_contains(string_split(upper(p_name), ' '), 'WIDGET') AND round(p_retailprice * 100) >= 100000 THEN 'r2' END, CASE WHEN list_contains(string_split(upper(p_name), ' '), 'RING') THEN 'r4' END], lambda x: x IS NOT NULL)) AS rule_id FROM part) GROUP BY rule_id""")
+def identity_questions(spark, d: str) -> DataFrame:
+    tx = read(spark, d, "part").select(F.col("p_partkey").alias("tx_id"), F.col("p_name").alias("description"), F.lit("in").alias("flow"), cents("p_retailprice").alias("amount_cents"), F.lit(None).cast("string").alias("account_id"))
+    found = rules.identity_questions(rules.matches(tx, spark.createDataFrame(_RULES, rules.RULES)))
+    return found.select("rule_id", F.array_join("candidates", ",").alias("candidates"))
+
+
+@_query(f"""WITH h AS ({_HASHED}), k AS (SELECT *, source_order % 2 = 0 AS known FROM h)
+SELECT strftime(date, '%Y-%m') AS competence_key, count(*) FILTER (NOT known) AS n_new, count(*) FILTER (known) AS n_duplicates, CAST(coalesce(sum(amount_cents) FILTER (NOT known AND direction = 'credit'), 0) AS BIGINT) AS in_cents, CAST(coalesce(sum(amount_cents) FILTER (NOT known AND direction = 'debit'), 0) AS BIGINT) AS out_cents FROM k GROUP BY 1""")
+def import_report(spark, d: str) -> DataFrame:
+    from .importing import plan_import
+
+    tx = events_tx(spark, d)
+    known = dedup.with_hashes(tx).where("source_order % 2 = 0").select(dates.competence(F.col("date")).alias("competence_key"), "hash")
+    none = tx.where("false").withColumnRenamed("source_order", "row_order")
+    sheets = spark.createDataFrame([(m,) for m in dates.MONTHS], "sheet string")
+    return plan_import(tx, known, none, sheets).report.select("competence_key", "n_new", "n_duplicates", F.col("in_cents").cast("long").alias("in_cents"), F.col("out_cents").cast("long").alias("out_cents"))

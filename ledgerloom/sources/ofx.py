@@ -30,8 +30,8 @@ def blocks(texts: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_d": dates.parse_compact(tag(b, "DTPOSTED")), "_v": money.parse_ofx(tag(b, "TRNAMT")), "kind": F.upper(tag(b, "TRNTYPE")), "memo": F.coalesce(F.nullif(tag(b, "MEMO"), F.lit("")), tag(b, "NAME"))})
     cents = F.col("_v.cents")
     unread = F.when(F.col("_d").isNull(), "date").when(F.col("_v.status") != "ok", "value").when(((F.col("kind") == "CREDIT") & (cents < 0)) | ((F.col("kind") == "DEBIT") & (cents >= 0)), "direction")
-    day, out = (lambda c: F.struct(f"{c}.y", f"{c}.m", f"{c}.d")), F.lit(False)
-    out = F.coalesce(day("_d") < day("_from"), out) | F.coalesce(day("_d") > day("_to"), F.lit(False))
+    day = lambda c: F.struct(f"{c}.y", f"{c}.m", f"{c}.d")
+    out = (F.col("_from").isNotNull() & (day("_d") < day("_from"))) | (F.col("_to").isNotNull() & (day("_d") > day("_to")))
     return rows.withColumns({"unread": unread, "out_of_period": unread.isNull() & out, "raw_line": F.substring(text.one_line(b), 1, 120)})
 
 

@@ -80,7 +80,7 @@ def audit(pages: DataFrame, rows: DataFrame) -> DataFrame:
     days = proof.day_close(moves, "path", "line_no").groupBy("path").agg(F.count_if(F.col("expected_cents").isNotNull()).alias("days_checked"), F.count_if(~F.col("agrees")).alias("days_bad"))
     head = headers(pages)
     day = lambda c: F.struct(f"{c}.y", f"{c}.m", f"{c}.d")
-    out_of = F.coalesce(day("_d") < day("period_from"), F.lit(False)) | F.coalesce(day("_d") > day("period_to"), F.lit(False))
+    out_of = (F.col("period_from").isNotNull() & (day("_d") < day("period_from"))) | (F.col("period_to").isNotNull() & (day("_d") > day("period_to")))
     entry = ~F.col("is_unread") & ~F.col("is_close") & ~F.col("is_anchor")
     n = rows.join(head, "path").groupBy("path").agg(F.count_if(entry).alias("n_tx"), F.count_if("is_unread").alias("n_unread"), F.count_if(entry & out_of).alias("n_out_of_period"))
     out = n.join(days, "path", "left").fillna(0, ["days_checked", "days_bad"])
