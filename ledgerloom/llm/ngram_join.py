@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import by_chunk, materialise, read, small_batches
+from .shared import by_chunk, materialise, read, release, small_batches
 from .words import MUL, Words, inside, mixed, windows, words_of
 
 N, THRESHOLD, RECALL = 5, Fraction(4, 5), 0.9999
@@ -158,6 +158,7 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
                     yield _cell(rows, threshold)
                 rows = []
             rows.append(r)
+        release()
     if len(rows) > 1:
         yield _cell(rows, threshold)
 

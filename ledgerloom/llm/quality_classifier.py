@@ -148,10 +148,10 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additive:
     """A model from the labelled ones of docs; the texts of the others aren't looked at twice."""
-    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("_known")).distinct()
-    chosen = known.orderBy(F.xxhash64(F.col("_known"), F.lit(8)), "_known").limit(fit_rows * 2)
+    known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("known")).distinct()
+    chosen = known.orderBy(F.xxhash64(F.col("known"), F.lit(8)), "known").limit(fit_rows * 2)
     # twice FIT_ROWS ids: fit_rows of those that docs holds remain in all but odd cases
-    own = docs.join(F.broadcast(chosen), docs["doc_id"] == F.col("_known"), "left_semi")
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known"), "left_semi")
     return fit(*labelled(text_counts(own), labels, fit_rows))
 
 

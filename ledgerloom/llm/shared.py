@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
@@ -48,6 +49,14 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that df does not have in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -66,6 +75,14 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
     yield batch.slice(first)
 
 
+def release() -> None:
+    """Give freed memory back: a Python worker lives on after its task, and would keep the peak of its arrays."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Whole texts go to Python in batches of BATCH_BYTES at most, so that a worker's memory is bounded."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -82,6 +99,7 @@ def by_chunk(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | No
             for part in chunks(batch, text):
                 if (out := each(part)) is not None:
                     yield out
+            release()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, partitions_for, read, small_batches
+from .shared import chunks, free_name, partitions_for, read, release, small_batches
 from .words import MUL, Words, inside, mixed, same_bytes, split_words, texts_of, take_ranges, windows, words_of
 
 K, M = 13, 3
@@ -115,6 +115,8 @@ def _spread(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) ->
             out.append((bucket, sum(len(x[1]) for x in parts), *packed, b""))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
+        del out, held
+        release()
 
 
 def _normal(words: Words) -> Words:
@@ -141,6 +143,7 @@ def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
                 if rows and rows[0]["bucket"] != r["bucket"]:
                     yield _bucket(rows, k)
                     rows = []
+                    release()
                 rows.append(r)
     if rows:
         yield _bucket(rows, k)
@@ -216,9 +219,10 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
 def dedup_substrings(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the words that stay, joined by one space."""
     spans = repeated_spans(docs, k, m).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans")
+    d, k_ = free_name(docs, "_span_doc"), free_name(docs, "_span_key")
+    spans = spans.select(F.col("doc_id").alias(d), F.col("key").alias(k_), "spans")
     cols = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "spans")]
-    both = docs.select(*cols).join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left").drop("_d", "_k")
+    both = docs.select(*cols).join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(k_)), "left").drop(d, k_)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "spans")
 
     def run(batches):
