@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import COUNTS, counts, with_counts
-from .shared import by_chunk, held_out, materialise, read
+from .shared import by_chunk, held_out, in_share, materialise, read
 
 #: The most labelled rows that a fit takes to the driver.
 FIT_ROWS = 20_000
@@ -137,6 +137,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1) -> A
 def labelled(counts_: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the fit_rows documents with the smallest id hashes; at most that many rows reach the driver."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    labels = labels.where(in_share(labels.count(), 1.5 * fit_rows, F.lit(8), "doc_id"))
     rows = counts_.join(labels, "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(8)), *COUNTS).limit(fit_rows).toPandas()
     return matrix({c: rows[c].to_numpy(np.int64) for c in COUNTS}), (rows["quality"].to_numpy() == 1).astype(float)
 
@@ -149,8 +150,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Additive:
     """A model from the labelled ones of docs; the texts of the others aren't looked at twice."""
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").alias("known")).distinct()
-    chosen = known.orderBy(F.xxhash64(F.col("known"), F.lit(8)), "known").limit(fit_rows * 2)
-    # twice FIT_ROWS ids: fit_rows of those that docs holds remain in all but odd cases
+    # ids of at most twice fit_rows documents, which bounds the broadcast; docs may hold fewer of them
+    chosen = known.where(in_share(known.count(), 1.5 * fit_rows, F.lit(8), "known")).limit(fit_rows * 2)
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("known"), "left_semi")
     return fit(*labelled(text_counts(own), labels, fit_rows))
 

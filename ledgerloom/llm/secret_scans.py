@@ -25,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_chunk, read
+from .shared import by_chunk, in_share, read
 from .words import Words, range_hashes, words_of
 
-#: The sample: so many documents with and without a marked word, of at most so many characters each, the smallest hashes first.
-FIT_DOCS, FIT_CHARS = 600, 20_000
+#: The sample: so many documents with and without a marked word, of at most so many characters each, the smallest hashes
+#: first, among about SEARCHED documents.
+FIT_DOCS, FIT_CHARS, SEARCHED = 600, 20_000, 60_000
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -231,8 +232,9 @@ def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, rounds: int = 80, wid
 def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> list[str]:
     """At most 2 * fit_docs texts of at most fit_chars characters."""
     short = docs.where(F.length("text") <= fit_chars).select("text", F.xxhash64("text", F.lit(7)).alias("h"))
+    short = short.where(in_share(short.count(), SEARCHED, F.lit(1), "h"))
     marked = F.col("text").rlike(_HINT)
-    parts = [short.where(w).orderBy("h").limit(fit_docs) for w in (marked, ~marked & (F.pmod("h", F.lit(16)) == 0))]
+    parts = [short.where(w).orderBy("h").limit(fit_docs) for w in (marked, ~marked & in_share(SEARCHED, 2 * fit_docs, F.lit(3), "h"))]
     return [r.text for r in parts[0].unionByName(parts[1]).orderBy("h").collect()]
 
 

@@ -57,6 +57,12 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def in_share(total: int, wanted: float, *columns):
+    """Whether the hash of these columns falls in the share that brings about `wanted` of `total` rows: a filter, so that a
+    sample neither sorts all rows nor takes some from every task."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / max(1, total)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,6 +1,6 @@
 """Exact top-k search of 64-bit binary codes by incremental multi-index hashing.
 
-A code is cut into m segments, about log2 of the number of codes in bits each. Codes at Hamming distance m*r+m-1 at most
+A code is cut into m segments, so wide that a bucket of (segment, value) holds about LOAD codes. Codes at Hamming distance m*r+m-1 at most
 agree with the query to within r bits in some segment. So buckets of (segment, value) are probed at growing radii, each
 code found is verified in full, and a query goes on until the distance of its kth verified neighbour is covered. A query
 that needs j more units of distance probes only j segments at the next radius.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialise, read
 
-K, BITS, FIRST = 10, 64, 2
+#: FIRST: radius up to which every query is probed at the start. LOAD: codes in a bucket on average; to look at a code that
+#: a probe has met costs far less than a probe.
+K, BITS, FIRST, LOAD = 10, 64, 0, 16
 
 
 def sign_code(vector: str) -> Column:
@@ -33,7 +35,7 @@ def sign_code(vector: str) -> Column:
 
 def _segments(n_codes: int) -> list[tuple[int, int]]:
     """Lowest bit and width of each segment."""
-    m = min(16, max(2, round(BITS / max(1.0, math.log2(max(2, n_codes))))))
+    m = min(16, max(2, round(BITS / max(1.0, math.log2(max(2, n_codes / LOAD))))))
     edges = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
