@@ -52,10 +52,12 @@ def pattern_spans(text: str) -> list[Span]:
     return sorted(out + [(m.start(), m.end(), 2) for m in HEX.finditer(text) if m.end() - m.start() >= 16])
 
 
-def _runs(flag: np.ndarray, least: int) -> np.ndarray:
-    """Starts of runs of at least so many set flags."""
-    edge = np.diff(np.concatenate([[0], flag.view(np.int8), [0]]))
-    start, end = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+def _runs(flag: np.ndarray, offsets: np.ndarray, least: int) -> np.ndarray:
+    """Starts of runs of at least so many set flags; a text's bounds end a run."""
+    edge = np.zeros(len(flag) + 1, bool)
+    edge[offsets] = True
+    start = np.flatnonzero(flag & (edge[:-1] | ~np.concatenate([[False], flag])[:-1]))
+    end = np.flatnonzero(flag & (edge[1:] | ~np.append(flag, False)[1:])) + 1
     return start[end - start >= least]
 
 
@@ -270,9 +272,10 @@ def chunk_spans(column: pa.Array, field: Field) -> list[list[Span]]:
     # where a pattern can be at all
     buf = words.buf
     hit = np.zeros(n, bool)
-    where = [np.flatnonzero(_SCAN[buf]), _runs(_HEX[buf], 16)]
+    where = [np.flatnonzero(_SCAN[buf]), _runs(_HEX[buf], words.offsets, 16)]
     if (raw := buf.tobytes()).find(b"AKIA") >= 0:
-        where.append(np.array([m.start() for m in re.finditer(b"AKIA", raw)]))
+        # starts may overlap: one across the bounds of two texts hides none that begins in the second
+        where.append(np.array([m.start() for m in re.finditer(b"(?=AKIA)", raw)]))
     for at in where:
         hit[np.searchsorted(words.offsets, at, "right") - 1] = True
     for d in np.flatnonzero(hit):
