@@ -9,7 +9,7 @@ to the patterns' own; one that overlaps a pattern's span is not added.
 Patterns, leftmost and apart for each kind: `assign` (a name such as password, a sign, then 12 or more characters),
 `access` (AKIA and capitals or digits, 18 or more), `hex` (16 or more). Offsets are code points, the end exclusive.
 
-Defined results: a null or empty text has no span; without any marked document in the sample the field finds nothing. Rows with null or
+Defined results: a null or empty text has no span; without any marked document among all rows the field finds nothing. Rows with null or
 repeated doc_id are scanned like any other; extra columns stay.
 """
 
@@ -28,14 +28,16 @@ from pyspark.sql import functions as F
 from .shared import by_chunk, in_share, read
 from .words import Words, range_hashes, words_of
 
-#: The sample: so many documents with and without a marked word, of at most so many characters each, the smallest hashes
-#: first, among about SEARCHED documents.
-FIT_DOCS, FIT_CHARS, SEARCHED = 600, 20_000, 60_000
+#: The sample: so many different texts with and without a marked word, of at most so many characters each, the smallest
+#: hashes first, among all rows.
+FIT_DOCS, FIT_CHARS = 600, 20_000
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-_HINT = r"AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:passw|secret|token|api_?key)[a-z\"']*\x20*[:=]"
+#: Whether a text has a span, for Spark's regular expressions.
+_HINT = r"""AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12}"""
+_WORD_END = r"[^\x20\x09-\x0D]*"
 O, B, I = 0, 1, 2
 _NEVER = -1e4
 
@@ -231,13 +233,28 @@ def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, rounds: int = 80, wid
     return field
 
 
+def _whole_words(text: str, before: bool, after: bool) -> str:
+    """A stretch without the words that its bounds cut, unless they hold all that it has or all its spans."""
+    a = re.match(_WORD_END, text).end() if before else 0
+    b = len(text) - re.match(_WORD_END, text[::-1]).end() if after else len(text)
+    return text[a:b] if a < b and bool(pattern_spans(text[a:b])) == bool(pattern_spans(text)) else text
+
+
 def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS) -> list[str]:
-    """At most 2 * fit_docs texts of at most fit_chars characters."""
-    short = docs.where(F.length("text") <= fit_chars).select("text", F.xxhash64("text", F.lit(7)).alias("h"))
-    short = short.where(in_share(short.count(), SEARCHED, F.lit(1), "h"))
+    """At most 2 * fit_docs different texts, of at most fit_chars characters; of a longer one a stretch, round its first mark if it has any."""
+    texts = docs.where("text is not null").select("text", F.xxhash64("text", F.lit(7)).alias("h"))
     marked = F.col("text").rlike(_HINT)
-    parts = [short.where(w).orderBy("h").limit(fit_docs) for w in (marked, ~marked & in_share(SEARCHED, 2 * fit_docs, F.lit(3), "h"))]
-    return [r.text for r in parts[0].unionByName(parts[1]).orderBy("h").collect()]
+    with_mark, without = texts.agg(*[F.approx_count_distinct(F.when(w, F.col("h"))) for w in (marked, ~marked)]).first()
+    size = F.length("text")
+    first = F.greatest(F.lit(0), F.least(size - fit_chars, F.length(F.split("text", _HINT, 2)[0]) - fit_chars // 2))
+    any_ = F.when(size > fit_chars, F.pmod("h", size - fit_chars + 1)).otherwise(0).cast("int")
+    picked = []
+    for which, total, lo in ((marked, with_mark, first), (~marked, without, any_)):
+        # the hash first: only few texts are looked at again
+        part = texts.where(in_share(total, 2 * fit_docs, F.lit(3), "h")).where(which).withColumn("lo", lo)
+        part = part.select("h", F.col("text").substr(F.col("lo") + 1, F.lit(fit_chars)).alias("text"), (F.col("lo") > 0).alias("before"), (F.col("lo") + fit_chars < size).alias("after"))
+        picked += part.dropDuplicates(["h"]).orderBy("h").limit(fit_docs).collect()
+    return [_whole_words(r.text, r.before, r.after) for r in sorted(picked, key=lambda r: r.h)]
 
 
 def _bounds(words: Words, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

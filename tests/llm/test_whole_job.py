@@ -11,3 +11,18 @@ def test_a_text_before_hides_no_secret():
     want = [[], [(0, 17, 2)], [], [], [], [(0, 20, 1)], [], []]
     assert secret_scans.chunk_spans(pa.array(texts), field) == want
     assert [secret_scans.chunk_spans(pa.array([t], pa.string()), field)[0] for t in texts] == want
+
+
+def test_rare_and_long_marked_texts_teach(spark):
+    """One marked text in 100,000 rows, far behind FIT_CHARS; one in capitals; copies of one text are one text."""
+    mark = "password=b7db7aa4a5fcc78305"
+    rows = spark.range(100_000).selectExpr("concat('plain text ', id) AS text")
+    long = "\U0001f600 word " * 6000 + mark + " tail" * 9000
+    more = spark.createDataFrame([(long,), ("PASSWORD=abcDEF123456+/",), (None,)] + [("token: x " + mark,)] * 700, "text string")
+    texts = secret_scans.sample_of(rows.unionByName(more))
+    held = [t for t in texts if secret_scans.pattern_spans(t)]
+    assert len(held) == 3 and all(len(t) <= secret_scans.FIT_CHARS for t in texts) and len(texts) <= 2 * secret_scans.FIT_DOCS
+    assert {w for t in held for w in t.split()} == {"\U0001f600", "word", mark, "tail", "PASSWORD=abcDEF123456+/", "token:", "x"}
+    glued = "x" * 20_000 + mark + " tail" * 9000
+    assert secret_scans.pattern_spans(secret_scans.sample_of(spark.createDataFrame([(glued,)], "text string"))[0])
+    assert len(secret_scans.sample_of(spark.createDataFrame([("a" * 30_000,), ("b c" * 30_000,)], "text string"))) == 2
