@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from ledgerloom.llm import secret_scans
+from ledgerloom.llm import lm_scoring, secret_scans
+from ledgerloom.llm.words import words_of
 
 
 def test_a_text_before_hides_no_secret():
@@ -26,3 +28,21 @@ def test_rare_and_long_marked_texts_teach(spark):
     glued = "x" * 20_000 + mark + " tail" * 9000
     assert secret_scans.pattern_spans(secret_scans.sample_of(spark.createDataFrame([(glued,)], "text string"))[0])
     assert len(secret_scans.sample_of(spark.createDataFrame([("a" * 30_000,), ("b c" * 30_000,)], "text string"))) == 2
+
+
+def test_words_of_long_texts_and_later_rows_are_frequent(spark):
+    """Counts are those of all training texts: long ones, and each row, however many there are."""
+    rows = [(i, f"common Word w{i % 50}") for i in range(4000)]
+    rows += [(9000, "lengthy " * 5000 + "once"), (9001, None), (9002, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    names = lambda *w: {int(lm_scoring.lowered(words_of(pa.array([x])))[0][0]) for x in w}
+    assert set(lm_scoring.frequent_of(docs).tolist()) == names("common", "word", "lengthy", *(f"w{i}" for i in range(50)))
+    assert set(lm_scoring.frequent_of(docs, 2).tolist()) <= names("common", "word", "lengthy") and names("lengthy") <= set(lm_scoring.frequent_of(docs, 1).tolist())
+    seen = []
+    real = lm_scoring.start_model
+    lm_scoring.start_model = lambda sample, frequent: seen.append(frequent) or real(sample, frequent, 1)
+    try:
+        lm_scoring.score_texts(docs, F.col("doc_id") < 1000)
+    finally:
+        lm_scoring.start_model = real
+    assert names("lengthy") <= set(seen[0].tolist())
