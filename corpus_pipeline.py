@@ -20,13 +20,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least doc_id. Of rows that repeat both id and text, one."""
-    classes = materialise(ngram_join.near_duplicates(docs))
-    other = free_name(docs, "_other")
-    gone = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
-    same = F.col("doc_id") == F.col(other)
+    """One document of each class of near duplicates: the one with the least doc_id. Of rows that repeat both id and text, one.
+    Rows are told apart by id and text: one text of an id may go and another one stay; a class's texts under its least id stay."""
+    classes = materialise(ngram_join.classed(docs).where("doc_id is not null"))
+    other, key = free_name(docs, "_other"), free_name(docs, "_key")
+    named = (F.col("doc_id").alias(other), F.col("key").alias(key))
+    same = (F.col("doc_id") == F.col(other)) & (ngram_join.text_key() == F.col(key))
+    gone = classes.where("class_id <> doc_id").select(*named).distinct()
     kept = docs.join(gone.hint("shuffle_hash"), same, "left_anti")
-    again = materialise(classes.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(other)))
+    again = materialise(classes.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(*named))
     if again.isEmpty():
         return kept
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -87,7 +87,7 @@ def _signatures(batch: pa.RecordBatch, n: int, rows: int, bands: int) -> pa.Reco
     lists[1:] = np.cumsum(np.where(size > 0, bands, 0))
     values = pa.array(out.T.ravel().astype(np.int64))
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(set_ids(gram, first)), pa.array(size), pa.ListArray.from_arrays(pa.array(lists), values)], ["doc_id", "node", "n_grams", "bands"]
+        [batch.column("doc_id"), batch.column("key"), pa.array(set_ids(gram, first)), pa.array(size), pa.ListArray.from_arrays(pa.array(lists), values)], ["doc_id", "key", "node", "n_grams", "bands"]
     )
 
 
@@ -165,9 +165,20 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (documents at the threshold or above, copies included): a row for each row of docs."""
+    return classed(docs, n, threshold, recall).select("doc_id", "class_id", "n_links")
+
+
+def text_key(text: str = "text"):
+    """Tells texts under one doc_id apart."""
+    return F.xxhash64(text)
+
+
+def classed(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """near_duplicates with each row's text_key as key."""
     rows, bands = banding(float(threshold), recall)
     texts = docs.select(F.col("doc_id").cast("long"), "text")
-    signs = materialise(by_chunk(texts, lambda b: _signatures(b, n, rows, bands), "doc_id long, node long, n_grams long, bands array<long>"))
+    keyed = texts.withColumn("key", text_key())
+    signs = materialise(by_chunk(keyed, lambda b: _signatures(b, n, rows, bands), "doc_id long, key long, node long, n_grams long, bands array<long>"))
     known = signs.where("doc_id is not null and n_grams > 0")
     nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")))
     # candidates: least node of each bucket
@@ -192,8 +203,8 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     found = nodes.join(classes, "node", "left").join(named, "root", "left").join(links, "node", "left")
     found = found.select("node", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = known.select("doc_id", "node").join(found, "node").select("doc_id", "class_id", "n_links")
-    alone = signs.where("doc_id is null or n_grams = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    out = known.select("doc_id", "key", "node").join(found, "node").select("doc_id", "key", "class_id", "n_links")
+    alone = signs.where("doc_id is null or n_grams = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 
 

@@ -1,8 +1,11 @@
 """Cases in which an operator once did less than the whole job."""
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerloom.llm import lm_scoring, secret_scans
 from ledgerloom.llm.words import words_of
 
@@ -46,3 +49,13 @@ def test_words_of_long_texts_and_later_rows_are_frequent(spark):
     finally:
         lm_scoring.start_model = real
     assert names("lengthy") <= set(seen[0].tolist())
+
+
+def test_another_text_of_a_dropped_id_stays(spark):
+    """Each class keeps its least id: an id's unique text stays, though the id's other text is a near copy that goes."""
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (5, near), (5, text("b")), (6, text("b")), (7, text("c")), (7, text("c") + " x"), (7, text("c")), (8, text("d")), (8, text("d")), (9, ""), (9, None), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = Counter((r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == Counter([(1, "a0"), (5, "b0"), (7, "c0"), (7, "c0"), (8, "d0"), (9, ""), (9, ""), (None, "a0")])
