@@ -9,7 +9,8 @@ Copies: equal codes are one entry with its k+1 least ids (no further one can be
 are searched once. Probes and entries meet in an equi-join on (segment, value), whose hot values Spark splits.
 
 Defined results: rows with a null id or vector are neither queries nor neighbours; a query's own id is not its neighbour.
-Ties of distance go by id. A table of fewer than k other rows gives them all.
+Ties of distance go by id. A table of fewer than k other ids gives them all. Repeated rows of one id and code are one row. An id
+with several codes is one query and one neighbour: the distance of two ids is the least of any of their codes.
 """
 
 from __future__ import annotations
@@ -57,8 +58,10 @@ def _probes(queries: DataFrame, segments: list[tuple[int, int]], at: int, radius
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """rows, queries: id, code (long). query_id, rank, neighbor_id, distance of the k nearest rows of each query."""
-    rows = rows.where("id is not null and code is not null").select("id", "code")
-    queries = queries.where("id is not null and code is not null").select("id", "code")
+    rows = materialise(rows.where("id is not null and code is not null").select("id", "code").distinct())
+    queries = materialise(queries.where("id is not null and code is not null").select("id", "code").distinct())
+    # k+1 ids (the query's own among them) are sure to be among so many pairs of id and code
+    most = (k + 1) * (rows.groupBy("id").count().agg(F.max("count")).first()[0] or 1)
     numbered = rows.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k + 1)
     codes = materialise(numbered.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("code", "ids", F.col("ids")[0].alias("least"), F.size("ids").alias("n")))
     segments = _segments(codes.count())
@@ -84,12 +87,12 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             if found is not None:
                 met = met.unionByName(found).dropDuplicates(["q", "code"])
             order = W.partitionBy("q").orderBy("distance", "least")
-            found = materialise(met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"))
+            found = materialise(met.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"))
         if radius >= widest:
             break
-        # distance at which k+1 rows, the query's own among them, are verified; what the searched radii cover
+        # distance at which `most` pairs, so k+1 ids, the query's own among them, are verified; what the searched radii cover
         sums = F.sum("n").over(W.partitionBy("q").orderBy("distance", "least").rowsBetween(W.unboundedPreceding, 0))
-        bounds = found.withColumn("rows", sums).where(F.col("rows") >= k + 1).groupBy("q").agg(F.min("distance").alias("b"))
+        bounds = found.withColumn("rows", sums).where(F.col("rows") >= most).groupBy("q").agg(F.min("distance").alias("b"))
         covered = m * radius + m - 1
         active = active.where(F.col("need") >= m).select("q").join(bounds, "q", "left").select("q", F.coalesce("b", F.lit(BITS)).alias("bound"))
         active = materialise(active.where(F.col("bound") > covered).withColumn("need", F.least(F.lit(m), F.col("bound") - covered)))
@@ -98,6 +101,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         radius += 1
     near = found.join(codes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("neighbor_id"))
     out = queries.withColumnsRenamed({"id": "query_id", "code": "q"}).join(near, "q").where("neighbor_id <> query_id")
+    if most > k + 1:
+        out = out.groupBy("query_id", "neighbor_id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "neighbor_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("long").alias("rank"), "neighbor_id", F.col("distance").cast("long").alias("distance"))
 

@@ -1,12 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import lm_scoring, secret_scans
+from ledgerloom.llm import lm_scoring, secret_scans, topk_search
 from ledgerloom.llm.words import words_of
 
 
@@ -59,3 +60,22 @@ def test_another_text_of_a_dropped_id_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
     got = Counter((r.doc_id, (r.text or "")[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == Counter([(1, "a0"), (5, "b0"), (7, "c0"), (7, "c0"), (8, "d0"), (9, ""), (9, ""), (None, "a0")])
+
+
+def test_repeated_rows_are_one_neighbour(spark):
+    """Rows that repeat id and code, a query among them, and ids of several codes: brute force over distinct ids."""
+    r = random.Random(5)
+    base = [r.getrandbits(63) for _ in range(8)]
+    rows = [(i, r.choice(base) ^ (1 << r.randrange(63))) for i in range(60)]
+    for twice in ([], [(7, c ^ 3) for c in base] + [(14, rows[14][1] ^ (1 << j)) for j in range(9)] + [(200, rows[21][1] ^ j) for j in range(12)]):
+        table = rows + [rows[7]] * 11 + [rows[0]] * 3 + [rows[20]] * 7 + twice
+        df = spark.createDataFrame(table, "id long, code long").repartition(3)
+        got = {}
+        for x in topk_search.search(df, df.where("id % 7 = 0"), 4).collect():
+            got.setdefault(x.query_id, []).append((x.rank, x.distance, x.neighbor_id))
+        for q in {i for i, _ in table if i % 7 == 0}:
+            near = {}
+            for i, c in table:
+                if i != q:
+                    near[i] = min([near.get(i, 64)] + [(c ^ d).bit_count() for j, d in table if j == q])
+            assert sorted(got[q]) == [(n + 1, d, i) for n, (d, i) in enumerate(sorted((d, i) for i, d in near.items())[:4])]
