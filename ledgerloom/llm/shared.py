@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Text of one numpy pass. A longer single text is its own pass.
 CHUNK_BYTES = 1 << 20
@@ -22,13 +23,20 @@ BATCH_BYTES = 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_OWN: dict[str, str] = {}  # folder of each session that names none
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
+    """The cluster's shared folder. Where the session names none: a temporary one in local mode (tests), else one in the
+    warehouse, which all executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="corpus-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        local = spark.sparkContext.master.startswith("local")
+        _OWN[app] = tempfile.mkdtemp(prefix="corpus-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    return _OWN[app]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -37,7 +45,16 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table that materialise wrote, once nothing will read it any more."""
+    path = getattr(df, "_stored", None) if df is not None else None
+    if path:
+        _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -49,6 +66,17 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def others(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns of these names, in any case of letters."""
+    lower = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lower])
+
+
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """df's columns and more, whatever the names of df's are."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have in any case of letters."""
     taken = {c.lower() for c in df.columns}
@@ -97,7 +125,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def by_chunk(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
+def by_chunk(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, text: str = "text") -> DataFrame:
     """mapInArrow whose function sees one chunk of whole texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
