@@ -1,18 +1,20 @@
 """SentencePiece encoding and decoding with the pieces and scores of a model file.
 
-Encoding takes the segmentation of greatest total score. It runs as a streaming Viterbi: positions are settled from left to
-right, a window of open ends at most one longest piece ahead is kept, and whenever the surviving backpointer paths all
-pass one boundary, the ids up to it are committed. A character that no piece covers becomes its bytes' pieces (or
+Encoding takes the segmentation of greatest total score. It runs as a streaming Viterbi (Coder): positions are settled from
+left to right, a window of open ends at most one longest piece ahead is kept, and whenever the surviving backpointer paths
+all pass one boundary, the ids up to it are committed. A character that no piece covers becomes its bytes' pieces (or
 the unknown piece) at ten below the least score. Of equal totals the path with the longer last piece wins.
 
-Where no piece has a blank after another character, every path has a boundary before each run of blanks; what lies between
-two such boundaries is encoded once per task and remembered (in a bounded memory, by a 64-bit hash of its bytes).
+Before the coder stands a memory: where no piece has a blank after another character, every path has a boundary before each
+run of blanks, so what lies between two such boundaries goes through the coder once per task and is remembered (in a bounded
+memory, by a 64-bit hash of its bytes).
 
 Text is taken as it is: a blank is the mark U+2581, and one is put in front. So decoding gives back the text exactly, but
 that a U+2581 in the text itself comes back as a blank.
 
 Defined results: null and empty texts have no ids and decode to the empty text. An id that the model lacks decodes to nothing.
-Extra columns stay.
+Repeated rows are each encoded; a null doc_id is a row like any other. Extra columns stay, but those named like a result (in
+any case of letters) are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +28,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_chunk, read, small_batches
+from .shared import by_chunk, others, read, schema_with, small_batches
 from .words import range_hashes, take_ranges, texts_of
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Segments that a task remembers.
 MEMORY = 600_000
+#: Characters that a coder is fed at a time.
+_SLICE = 4096
 
 
 @dataclass
@@ -55,6 +59,12 @@ class Pieces:
     def __getstate__(self):
         return self.__dict__ | {"trie": None}  # each task builds its own
 
+    def ids_of(self, piece: str) -> list[int]:
+        """Of one piece, or of a character that no piece covers."""
+        if (i := self.ids.get(piece)) is not None:
+            return [i]
+        return [self.bytes_[x] for x in piece.encode()] if self.bytes_ else [self.unknown]
+
     def root(self) -> dict:
         """First characters of pieces: each with what may follow it and the score of the piece that ends there, or None."""
         if self.trie is None:
@@ -93,90 +103,95 @@ def default_model() -> str:
     return public_tokenizers.path(MODEL)
 
 
-def viterbi(text: str, pieces: Pieces) -> list[int]:
-    """Ids of the best segmentation of a text that blanks are marked in."""
-    if len(text) <= 2 * pieces.longest:
-        return _window(text, pieces)
-    root, score, longest = pieces.root(), pieces.score, pieces.longest
-    out: list[int] = []
-    n, done = len(text), 0  # ids up to `done` are committed
-    best: dict[int, float] = {0: 0.0}  # open ends
-    back: dict[int, int] = {}
-    for j in range(n):
-        here = best[j]
-        if j > done and len(best) == 1:  # every surviving path passes j
-            _commit(text, pieces, back, done, j, out)
-            done, best, back = j, {j: 0.0}, {}
-            here = 0.0
-        del best[j]
-        node = root
-        for e in range(j, min(n, j + longest)):
-            if (found := node.get(text[e])) is None:
-                break
-            node, s = found
-            if s is not None and here + s > best.get(e + 1, -1e300):
-                best[e + 1], back[e + 1] = here + s, j
-        if text[j] not in score and here + pieces.least > best.get(j + 1, -1e300):
-            best[j + 1], back[j + 1] = here + pieces.least, j
-        if j - done >= 2 * longest:  # or they may meet at an earlier boundary
-            meet = _meeting(back, best, done)
-            if meet > done:
-                _commit(text, pieces, back, done, meet, out)
-                back = {e: s for e, s in back.items() if e > meet}
-                done = meet
-    if n > done:
-        _commit(text, pieces, back, done, n, out)
-    return out
-
-
-def _window(text: str, pieces: Pieces) -> list[int]:
-    """The same for a text that the window holds whole, so that nothing need be committed before its end."""
-    root, n = pieces.root(), len(text)
-    best, back = [-1e300] * (n + 1), [0] * (n + 1)
-    best[0] = 0.0
-    for j in range(n):
-        here, node, e = best[j], root, j
-        while e < n and (found := node.get(text[e])) is not None:
-            node, s = found
-            e += 1
-            if s is not None and here + s > best[e]:
-                best[e], back[e] = here + s, j
-        if text[j] not in pieces.score and here + pieces.least > best[j + 1]:
-            best[j + 1], back[j + 1] = here + pieces.least, j
-    cuts = [n]
-    while cuts[-1]:
-        cuts.append(back[cuts[-1]])
-    ids = pieces.ids
-    try:
-        return [ids[text[a:b]] for b, a in zip(cuts[-2::-1], cuts[:0:-1])]
-    except KeyError:
+class Coder:
+    """Streaming Viterbi over a text that blanks are marked in: feed() gives the ids that are settled, finish() the rest.
+
+    Boundaries from the last committed one to a longest piece ahead of the one at work are held. Of each the number and the
+    sum of the later boundaries whose best path comes from it are kept: a boundary that nothing comes from any more is
+    struck out, its predecessor then loses one, and so on; and when a single one comes from the committed boundary, all
+    surviving paths pass it, so it is committed. Every pointer is set and struck out once or replaced, so time is linear in
+    the text, however late its paths meet.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.text, self.at, self.done = pieces, "", 0, 0
+        self.best, self.back, self.kids, self.sums = [0.0], [0], [0], [0]
+
+    @property
+    def window(self) -> int:
+        """Boundaries between the last committed one and the one at work."""
+        return self.at - self.done
+
+    def feed(self, text: str) -> list[int]:
+        self.text += text
+        n = len(text)
+        self.best += [-1e300] * n
+        self.back += [0] * n
+        self.kids += [0] * n
+        self.sums += [0] * n
+        out = self._run(len(self.text) - self.pieces.longest + 1)
+        if self.done > _SLICE:
+            self._forget()
+        return out
+
+    def finish(self) -> list[int]:
+        return self._run(len(self.text))
+
+    def _run(self, stop: int) -> list[int]:
+        pieces, text, done = self.pieces, self.text, self.done
+        root, score, least, n = pieces.root(), pieces.score, pieces.least, len(text)
+        best, back, kids, sums = self.best, self.back, self.kids, self.sums
         out: list[int] = []
-        _commit(text, pieces, dict(enumerate(back)), 0, n, out)
+        for j in range(self.at, stop):
+            here, node, e, first = best[j], root, j, done
+            reached = []
+            while e < n and (found := node.get(text[e])) is not None:
+                node, s = found
+                e += 1
+                if s is not None and here + s > best[e]:
+                    reached.append((e, here + s))
+            if text[j] not in score and here + least > best[j + 1]:
+                reached.append((j + 1, here + least))
+            for e, total in reached:
+                if best[e] > -1e299:  # the boundary that it was reached from so far loses it
+                    old = back[e]
+                    kids[old] -= 1
+                    sums[old] -= e
+                    while not kids[old] and old != first:
+                        x, old = old, back[old]
+                        kids[old] -= 1
+                        sums[old] -= x
+                best[e], back[e] = total, j
+                kids[j] += 1
+                sums[j] += e
+            old = j
+            while not kids[old] and old != first:
+                x, old = old, back[old]
+                kids[old] -= 1
+                sums[old] -= x
+            while done <= j and kids[done] == 1:
+                e = sums[done]
+                out += pieces.ids_of(text[done:e])
+                done = e
+        self.at, self.done = max(self.at, stop), done
         return out
 
+    def _forget(self) -> None:
+        """Drop what lies before the last committed boundary."""
+        cut = self.done
+        self.text = self.text[cut:]
+        self.best, self.kids = self.best[cut:], self.kids[cut:]
+        self.sums = [s - k * cut for s, k in zip(self.sums[cut:], self.kids)]
+        self.back = [b - cut for b in self.back[cut:]]
+        self.at, self.done = self.at - cut, 0
 
-def _meeting(back: dict[int, int], ends: dict[int, float], done: int) -> int:
-    """The last boundary that the paths to all open ends share."""
-    paths = set(ends)
-    while len(paths) > 1:
-        last = max(paths)
-        paths.discard(last)
-        paths.add(back[last])
-    return max(done, paths.pop()) if paths else done
-
-
-def _commit(text: str, pieces: Pieces, back: dict[int, int], a: int, b: int, out: list[int]) -> None:
-    cuts = [b]
-    while cuts[-1] > a:
-        cuts.append(back[cuts[-1]])
-    for e, s in zip(cuts[-1:0:-1], cuts[-2::-1]):
-        piece = text[e:s]
-        if piece in pieces.ids:
-            out.append(pieces.ids[piece])
-        elif pieces.bytes_:
-            out += [pieces.bytes_[x] for x in piece.encode()]
-        else:
-            out.append(pieces.unknown)
+
+def viterbi(text: str, pieces: Pieces) -> list[int]:
+    """Ids of the best segmentation of a text that blanks are marked in."""
+    coder, out = Coder(pieces), []
+    for lo in range(0, len(text), _SLICE):
+        out += coder.feed(text[lo : lo + _SLICE])
+    return out + coder.finish()
 
 
 def _segments(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,19 +231,15 @@ def encode_column(column: pa.Array, pieces: Pieces, memory: dict[int, list[int]]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
 
 
-def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs with ids."""
-    rows = docs.select(*[c for c in docs.columns if c != "ids"])
+    rows = others(docs, "ids")
     memory: dict[int, list[int]] = {}  # each task has its own
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([*batch.columns, encode_column(batch.column("text"), pieces, memory)], [*batch.schema.names, "ids"])
 
-    return by_chunk(rows, each, f"{_schema(rows)}, ids array<int>")
+    return by_chunk(rows, each, schema_with(rows, "ids array<int>"))
 
 
 def decode_column(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
@@ -255,7 +266,7 @@ def decode_column(ids: pa.ListArray, pieces: Pieces) -> pa.Array:
 
 def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
     """rows with decoded, from ids."""
-    rows = rows.select(*[c for c in rows.columns if c != "decoded"])
+    rows = others(rows, "decoded")
 
     def run(batches):
         for b in batches:
@@ -264,7 +275,7 @@ def decode(rows: DataFrame, pieces: Pieces) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, decode_column(part.column("ids"), pieces)], [*part.schema.names, "decoded"])
 
     small_batches(rows.sparkSession)
-    return rows.mapInArrow(run, f"{_schema(rows)}, decoded string")
+    return rows.mapInArrow(run, schema_with(rows, "decoded string"))
 
 
 def op5_sentencepiece(spark, sf_dir: str, model: str | None = None) -> DataFrame:
