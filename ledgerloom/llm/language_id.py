@@ -1,29 +1,39 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A sequence is a word of at most PIECE bytes (a longer one is cut), so its states start afresh at every word: words that a
-chunk of texts repeats are run once, and memory is bounded however long a text is. Every byte position gets language probabilities
-from the states of both directions; a document's probabilities pool those of all its positions (their geometric
-mean, normalised). The network is trained in numpy by backpropagation through time on words of a bounded sample of documents.
+The network runs over the whole text in windows of WINDOW bytes, blanks and all, each with CONTEXT bytes of the text on
+either side, in which its states settle: memory is bounded however long a text is, and no position is labelled without what
+surrounds it. Bounds fall between code points. Every byte position gets language probabilities from the states of both
+directions; a document's probabilities pool those of all its positions (their geometric mean, normalised). Gates are of the
+piecewise linear kind. The network is trained in numpy by backpropagation through time on stretches of a bounded sample
+of documents of every language.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text where no document teaches a
-language. Null and repeated doc_ids are rows like any other; extra columns stay. Ties go to the first language in order.
+language. Null and repeated doc_ids are rows like any other, very long texts are run whole. Extra columns stay, but those
+named lang_pred or score (in any case of letters) are replaced. Ties go to the first language in order. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import by_chunk, held_out, read
-from .words import Words, range_hashes, words_of
-
-#: About so many documents of each language teach, and at most so many languages (the most frequent); a text of more characters doesn't.
-FIT_DOCS, LANGUAGES, FIT_CHARS = 250, 100, 20_000
-PIECE, HIDDEN = 16, 16
+from .shared import by_chunk, held_out, others, read, schema_with
+from .words import texts_of, words_of
+
+#: The sample: FIT_DOCS texts shared out among all languages, but LEAST_DOCS at least of each, if it has them; of a longer text
+#: a stretch of FIT_CHARS.
+FIT_DOCS, LEAST_DOCS, FIT_CHARS = 1000, 20, 2_000
+WINDOW, CONTEXT, HIDDEN = 256, 32, 16
+#: Bytes of states and probabilities that run together.
+_BLOCK = 24 << 20
+#: Lengths of training stretches.
+_LENGTHS = np.array([1, 2, 4, 8, 16, 32, 64])
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -50,105 +60,107 @@ def fresh(languages: list[str], hidden: int = HIDDEN, seed: int = 1) -> Network:
     return Network(languages, tables, [new(hidden, 3 * hidden) for _ in range(2)], [np.zeros(3 * hidden, np.float32) for _ in range(2)], new(2 * hidden, len(languages)), np.zeros(len(languages), np.float32))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _gates(x: np.ndarray) -> np.ndarray:
+    """The piecewise linear sigmoid, in place."""
+    x *= 0.2
+    x += 0.5
+    return np.clip(x, 0, 1, out=x)
 
 
-def _states(net: Network, side: int, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """States of one direction at each position, for sequences of one length (row: sequence)."""
-    n, length = x.shape
-    size = net.turn[side].shape[0]
-    h = np.zeros((n, size), np.float32)
-    states, tape = np.empty((length, n, size), np.float32), []
-    for t in range(length) if side == 0 else range(length - 1, -1, -1):
-        a = net.table[side][x[:, t]]
-        u = h @ net.turn[side] + net.shift[side]
-        gates = _sigmoid(a[:, : 2 * size] + u[:, : 2 * size])
-        r, z = gates[:, :size], gates[:, size:]
-        new = np.tanh(a[:, 2 * size :] + r * u[:, 2 * size :])
-        if keep:
-            tape.append((t, h, r, z, new, u[:, 2 * size :]))
-        h = new + z * (h - new)
-        states[t] = h
-    return states, tape
-
-
-def position_logs(net: Network, x: np.ndarray) -> np.ndarray:
-    """Log probabilities: position x sequence x language."""
-    both = np.concatenate([_states(net, 0, x)[0], _states(net, 1, x)[0]], 2)
-    logits = both @ net.out + net.bias
-    logits -= logits.max(2, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(2, keepdims=True))
+def _step(net: Network, side: int, byte: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The next states, and what the gradients need: gates, new, and the states' share of new."""
+    size = h.shape[1]
+    a = net.table[side][byte]
+    u = h @ net.turn[side]
+    u += net.shift[side]
+    gates = _gates(a[:, : 2 * size] + u[:, : 2 * size])
+    r, z = gates[:, :size], gates[:, size:]
+    un = u[:, 2 * size :]
+    new = r * un
+    new += a[:, 2 * size :]
+    np.tanh(new, out=new)
+    out = h - new
+    out *= z
+    out += new
+    return out, r, z, new, un
+
+
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(-1, keepdims=True)
+    logits -= np.log(np.exp(logits).sum(-1, keepdims=True))
+    return logits
 
 
 def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss of all positions and its gradients, in the order of net.arrays()."""
-    runs = [_states(net, s, x, True) for s in (0, 1)]
-    both = np.concatenate([runs[0][0], runs[1][0]], 2)
-    logits = both @ net.out + net.bias
-    logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(2, keepdims=True)
-    length, n = both.shape[:2]
-    picked = p[:, np.arange(n), y]
-    loss = float(-np.log(np.maximum(picked, 1e-12)).mean())
+    """Mean loss of all positions of sequences of one length (row: sequence) and its gradients, in the order of net.arrays()."""
+    n, length = x.shape
+    size = net.turn[0].shape[0]
+    both, tapes = np.empty((length, n, 2 * size), np.float32), []
+    for side in (0, 1):
+        h, tape = np.zeros((n, size), np.float32), []
+        for t in range(length) if side == 0 else range(length - 1, -1, -1):
+            out, *kept = _step(net, side, x[:, t], h)
+            tape.append((t, h, *kept))
+            both[t, :, side * size : (side + 1) * size] = h = out
+        tapes.append(tape)
+    logs = _log_softmax(both @ net.out + net.bias)
+    p = np.exp(logs)
+    loss = -float(logs[:, np.arange(n), y].mean())
     p[:, np.arange(n), y] -= 1
     p /= length * n
-    d_out, d_bias = np.einsum("tnh,tnk->hk", both, p), p.sum((0, 1))
+    d_out, d_bias = both.reshape(-1, 2 * size).T @ p.reshape(-1, p.shape[2]), p.sum((0, 1))
     back = p @ net.out.T
-    size = net.turn[0].shape[0]
     grads: list[list[np.ndarray]] = [[], [], []]
     for side in (0, 1):
-        d_table, d_turn, d_shift = (np.zeros_like(a[side]) for a in (net.table, net.turn, net.shift))
-        dh = np.zeros((n, size), np.float32)
-        for t, h, r, z, new, un in reversed(runs[side][1]):
+        d_turn, d_shift = np.zeros_like(net.turn[side]), np.zeros_like(net.shift[side])
+        dh, by_byte, of = np.zeros((n, size), np.float32), [], []
+        for t, h, r, z, new, un in reversed(tapes[side]):
             dh = dh + back[t][:, side * size : (side + 1) * size]
             d_new = dh * (1 - z) * (1 - new**2)
-            d_z = dh * (h - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
+            d_z = dh * (h - new) * (0.2 * ((z > 0) & (z < 1)))
+            d_r = d_new * un * (0.2 * ((r > 0) & (r < 1)))
             d_u = np.concatenate([d_r, d_z, d_new * r], 1)
             d_turn += h.T @ d_u
             d_shift += d_u.sum(0)
-            np.add.at(d_table, x[:, t], np.concatenate([d_r, d_z, d_new], 1))
+            by_byte.append(np.concatenate([d_r, d_z, d_new], 1))
+            of.append(x[:, t])
             dh = dh * z + d_u @ net.turn[side].T
+        rows, at = np.concatenate(by_byte), np.concatenate(of)
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        d_table = np.zeros_like(net.table[side])
+        d_table[at[order][first]] = np.add.reduceat(rows[order], first)
         for where, g in zip(grads, (d_table, d_turn, d_shift)):
             where.append(g)
     return loss, [*grads[0], *grads[1], *grads[2], d_out, d_bias]
 
 
-def pieces(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and word of each piece of PIECE bytes at most."""
-    size = words.end - words.start
-    parts = -(-size // PIECE)
-    word = np.repeat(np.arange(len(size)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    start = words.start[word] + nth * PIECE
-    return start, np.minimum(PIECE, words.end[word] - start), word
-
-
-def train(texts: list[str], langs: list[str], steps: int = 500, batch: int = 384, seed: int = 2) -> Network | None:
+def train(texts: list[str], langs: list[str], steps: int = 220, batch: int = 256, seed: int = 2) -> Network | None:
     languages = sorted(set(langs))
     if not languages:
         return None
     net = fresh(languages)
-    words = words_of(pa.array(texts, pa.string()))
-    start, size, word = pieces(words)
-    label = np.array([languages.index(x) for x in langs])[words.doc[word]]
-    if not len(start):
+    buf, offsets = texts_of(pa.array(texts, pa.string()))
+    size = np.diff(offsets)
+    at = np.array([languages.index(x) for x in langs])
+    full = np.flatnonzero(size)
+    if not len(full):
         return net
+    by_language = [full[at[full] == k] for k in range(len(languages))]
+    some = [k for k, rows in enumerate(by_language) if len(rows)]
     r = np.random.default_rng(seed)
-    # every language gets the same share of the batches' positions, and every length its own share
-    weight = size / np.bincount(label, size, len(languages))[label]
-    by_size = {n: np.flatnonzero(size == n) for n in np.unique(size)}
-    sizes = list(by_size)
-    share = np.array([weight[by_size[n]].sum() for n in sizes])
-    share /= share.sum()
-    chance = {n: np.cumsum(weight[i]) for n, i in by_size.items()}
     first, second = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
     for step in range(1, steps + 1):
-        n = sizes[r.choice(len(sizes), p=share)]
-        at = by_size[n][np.searchsorted(chance[n], r.random(batch) * chance[n][-1])]
-        _, grads = gradients(net, words.buf[start[at][:, None] + np.arange(n)], label[at])
+        # every language has the same share; a stretch is as long as the step's texts allow, now and then a short one
+        y = np.array(some)[r.integers(0, len(some), batch)]
+        doc = np.array([by_language[k][int(u * len(by_language[k]))] for k, u in zip(y, r.random(batch))])
+        length = int(_LENGTHS[-1]) if step % 4 else int(r.choice(_LENGTHS[3:]))
+        least = np.minimum(size[doc], length)
+        length = int(_LENGTHS[np.searchsorted(_LENGTHS, np.quantile(least, 0.25), "right") - 1])
+        keep = size[doc] >= length
+        doc, y = doc[keep], y[keep]
+        start = offsets[doc] + (r.random(len(doc)) * (size[doc] - length + 1)).astype(np.int64)
+        _, grads = gradients(net, buf[start[:, None] + np.arange(length)], y)
         rate = 0.02 * (1 - 0.9 * step / steps)
         for a, g, m, v in zip(net.arrays(), grads, first, second):
             m += 0.1 * (g - m)
@@ -157,44 +169,73 @@ def train(texts: list[str], langs: list[str], steps: int = 500, batch: int = 384
     return net
 
 
-class Memory:
-    """Sums of position logs of pieces met before, in a table of fixed size: a piece has one slot, the newest keeps it."""
-
-    def __init__(self, net: Network, most: int = 32 << 20):
-        self.net = net
-        self.slots = 1 << int(np.log2(max(2, most // (8 + 4 * len(net.languages)))))
-        self.keys = np.zeros(self.slots, np.uint64)
-        self.logs = np.zeros((self.slots, len(net.languages)), np.float32)
-
-    def sums(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
-        out = self.logs[slot]
-        miss = np.flatnonzero(self.keys[slot] != hashes)
-        by = miss[np.argsort(size[miss], kind="stable")]
-        cuts = np.flatnonzero(np.diff(size[by], prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-            for lo in range(a, b, 4096):
-                rows = by[lo : min(b, lo + 4096)]
-                out[rows] = position_logs(self.net, buf[start[rows][:, None] + np.arange(size[rows[0]])]).sum(0)
-        # of pieces that share a slot the last one written is the one kept: its key goes with its value
-        last = np.zeros(self.slots, np.int32)
-        last[slot[miss]] = np.arange(len(miss))
-        own = miss[last[slot[miss]] == np.arange(len(miss))]
-        self.keys[slot[own]], self.logs[slot[own]] = hashes[own], out[own]
-        return out
-
-
-def pooled(column: pa.Array, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of the position log probabilities of each text (text x language), and its number of positions."""
-    words = words_of(column)
-    start, size, word = pieces(words)
-    logs = np.zeros((words.n_docs, len(memory.net.languages)))
-    if len(start):
-        hashes, first, back = np.unique(range_hashes(words.buf, start, start + size), return_index=True, return_inverse=True)
-        each = memory.sums(words.buf, start[first], size[first], hashes)
+def _snapped(buf: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Bounds moved on to where a code point begins, or the text ends."""
+    at = at.copy()
+    for _ in range(3):
+        inner = at < stop
+        inner[inner] = (buf[at[inner]] & 0xC0) == 0x80
+        at += inner
+    return at
+
+
+def windows_of(buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, ...]:
+    """Of each window: text, first byte to run, first and last byte (exclusive) to label, last byte to run (exclusive)."""
+    parts = -(-np.diff(offsets) // window)
+    doc = np.repeat(np.arange(len(parts)), parts)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, stop = offsets[doc], offsets[doc + 1]
+    a = _snapped(buf, begin + nth * window, stop)
+    b = _snapped(buf, np.minimum(begin + (nth + 1) * window, stop), stop)
+    return doc, _snapped(buf, np.maximum(begin, a - context), stop), a, b, _snapped(buf, np.minimum(stop, b + context), stop)
+
+
+def run(net: Network, buf: np.ndarray, start: np.ndarray, stop: np.ndarray, each: Callable[[int, int, np.ndarray], None]) -> None:
+    """The network over windows, the longest first. each(t, n, logs): log probabilities at byte t of the first n windows."""
+    size = stop - start
+    hidden = net.turn[0].shape[0]
+    alive = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")
+    states, h = [], np.zeros((len(start), hidden), np.float32)
+    for t, n in enumerate(alive):
+        h = _step(net, 0, buf[start[:n] + t], h[:n])[0]
+        states.append(h)
+    up, down = net.out[:hidden], net.out[hidden:]
+    h = np.zeros((0, hidden), np.float32)
+    for t in range(len(alive) - 1, -1, -1):
+        n = alive[t]
+        if n > len(h):  # windows that end here
+            h = np.concatenate([h, np.zeros((n - len(h), hidden), np.float32)])
+        h = _step(net, 1, buf[start[:n] + t], h)[0]
+        logits = states.pop() @ up
+        logits += h @ down
+        logits += net.bias
+        each(t, n, _log_softmax(logits))
+
+
+def _blocks(net: Network, buf: np.ndarray, offsets: np.ndarray):
+    """Windows in blocks of bounded memory, the longest first in each."""
+    found = windows_of(buf, offsets)
+    order = np.argsort(found[1] - found[4], kind="stable")
+    rows = max(64, _BLOCK // (4 * (WINDOW + 2 * CONTEXT) * net.turn[0].shape[0] + 16 * len(net.languages)))
+    for lo in range(0, len(order), rows):
+        yield tuple(x[order[lo : lo + rows]] for x in found)
+
+
+def pooled(column: pa.Array, net: Network) -> np.ndarray:
+    """Sum of the position log probabilities of each text (text x language)."""
+    buf, offsets = texts_of(column)
+    logs = np.zeros((len(offsets) - 1, len(net.languages)))
+    for doc, start, a, b, stop in _blocks(net, buf, offsets):
+        sums, lo, hi = np.zeros((len(doc), len(net.languages)), np.float32), a - start, b - start
+
+        def add(t: int, n: int, found: np.ndarray) -> None:
+            found *= ((lo[:n] <= t) & (t < hi[:n]))[:, None]
+            sums[:n] += found
+
+        run(net, buf, start, stop, add)
         for k in range(logs.shape[1]):
-            logs[:, k] = np.bincount(words.doc[word], each[back, k], words.n_docs)
-    return logs, np.bincount(words.doc[word], size, words.n_docs)
+            logs[:, k] += np.bincount(doc, sums[:, k], len(logs))
+    return logs
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
@@ -207,46 +248,45 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 
 def positions(text: str, net: Network) -> list[tuple[int, int, str]]:
-    """Stretches of bytes of the text with the likeliest language of each position; blanks go with the word before."""
-    words = words_of(pa.array([text]))
-    start, size, _ = pieces(words)
-    out: list[tuple[int, int, str]] = []
-    for a, n in zip(start, size):
-        best = position_logs(net, words.buf[a : a + n][None, :])[:, 0].argmax(1)
-        for i, k in enumerate(best):
-            lang = net.languages[k]
-            if out and out[-1][2] == lang:
-                out[-1] = (out[-1][0], int(a) + i + 1, lang)
-            else:
-                out.append((int(a) + i, int(a) + i + 1, lang))
-    return out
-
-
-def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], list[str]]:
-    """Texts and languages of about fit_docs documents of each language: those whose hash falls in its share."""
-    known = docs.where("lang is not null and text is not null").where(F.length("text") <= FIT_CHARS)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    rows = known.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(1 << 30) * F.col("count") < fit_docs)
-    rows = rows.select("lang", "text").limit(2 * fit_docs * LANGUAGES).collect()
-    rows.sort(key=lambda r: (r.lang, r.text))
-    return [r.text for r in rows], [r.lang for r in rows]
+    """Stretches of bytes of the text with the likeliest language of each position."""
+    buf, offsets = texts_of(pa.array([text], pa.string()))
+    best = np.zeros(len(buf), np.int64)
+    for _, start, a, b, stop in _blocks(net, buf, offsets):
+
+        def label(t: int, n: int, found: np.ndarray) -> None:
+            own = np.flatnonzero((a[:n] <= start[:n] + t) & (start[:n] + t < b[:n]))
+            best[start[own] + t] = found[own].argmax(1)
+
+        run(net, buf, start, stop, label)
+    cut = np.flatnonzero(np.diff(best, prepend=-1))
+    return [(int(i), int(j), net.languages[best[i]]) for i, j in zip(cut, np.append(cut[1:], len(best)))]
+
+
+def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS, least: int = LEAST_DOCS, fit_chars: int = FIT_CHARS) -> tuple[list[str], list[str]]:
+    """Texts and languages that teach: of every language the texts of the smallest hashes, copies once, long ones by a stretch.
+    max(fit_docs, least x languages) rows at most reach the driver."""
+    known = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text", F.lit(9)).alias("h"))
+    counts = known.groupBy("lang").count()
+    each = max(least, fit_docs // max(1, counts.count()))
+    share = F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30) * F.col("count") <= 2 * each
+    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - fit_chars + 1)).cast("int")
+    rows = known.join(counts, "lang").where(share).select("lang", "h", F.col("text").substr(at + 1, F.lit(fit_chars)).alias("text")).dropDuplicates(["lang", "h"])
+    nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    found = rows.withColumn("n", nth).where(F.col("n") <= each).select("lang", "text").collect()
+    found.sort(key=lambda r: (r.lang, r.text))
+    return [r.text for r in found], [r.lang for r in found]
 
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and score; one pass, no shuffle."""
-    rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", lang_pred string, score double"
-
-    memory: list[Memory] = []  # one for each task
+    rows = others(docs, "lang_pred", "score")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
-        if net is not None and not memory:
-            memory.append(Memory(net))
         pred, score = np.full(len(column), "und", object), np.zeros(len(column))
         if net is not None:
-            logs, n = pooled(column, memory[0])
-            mean = logs / np.maximum(n, 1)[:, None]
+            logs = pooled(column, net)
+            mean = logs / np.maximum(np.diff(texts_of(column)[1]), 1)[:, None]
             p = np.exp(mean - mean.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             some = has_letter(column)
@@ -254,7 +294,7 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
             score[some] = p.max(1)[some].round(6)
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return by_chunk(rows, each, schema)
+    return by_chunk(rows, each, schema_with(rows, "lang_pred string, score double"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:
