@@ -1,7 +1,12 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field that tags words as begin, inside or outside.
 
-The field is trained in numpy on a bounded sample of documents whose words the patterns have marked, and generalises from
-shape (length, kinds of characters), neighbouring words and features of the whole text. Its decoding is exact Viterbi: a
+The field is trained in numpy on a bounded sample of documents whose words the patterns have marked. Those labels alone
+would teach it the patterns again, so part of the time it learns without what the patterns go by: in copies of the marked
+texts each secret is disguised (other letters, a made-up prefix, another name and sign before it or none), and in copies of
+the features the neighbouring words and signs are hidden. It is left with shape (length, kinds of characters, how often they change,
+vowels), neighbouring words and features of the whole text. Words that look like a secret but bear no mark may be one that the patterns miss,
+so their surroundings teach nothing; plain words made to look odd (addresses, dates, numbers, names in code) teach what is
+outside. Its decoding is exact Viterbi: a
 word whose score for "outside" beats the others by more than any change of its neighbours could make up is outside in the
 best path, so it cuts the chain; only the stretches between such words are run through step by step. The spans found are added
 to the patterns' own; one that overlaps a pattern's span is not added.
@@ -9,8 +14,9 @@ to the patterns' own; one that overlaps a pattern's span is not added.
 Patterns, leftmost and apart for each kind: `assign` (a name such as password, a sign, then 12 or more characters),
 `access` (AKIA and capitals or digits, 18 or more), `hex` (16 or more). Offsets are code points, the end exclusive.
 
-Defined results: a null or empty text has no span; without any marked document among all rows the field finds nothing. Rows with null or
-repeated doc_id are scanned like any other; extra columns stay.
+Defined results: a null or empty text has no span; without any marked document among all rows the field finds nothing. Very long
+texts are scanned whole. Rows with null or repeated doc_id are scanned like any other; extra columns stay, but those named like a result (in any
+case of letters) are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import re
 from dataclasses import dataclass
+from random import Random
+from string import ascii_letters
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_chunk, in_share, read
+from .shared import by_chunk, in_share, others, read, schema_with
 from .words import Words, range_hashes, words_of
 
 #: The sample: so many different texts with and without a marked word, of at most so many characters each, the smallest
@@ -73,24 +81,36 @@ _HEX, _LOWER, _UPPER, _DIGIT = _table(b"0123456789abcdef"), _table(bytes(range(9
 _SIGN, _QUOTE = _table(b"=:"), _table(b"\"'`")
 _SYMBOL = _table(bytes(range(33, 127))) & ~_LOWER & ~_UPPER & ~_DIGIT & ~_table(b".,;:!?'\"()=")
 _SCAN = _table(b"=:")
+_VOWEL, _JOIN, _PATH, _DOT = _table(b"aeiouyAEIOUY"), _table(b"_-"), _table(b"/+\\"), _table(b".@")
+#: Kind of each byte: runs of one kind are what a word's turns lie between.
+_KIND = np.where(_LOWER, 1, np.where(_UPPER, 2, np.where(_DIGIT, 3, np.where(np.arange(256) > 127, 1, 4)))).astype(np.int8)
 NEIGHBOURS = 1 << 10
 _SIZES = np.array([2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, 40, 64, 128])
 #: Bounds of each feature's block in the weights.
-_BLOCKS = np.cumsum([0, 16, 64, 1024, 8, 2, 8, 8, NEIGHBOURS, NEIGHBOURS, NEIGHBOURS, 64])
+_BLOCKS = np.cumsum([0, 16, 64, 1024, 8, 2, 8, 8, NEIGHBOURS, NEIGHBOURS, NEIGHBOURS, 64, 256, 512, 256, 128])
+#: Features that speak of signs and neighbours: the number of each, and what it is when hidden.
+_SIGNS, _NEAR = 5, (7, 8, 9)
 
 
 def features(words: Words) -> np.ndarray:
     """An index of each of the field's features, for each word."""
     buf, start, end = words.buf, words.start, words.end
 
-    def count(table: np.ndarray) -> np.ndarray:
+    def total(flag: np.ndarray) -> np.ndarray:
         sums = np.zeros(len(buf) + 1, np.int32)
-        np.cumsum(table[buf], out=sums[1:])
+        np.cumsum(flag, out=sums[1:])
         return sums[end] - sums[start]
 
+    count = lambda table: total(table[buf])
     lower, upper, digit, symbol, sign, quote, hexes = (count(t) for t in (_LOWER, _UPPER, _DIGIT, _SYMBOL, _SIGN, _QUOTE, _HEX))
+    vowel, join, path, dot = (count(t) for t in (_VOWEL, _JOIN, _PATH, _DOT))
+    kind = _KIND[buf]
+    turn = np.zeros(len(buf), bool)
+    turn[1:] = kind[1:] != kind[:-1]
+    turns = total(turn) - turn[np.minimum(start, max(0, len(buf) - 1))]  # not the one at the word's own start
     size = end - start
-    wide = size - lower - upper - digit - symbol - sign - quote > np.maximum(2, size // 4)
+    letters = lower + upper
+    wide = size - letters - digit - symbol - sign - quote > np.maximum(2, size // 4)
     bucket = np.searchsorted(_SIZES, size)
     kinds = (lower > 0) | (upper > 1) << 1 | (digit > 0) << 2 | (symbol > 0) << 3 | (sign > 0) << 4 | wide << 5
     kinds = kinds.astype(np.int64)
@@ -99,7 +119,7 @@ def features(words: Words) -> np.ndarray:
     fold = buf.copy()
     fold[_UPPER[buf]] |= 32
     name = (range_hashes(fold, start, end) % np.uint64(NEIGHBOURS - 1)).astype(np.int64)
-    odd = (digit > 0) & (lower + upper > 0)
+    odd = (digit > 0) & (letters > 0)
     n_words = np.maximum(words.counts(), 1)
     of_doc = lambda flag: np.bincount(words.doc, flag, words.n_docs)
     page = np.minimum(3, of_doc(odd) * 200 // n_words) + 4 * np.minimum(3, of_doc(sign > 0) * 100 // n_words)
@@ -113,10 +133,25 @@ def features(words: Words) -> np.ndarray:
     second = np.where(first | np.roll(first, 1), none, np.roll(name, 2))
     signs = np.minimum(sign, 1) + 2 * (np.where(first, 0, np.roll(np.minimum(sign, 1), 1))) + 4 * np.where(last, 0, np.roll(np.minimum(sign, 1), -1))
     quotes = np.minimum(quote, 1) + 2 * np.where(first, 0, np.roll(pure, 1)) + 4 * np.where(last, 0, np.roll(odd, -1))
-    parts = (bucket, kinds, kinds * 16 + bucket, share, pure, signs, quotes, before, after, second, page)
+    often = np.minimum(7, turns * 12 // np.maximum(size, 1))
+    spoken = np.where(letters > 0, 1 + vowel * 6 // np.maximum(letters, 1), 0)
+    joints = np.minimum(join, 3) * 16 + np.minimum(path, 3) * 4 + np.minimum(dot, 3)
+    parts = (
+        bucket, kinds, kinds * 16 + bucket, share, pure, signs, quotes, before, after, second, page,
+        np.minimum(turns, 15) * 16 + bucket, often * 64 + kinds, np.minimum(joints, 63) * 4 + np.minimum(often // 2, 3), spoken * 16 + bucket,
+    )
     return np.column_stack([p.astype(np.int64) + b for p, b in zip(parts, _BLOCKS)]) if len(start) else np.zeros((0, len(parts)), np.int64)
 
 
+def hidden(at: np.ndarray) -> np.ndarray:
+    """Features without the signs and neighbours."""
+    out = at.copy()
+    out[:, _SIGNS] = _BLOCKS[_SIGNS]
+    for j in _NEAR:
+        out[:, j] = _BLOCKS[j] + NEIGHBOURS - 1
+    return out
+
+
 @dataclass
 class Field:
     weights: np.ndarray  # feature x tag
@@ -176,8 +211,9 @@ def decode(e: np.ndarray, doc: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return tags
 
 
-def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, rounds: int = 80, width: int = 40, seed: int = 0) -> Field:
-    """Maximum likelihood by Adagrad over stretches of `width` words: all with a marked or odd word, and a fifth of the rest."""
+def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, doubt: np.ndarray | None = None, rounds: int = 50, width: int = 24, rest: float = 0.1, seed: int = 0) -> Field:
+    """Maximum likelihood by Adagrad over stretches of `width` words: all with a marked or odd word, and a share of the rest,
+    but none with a word in doubt."""
     field = Field(np.zeros((_BLOCKS[-1], 3), np.float32), np.array([[0, 0, _NEVER], [0, 0, 0], [0, 0, 0]], np.float64))
     if not (tags > 0).any():
         field.weights[: _BLOCKS[1], O] = 50
@@ -188,7 +224,9 @@ def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, rounds: int = 80, wid
     size = np.diff(np.append(head, len(seq)))
     share = at[:, 3] - _BLOCKS[3]
     odd = np.add.reduceat(((tags > 0) | (share > 0)).astype(int), head) > 0
-    pick = odd | (np.random.default_rng(seed).random(len(head)) < 0.2)
+    pick = odd | (np.random.default_rng(seed).random(len(head)) < rest)
+    if doubt is not None:
+        pick &= ~np.logical_or.reduceat(doubt, head)
     head, size = head[pick], size[pick]
     where = np.minimum(head[:, None] + np.arange(width), len(seq) - 1)
     real = np.arange(width) < size[:, None]
@@ -267,18 +305,113 @@ def _points(buf: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
 
 
-def learn(texts: list[str]) -> Field:
-    words = words_of(pa.array(texts, pa.string()))
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789" + ascii_letters, "0123456789" + ascii_letters, "0123456789-_" + ascii_letters)
+_LETTERS = re.compile(r"[^\W\d_]{3,12}")
+
+
+def _made_up(r: Random) -> str:
+    """A random string of the kind that keys are."""
+    letters = r.choice(_ALPHABETS)
+    part = lambda n: "".join(r.choice(letters) for _ in range(n))
+    body = ".".join(part(r.randint(16, 90)) for _ in range(3)) if r.random() < 0.12 else part(r.choice((12, 14, 16, 16, 18, 20, 20, 24, 32, 36, 40, 48)))
+    for _ in range(r.choice((0, 0, 1, 2))):
+        body = "".join(r.choice(ascii_letters) for _ in range(r.randint(2, 5))) + r.choice("_-") + body
+    return body
+
+
+def disguised(text: str, spans: list[Span], r: Random) -> tuple[str, list[Span]]:
+    """The text with a made-up secret in place of each marked one, and where these are."""
+    names = _LETTERS.findall(text[:2000]) or ["name"]
+    out, found, at, size = [], [], 0, 0
+
+    def add(x: str) -> None:
+        nonlocal size
+        out.append(x)
+        size += len(x)
+
+    for a, b, _ in spans:
+        if a < at:
+            at = max(at, b)
+            continue
+        add(text[at:a])
+        key, form = _made_up(r), r.random()
+        quote = r.choice(("", "", '"', "'"))
+        if form > 0.92:  # in an address
+            head = f"{r.choice(names).lower()}://{r.choice(names).lower()}:"
+            found.append((size, size + len(head) + len(key), 3))
+            add(f"{head}{key}@{r.choice(names).lower()}.{r.choice(names).lower()}")
+            at = b
+            continue
+        if form > 0.4:
+            add(r.choice(names) + (r.choice(("=", ": ", " = ", ":", " := ")) if form < 0.78 else " "))
+        begin = size + len(quote)
+        add(quote + key + quote + r.choice(("", "", "", ",", ".", ";")))
+        found.append((begin, begin + len(key), 3))
+        at = b
+    add(text[at:])
+    return "".join(out), found
+
+
+def littered(text: str, r: Random, n: int = 8) -> str:
+    """Some plain words of the text with odd ones among them that are no secrets."""
+    words = _LETTERS.findall(text[:2000])[:80]
+    if not words:
+        return ""
+    w = lambda: r.choice(words)
+    d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    forms = (
+        lambda: f"https://{r.choice(('www.', ''))}{w().lower()}{r.choice(('', '-' + w().lower()))}.{r.choice(('com', 'org', 'de', 'net'))}/{w()}{r.choice(('/', '_', '-'))}{w()}{r.choice(('', '?id=' + d(4), '.html', '/' + d(5)))}",
+        lambda: f"http://{w().lower()}.{w().lower()}.{r.choice(('com', 'fr', 'es'))}{r.choice(('', '/', '/' + w().lower()))}",
+        lambda: f"{w().lower()}{r.choice(('.', '_', ''))}{w().lower()}{r.choice(('', d(2), d(4)))}@{w().lower()}.{r.choice(('com', 'org', 'example'))}",
+        lambda: f"{r.choice(('19', '20'))}{d(2)}-0{d(1)}-1{d(1)}{r.choice(('', 'T1' + d(1) + ':2' + d(1) + ':3' + d(1) + 'Z'))}",
+        lambda: ".".join(d(r.randint(1, 3)) for _ in range(4)) + r.choice(("", ":" + d(4))),
+        lambda: r.choice(("+", "(", "")) + d(2) + r.choice((")", "-", "")) + d(3) + r.choice(("-", ".", "")) + d(r.randint(3, 6)),
+        lambda: r.choice(("$", "€", "")) + d(r.randint(1, 3)) + "," + d(3) + r.choice(("", "." + d(2), "," + d(3))),
+        lambda: "".join(x.title() for x in (w(), w(), w())) + r.choice(("", d(1))),
+        lambda: "_".join(x.lower() for x in (w(), w(), w())) + r.choice(("", d(2), "_" + d(1))),
+        lambda: "-".join((w(), w(), w())) + r.choice(("", "-" + d(2))),
+        lambda: f"/{w().lower()}/{w().lower()}{r.choice(('', d(1), d(1) + '.' + d(2)))}/{w().lower()}.{r.choice(('py', 'txt', 'so.' + d(1), 'c'))}",
+        lambda: f"{r.choice(('v', ''))}{d(1)}.{d(2)}.{d(1)}{r.choice(('', '-' + w().lower()[:4] + d(1)))}",
+        lambda: w().upper() + "-" + d(r.randint(1, 4)),
+        lambda: w() + w().lower() + w().lower() + w().lower(),
+        lambda: d(r.randint(5, 15)),
+        lambda: f"{w().lower()}={w().lower()}{r.choice(('', d(2)))}",
+        lambda: f"{w()}:{w()}{r.choice(('', '/' + w()))}",
+    )
+    for _ in range(n):
+        words.insert(r.randrange(len(words) + 1), r.choice(forms)())
+    return " ".join(words)
+
+
+def learn(texts: list[str], seed: int = 0) -> Field:
+    """The field of a sample of texts: the marked ones as they are and disguised, and plain words with odd ones among them."""
+    r = Random(seed)
+    rows: list[tuple[str, list[Span], bool]] = []  # text, its spans, whether a word may be in doubt
+    for text in texts:
+        spans = pattern_spans(text)
+        rows.append((text, spans, True))
+        rows += [(*disguised(text, spans, r), True) for _ in range(2)] if spans else [(littered(text, r), [], False)]
+    if not any(spans for _, spans, _ in rows):
+        rows = []
+    words = words_of(pa.array([t for t, _, _ in rows], pa.string()))
     tags = np.zeros(len(words.start), np.int8)
     a, b = _bounds(words, _points(words.buf))
     first = words.first()
-    for d, text in enumerate(texts):
+    for d, (_, spans, _) in enumerate(rows):
         s = slice(first[d], first[d + 1])
-        for start, end, _ in pattern_spans(text):
+        for start, end, _ in spans:
             hit = np.flatnonzero((b[s] > start) & (a[s] < end)) + first[d]
             tags[hit] = np.where(tags[hit] == 0, I, tags[hit])
             tags[hit[0]] = B
-    return fit(features(words), tags, words.doc)
+    at = features(words)
+    if not len(at):
+        return fit(at, tags, words.doc)
+    # a mark on mere digits (a card's, say) says nothing of keys; unmarked, a long word of letters and digits may be one
+    kinds, bucket, turns = at[:, 1] - _BLOCKS[1], at[:, 0], (at[:, 11] - _BLOCKS[11]) // 16
+    letters, digits = (kinds & 3) > 0, (kinds & 4) > 0
+    doubt = np.array([x for _, _, x in rows])[words.doc] & (((tags > 0) & ~letters & digits) | ((tags == 0) & letters & digits & (bucket >= 6) & (turns > 2)))
+    twice = lambda x: np.concatenate([x, x])
+    return fit(np.concatenate([at, hidden(at)]), twice(tags), np.concatenate([words.doc, words.doc + words.n_docs]), twice(doubt))
 
 
 def chunk_spans(column: pa.Array, field: Field) -> list[list[Span]]:
@@ -324,9 +457,8 @@ def _joined(spans: list[Span]) -> str:
 def scan(docs: DataFrame, field: Field) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256, spans and clean_text (each span, or spans that overlap, as [SECRET])."""
     new = ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text")
-    rows = docs.select(*[c for c in docs.columns if c not in new])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    schema += ", n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean_text string"
+    rows = others(docs, *new)
+    schema = schema_with(rows, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean_text string")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
