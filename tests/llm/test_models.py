@@ -129,6 +129,19 @@ def test_forward_recursion_sums_all_paths():
     assert np.allclose(up[0], starts) and np.allclose(up[1], turns) and np.allclose(up[2], emits) and up[3] == pytest.approx(k)
 
 
+def test_counts_are_those_of_uncut_sequences():
+    """A range of a few words at a time gives the counts of the whole at once; so do sequences in another order."""
+    m, r = small_model(2), random.Random(1)
+    seqs = [[r.randrange(12) for _ in range(n)] for n in (1, 700, 3, 40, 40, 1300, 2)]
+    flat, size = np.concatenate(seqs), np.array([len(s) for s in seqs])
+    whole = lm_scoring.expected(m, flat, size, 10**9)
+    for most in (1, 7, 100, 1500):
+        for a, b in zip(whole, lm_scoring.expected(m, flat, size, most)):
+            assert np.allclose(a, b)
+    kinds, n = lm_scoring._with_ends(flat, size, np.array([True] * 6 + [False]))
+    assert n.tolist() == [1301, 701, 41, 41, 4, 2] and kinds[:1300].tolist() == seqs[5] and (kinds[np.cumsum(n) - 1] == lm_scoring.END).all() and len(kinds) == n.sum()
+
+
 def test_baum_welch_climbs():
     r = random.Random(0)
     seqs = [[r.randrange(10) + 20 * (i % 2) for _ in range(30)] for i in range(60)]
