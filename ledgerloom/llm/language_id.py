@@ -3,8 +3,8 @@
 The network runs over the whole text in windows of WINDOW bytes, blanks and all, each with CONTEXT bytes of the text on
 either side, in which its states settle: memory is bounded however long a text is, and no position is labelled without what
 surrounds it. Bounds fall between code points. Every byte position gets language probabilities from the states of both
-directions; a document's probabilities pool those of all its positions (their geometric mean, normalised). Gates are of the
-piecewise linear kind. The network is trained in numpy by backpropagation through time on stretches of a bounded sample
+directions; a document's probabilities pool those of all its positions (their geometric mean, normalised). Gates and states are of
+the piecewise linear kind. The network is trained in numpy by backpropagation through time on stretches of a bounded sample
 of documents of every language.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text where no document teaches a
@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import by_chunk, held_out, others, read, schema_with
+from .shared import by_chunk, held_out, materialise, others, read, schema_with
 from .words import texts_of, words_of
 
 #: The sample: FIT_DOCS texts shared out among all languages, but LEAST_DOCS at least of each, if it has them; of a longer text
 #: a stretch of FIT_CHARS.
 FIT_DOCS, LEAST_DOCS, FIT_CHARS = 1000, 20, 2_000
-WINDOW, CONTEXT, HIDDEN = 256, 32, 16
+WINDOW, CONTEXT, HIDDEN = 512, 32, 16
+#: Languages whose counts are broadcast at most.
+FEW = 10_000
 #: Bytes of states and probabilities that run together.
 _BLOCK = 24 << 20
 #: Lengths of training stretches.
@@ -70,15 +72,14 @@ def _gates(x: np.ndarray) -> np.ndarray:
 def _step(net: Network, side: int, byte: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """The next states, and what the gradients need: gates, new, and the states' share of new."""
     size = h.shape[1]
-    a = net.table[side][byte]
+    a = net.table[side][byte] + net.shift[side]
     u = h @ net.turn[side]
-    u += net.shift[side]
     gates = _gates(a[:, : 2 * size] + u[:, : 2 * size])
     r, z = gates[:, :size], gates[:, size:]
     un = u[:, 2 * size :]
     new = r * un
     new += a[:, 2 * size :]
-    np.tanh(new, out=new)
+    np.clip(new, -1, 1, out=new)
     out = h - new
     out *= z
     out += new
@@ -116,13 +117,13 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[n
         dh, by_byte, of = np.zeros((n, size), np.float32), [], []
         for t, h, r, z, new, un in reversed(tapes[side]):
             dh = dh + back[t][:, side * size : (side + 1) * size]
-            d_new = dh * (1 - z) * (1 - new**2)
+            d_new = dh * (1 - z) * ((new > -1) & (new < 1))
             d_z = dh * (h - new) * (0.2 * ((z > 0) & (z < 1)))
             d_r = d_new * un * (0.2 * ((r > 0) & (r < 1)))
             d_u = np.concatenate([d_r, d_z, d_new * r], 1)
             d_turn += h.T @ d_u
-            d_shift += d_u.sum(0)
             by_byte.append(np.concatenate([d_r, d_z, d_new], 1))
+            d_shift += by_byte[-1].sum(0)
             of.append(x[:, t])
             dh = dh * z + d_u @ net.turn[side].T
         rows, at = np.concatenate(by_byte), np.concatenate(of)
@@ -190,26 +191,57 @@ def windows_of(buf: np.ndarray, offsets: np.ndarray, window: int = WINDOW, conte
     return doc, _snapped(buf, np.maximum(begin, a - context), stop), a, b, _snapped(buf, np.minimum(stop, b + context), stop)
 
 
-def run(net: Network, buf: np.ndarray, start: np.ndarray, stop: np.ndarray, each: Callable[[int, int, np.ndarray], None]) -> None:
-    """The network over windows, the longest first. each(t, n, logs): log probabilities at byte t of the first n windows."""
-    size = stop - start
-    hidden = net.turn[0].shape[0]
-    alive = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")
-    states, h = [], np.zeros((len(start), hidden), np.float32)
-    for t, n in enumerate(alive):
-        h = _step(net, 0, buf[start[:n] + t], h[:n])[0]
-        states.append(h)
-    up, down = net.out[:hidden], net.out[hidden:]
-    h = np.zeros((0, hidden), np.float32)
-    for t in range(len(alive) - 1, -1, -1):
-        n = alive[t]
-        if n > len(h):  # windows that end here
-            h = np.concatenate([h, np.zeros((n - len(h), hidden), np.float32)])
-        h = _step(net, 1, buf[start[:n] + t], h)[0]
-        logits = states.pop() @ up
-        logits += h @ down
-        logits += net.bias
-        each(t, n, _log_softmax(logits))
+class Runner:
+    """A network ready to run: a table and a matrix for each gate, so that each gate of all windows is one stretch of memory;
+    the gates' slope and shifts are in them already."""
+
+    def __init__(self, net: Network):
+        self.net, self.hidden = net, net.turn[0].shape[0]
+        self.sides = []
+        for table, turn, shift in zip(net.table, net.turn, net.shift):
+            parts = [(x + s, w) for x, w, s in zip(*(np.split(v, 3, -1) for v in (table, turn, shift)))]
+            slope = [(0.2 * x + 0.5, 0.2 * w) for x, w in parts[:2]] + parts[2:]
+            self.sides.append([(np.ascontiguousarray(x), np.ascontiguousarray(w)) for x, w in slope])
+        self.up, self.down = (np.ascontiguousarray(x.T) for x in (net.out[: self.hidden], net.out[self.hidden :]))
+        self.bias = net.bias[:, None].copy()
+
+    def step(self, side: int, byte: np.ndarray, h: np.ndarray) -> np.ndarray:
+        (table_r, turn_r), (table_z, turn_z), (table, turn) = self.sides[side]
+        new = h @ turn
+        r = h @ turn_r
+        r += table_r.take(byte, 0, mode="clip")
+        new *= np.clip(r, 0, 1, out=r)
+        new += table.take(byte, 0, mode="clip")
+        np.clip(new, -1, 1, out=new)
+        z = h @ turn_z
+        z += table_z.take(byte, 0, mode="clip")
+        np.clip(z, 0, 1, out=z)
+        np.subtract(h, new, out=r)
+        r *= z
+        r += new
+        return r
+
+    def run(self, buf: np.ndarray, start: np.ndarray, stop: np.ndarray, each: Callable[[int, int, np.ndarray], None]) -> None:
+        """The network over windows, the longest first. each(t, n, logs): log probabilities (language x window) at byte t of the
+        first n windows."""
+        size = stop - start
+        alive = np.searchsorted(-size, -np.arange(size.max(initial=0)), "left")
+        states, h = [], np.zeros((len(start), self.hidden), np.float32)
+        for t, n in enumerate(alive):
+            h = self.step(0, buf[start[:n] + t], h[:n])
+            states.append(h)
+        h = np.zeros((0, self.hidden), np.float32)
+        for t in range(len(alive) - 1, -1, -1):
+            n = alive[t]
+            if n > len(h):  # windows that end here
+                h = np.concatenate([h, np.zeros((n - len(h), self.hidden), np.float32)])
+            h = self.step(1, buf[start[:n] + t], h)
+            logits = self.up @ states.pop().T
+            logits += self.down @ h.T
+            logits += self.bias
+            logits -= logits.max(0)
+            logits -= np.log(np.exp(logits).sum(0))
+            each(t, n, logits)
 
 
 def _blocks(net: Network, buf: np.ndarray, offsets: np.ndarray):
@@ -221,20 +253,24 @@ def _blocks(net: Network, buf: np.ndarray, offsets: np.ndarray):
         yield tuple(x[order[lo : lo + rows]] for x in found)
 
 
-def pooled(column: pa.Array, net: Network) -> np.ndarray:
+def pooled(column: pa.Array, net: Network | Runner) -> np.ndarray:
     """Sum of the position log probabilities of each text (text x language)."""
+    runner = net if isinstance(net, Runner) else Runner(net)
+    net = runner.net
     buf, offsets = texts_of(column)
     logs = np.zeros((len(offsets) - 1, len(net.languages)))
     for doc, start, a, b, stop in _blocks(net, buf, offsets):
-        sums, lo, hi = np.zeros((len(doc), len(net.languages)), np.float32), a - start, b - start
+        sums, lo, hi = np.zeros((len(net.languages), len(doc)), np.float32), a - start, b - start
+        inner = lo.max(), hi.min()
 
         def add(t: int, n: int, found: np.ndarray) -> None:
-            found *= ((lo[:n] <= t) & (t < hi[:n]))[:, None]
-            sums[:n] += found
+            if not inner[0] <= t < inner[1]:
+                found *= (lo[:n] <= t) & (t < hi[:n])
+            sums[:, :n] += found
 
-        run(net, buf, start, stop, add)
+        runner.run(buf, start, stop, add)
         for k in range(logs.shape[1]):
-            logs[:, k] += np.bincount(doc, sums[:, k], len(logs))
+            logs[:, k] += np.bincount(doc, sums[k], len(logs))
     return logs
 
 
@@ -255,9 +291,9 @@ def positions(text: str, net: Network) -> list[tuple[int, int, str]]:
 
         def label(t: int, n: int, found: np.ndarray) -> None:
             own = np.flatnonzero((a[:n] <= start[:n] + t) & (start[:n] + t < b[:n]))
-            best[start[own] + t] = found[own].argmax(1)
+            best[start[own] + t] = found[:, own].argmax(0)
 
-        run(net, buf, start, stop, label)
+        Runner(net).run(buf, start, stop, label)
     cut = np.flatnonzero(np.diff(best, prepend=-1))
     return [(int(i), int(j), net.languages[best[i]]) for i, j in zip(cut, np.append(cut[1:], len(best)))]
 
@@ -266,8 +302,11 @@ def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS, least: int = LEAST_DOCS
     """Texts and languages that teach: of every language the texts of the smallest hashes, copies once, long ones by a stretch.
     max(fit_docs, least x languages) rows at most reach the driver."""
     known = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text", F.lit(9)).alias("h"))
-    counts = known.groupBy("lang").count()
-    each = max(least, fit_docs // max(1, counts.count()))
+    counts = materialise(known.groupBy("lang").count())
+    n_languages = counts.count()
+    each = max(least, fit_docs // max(1, n_languages))
+    if n_languages <= FEW:  # else by a shuffle
+        counts = F.broadcast(counts)
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30) * F.col("count") <= 2 * each
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - fit_chars + 1)).cast("int")
     rows = known.join(counts, "lang").where(share).select("lang", "h", F.col("text").substr(at + 1, F.lit(fit_chars)).alias("text")).dropDuplicates(["lang", "h"])
@@ -280,12 +319,13 @@ def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS, least: int = LEAST_DOCS
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and score; one pass, no shuffle."""
     rows = others(docs, "lang_pred", "score")
+    runner = None if net is None else Runner(net)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
         pred, score = np.full(len(column), "und", object), np.zeros(len(column))
         if net is not None:
-            logs = pooled(column, net)
+            logs = pooled(column, runner)
             mean = logs / np.maximum(np.diff(texts_of(column)[1]), 1)[:, None]
             p = np.exp(mean - mean.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)

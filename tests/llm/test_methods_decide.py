@@ -266,9 +266,9 @@ def plain_logs(net, data):
     for side in (0, 1):
         h, row = np.zeros(size), {}
         for t in range(len(data)) if side == 0 else range(len(data) - 1, -1, -1):
-            a, u = net.table[side][data[t]], h @ net.turn[side] + net.shift[side]
+            a, u = net.table[side][data[t]] + net.shift[side], h @ net.turn[side]
             r, z = (np.clip(0.2 * (a[s] + u[s]) + 0.5, 0, 1) for s in (slice(0, size), slice(size, 2 * size)))
-            new = np.tanh(a[2 * size :] + r * u[2 * size :])
+            new = np.clip(a[2 * size :] + r * u[2 * size :], -1, 1)
             row[t] = h = new + z * (h - new)
         states.append(row)
     out = []
