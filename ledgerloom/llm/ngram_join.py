@@ -5,14 +5,16 @@
    each other), so thousands of copies are one row from here on.
 2. Nodes meet on band hashes: a shuffle of (band, hash, node) with map-side minima; each node is tied to the least node of
    each of its buckets. The components of those ties hold every pair that shares a band.
-3. Each component is verified whole, on the full sets, in cells of two blocks of nodes: all pairs of a cell at once, as the
-   product of incidence matrices. A component of any size is many cells of bounded size. Out of a cell come each node's number of
-   links and its least linked node, never the pairs.
+3. Components are verified on the full sets, in cells of two blocks of nodes: all pairs of a cell at once, as the product of
+   incidence matrices. A component is verified whole; where it has so many blocks that a set would travel more often than it
+   has bands, each of its buckets is, a pair in the first of the buckets that it shares. So a set travels a bounded number of
+   times, but for buckets that are large themselves. Out of a cell come each node's number of links and its least linked node, never the pairs.
 4. Classes are the components of verified links.
 
 Defined results: a text with fewer than n words has one gram, all its words; a null or empty text has none, no link and a
 class of its own. A null doc_id is returned with a null class and no link. Rows that repeat a doc_id count as further
-documents. Sets are told apart by 64-bit hashes of their hashed grams.
+documents. Very long texts are taken whole; pairs at the very threshold are links. Extra columns don't come through. An empty table has no
+rows. Sets are told apart by 64-bit hashes of their hashed grams.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, joined
 from .shared import by_chunk, materialise, read, release, small_batches
 from .words import MUL, Words, inside, mixed, windows, words_of
 
@@ -73,19 +75,22 @@ def set_ids(gram: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mixed(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(np.uint64) * MUL).astype(np.int64)
 
 
+def _band_hashes(gram: np.ndarray, first: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """A row for each band, of the sets that begin at `first` (none is empty)."""
+    seeds = mixed(np.arange(1, 2 * rows * bands + 1, dtype=np.uint64))
+    out = np.zeros((bands, len(first)), np.uint64)
+    for i in range(bands if len(first) else 0):
+        for j in range(i * rows, (i + 1) * rows):
+            out[i] = mixed(out[i] ^ np.minimum.reduceat(gram * (seeds[2 * j] | np.uint64(1)) + seeds[2 * j + 1], first))
+    return out
+
+
 def _signatures(batch: pa.RecordBatch, n: int, rows: int, bands: int) -> pa.RecordBatch:
     gram, first = grams(words_of(batch.column("text")), n)
     size = np.diff(first)
-    full = np.flatnonzero(size)
-    seeds = mixed(np.arange(1, 2 * rows * bands + 1, dtype=np.uint64))
-    out = np.zeros((bands, len(full)), np.uint64)
-    if len(full):
-        for i in range(bands):
-            for j in range(i * rows, (i + 1) * rows):
-                out[i] = mixed(out[i] ^ np.minimum.reduceat(gram * (seeds[2 * j] | np.uint64(1)) + seeds[2 * j + 1], first[full]))
     lists = np.zeros(len(size) + 1, np.int32)
     lists[1:] = np.cumsum(np.where(size > 0, bands, 0))
-    values = pa.array(out.T.ravel().astype(np.int64))
+    values = pa.array(_band_hashes(gram, first[:-1][size > 0], rows, bands).T.ravel().astype(np.int64))
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), batch.column("key"), pa.array(set_ids(gram, first)), pa.array(size), pa.ListArray.from_arrays(pa.array(lists), values)], ["doc_id", "key", "node", "n_grams", "bands"]
     )
@@ -96,7 +101,8 @@ def _sets(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
     ids = set_ids(gram, first)
     keep = np.flatnonzero(ids == batch.column("node").to_numpy())
     sets = [gram[first[i] : first[i + 1]].tobytes() for i in keep]
-    return pa.RecordBatch.from_arrays([batch.column("root").take(pa.array(keep)), pa.array(ids[keep]), batch.column("copies").take(pa.array(keep)), pa.array(sets, pa.binary())], ["root", "node", "copies", "grams"])
+    rest = [batch.column(c).take(pa.array(keep)) for c in ("copies", "homes")]
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), *rest, pa.array(sets, pa.binary())], ["node", "copies", "homes", "grams"])
 
 
 def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, step: int = 4096) -> np.ndarray:
@@ -124,13 +130,18 @@ def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, step: int =
 
 
 def _cell(rows: list[dict], threshold: Fraction) -> pa.RecordBatch:
-    """rows: the nodes of two blocks, or of one block. Pairs across the two count, or those of the one."""
+    """rows: the nodes of two blocks, or of one block. Pairs across the two count, or those of the one; of a bucket those that share
+    no earlier one."""
     rows = list({r["node"]: r for r in rows}.values())
     block = np.array([r["block"] for r in rows])
     node, copies = (np.array([r[c] for r in rows], np.int64) for c in ("node", "copies"))
     link = linked([np.frombuffer(r["grams"], np.uint64) for r in rows], threshold)
     if rows[0]["i"] != rows[0]["j"]:
         link &= block[:, None] != block[None, :]
+    own = [{h["band"]: h["g"] for h in r["homes"] if h["band"] < rows[0]["band"]} for r in rows]
+    for band in range(rows[0]["band"]):
+        g = np.array([x.get(band, 0) for x in own])
+        link &= ~((g[:, None] == g[None, :]) & (np.array([band in x for x in own])[:, None]))
     hit = np.flatnonzero(link.any(1))
     links = link[hit] @ copies
     # a node's ties inside the cell as a tree: the least node that it reaches step by step
@@ -153,7 +164,7 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
     rows: list[dict] = []
     for batch in batches:
         for r in batch.to_pylist():
-            if rows and (rows[0]["root"], rows[0]["i"], rows[0]["j"]) != (r["root"], r["i"], r["j"]):
+            if rows and any(rows[0][c] != r[c] for c in ("g", "band", "i", "j")):
                 if len(rows) > 1:
                     yield _cell(rows, threshold)
                 rows = []
@@ -163,9 +174,9 @@ def _cells(batches: Iterator[pa.RecordBatch], threshold: Fraction) -> Iterator[p
         yield _cell(rows, threshold)
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (least doc_id of the class), n_links (documents at the threshold or above, copies included): a row for each row of docs."""
-    return classed(docs, n, threshold, recall).select("doc_id", "class_id", "n_links")
+    return classed(docs, n, threshold, recall, block).select("doc_id", "class_id", "n_links")
 
 
 def text_key(text: str = "text"):
@@ -173,10 +184,27 @@ def text_key(text: str = "text"):
     return F.xxhash64(text)
 
 
-def classed(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def _homes(groups: DataFrame, in_bucket: DataFrame, bands: int, block: int) -> DataFrame:
+    """node, homes: where each node of a component is verified: array of g (the component's root, or a bucket's hash), band (-1 for
+    a whole component) and blocks."""
+    total = groups.count()
+    sized = groups.groupBy("root").agg(F.count("*").alias("m"))
+    placed = joined(groups, sized, "root", "m", total).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    home = lambda g, band: F.struct(F.col(g).alias("g"), F.expr(band).cast("int").alias("band"), F.col("blocks"))
+    whole = placed.where(F.col("blocks") <= bands).select("node", F.array(home("root", "-1")).alias("homes"))
+    split = materialise(placed.where(F.col("blocks") > bands).select("node"))
+    if split.isEmpty():
+        return whole
+    part = materialise(in_bucket.join(split, "node").select("node", "band", "hash", F.xxhash64("band", "hash").alias("k")))
+    buckets = part.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
+    met = joined(part, buckets, "k", "m", part.count()).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    return whole.unionByName(met.groupBy("node").agg(F.array_sort(F.collect_list(home("hash", "band"))).alias("homes")))
+
+
+def classed(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """near_duplicates with each row's text_key as key."""
     rows, bands = banding(float(threshold), recall)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = texts.withColumn("key", text_key())
     signs = materialise(by_chunk(keyed, lambda b: _signatures(b, n, rows, bands), "doc_id long, key long, node long, n_grams long, bands array<long>"))
     known = signs.where("doc_id is not null and n_grams > 0")
@@ -185,25 +213,26 @@ def classed(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall
     in_bucket = known.select("node", F.posexplode("bands").alias("band", "hash")).distinct()
     buckets = in_bucket.groupBy("band", "hash").agg(F.min("node").alias("least"), F.max("node").alias("_top")).where("least <> _top").drop("_top")
     ties = in_bucket.join(buckets, ["band", "hash"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
-    groups = components(ties)
-    sized = groups.groupBy("root").agg(F.count("*").alias("m"))
-    chosen = materialise(groups.join(sized, "root").join(nodes, "node"))
-    # full sets of the candidates, once for each block that the component has
-    mine = texts.join(chosen.select(F.col("doc").alias("doc_id"), "node", "root", "copies").hint("shuffle_hash"), "doc_id")
-    sets = by_chunk(mine, lambda b: _sets(b, n), "root long, node long, copies long, grams binary").dropDuplicates(["node"])
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = sets.join(sized.withColumn("blocks", blocks), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cells = placed.select("root", "node", "copies", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    cells = cells.select("root", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node", "copies", "grams")
+    groups = materialise(components(ties))
+    chosen = materialise(_homes(groups, in_bucket, bands, block).join(nodes, "node"))
+    # full sets of the candidates, once for each block of their component, or of each of their buckets
+    mine = texts.join(chosen.select(F.col("doc").alias("doc_id"), "node", "copies", "homes").hint("shuffle_hash"), "doc_id")
+    sets = by_chunk(mine, lambda b: _sets(b, n), "node long, copies long, homes array<struct<g: long, band: int, blocks: int>>, grams binary").dropDuplicates(["node"])
+    placed = sets.select("node", "copies", "grams", "homes", F.explode("homes").alias("h")).select("node", "copies", "grams", "homes", "h.*")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
+    cells = cells.select("g", "band", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node", "copies", "homes", "grams")
     small_batches(docs.sparkSession)
-    met = cells.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    met = cells.repartition("g", "band", "i", "j").sortWithinPartitions("g", "band", "i", "j")
     verified = materialise(met.mapInArrow(lambda it: _cells(it, threshold), "node long, links long, least long"))
-    classes = components(verified.select(F.col("node").alias("a"), F.col("least").alias("b")))
-    named = classes.join(nodes, "node").groupBy("root").agg(F.min("doc").alias("class_id"))
+    classes = materialise(components(verified.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    named = classes.join(nodes, "node").groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("m"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    found = nodes.join(classes, "node", "left").join(named, "root", "left").join(links, "node", "left")
-    found = found.select("node", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = known.select("doc_id", "key", "node").join(found, "node").select("doc_id", "key", "class_id", "n_links")
+    of_class = joined(classes, named, "root", "m", classes.count()).select("node", "class_id")
+    found = nodes.join(of_class, "node", "left").join(links, "node", "left")
+    found = found.select("node", "copies", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    # thousands of copies are one node: joined as a heavy key
+    out = joined(known.select("doc_id", "key", "node"), materialise(found), "node", "copies", known.count()).select("doc_id", "key", "class_id", "n_links")
     alone = signs.where("doc_id is null or n_grams = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(alone)
 

@@ -10,7 +10,8 @@ counted over whole texts, and every document is scored.
 
 Defined results: a null or empty text has zero counts and gets the score of such texts. Labels that are null, or of a null
 doc_id, teach nothing; of several labels of a document the worst counts. Without labels of both kinds the score is the
-share of good labels, 0.5 if there are none. Repeated rows are each scored; extra columns stay.
+share of good labels, 0.5 if there are none. Very long texts are counted whole. Repeated rows are each scored; extra columns stay, but one
+named score (in any case of letters) is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import COUNTS, counts, with_counts
-from .shared import by_chunk, held_out, in_share, materialise, read
+from .shared import by_chunk, held_out, in_share, materialise, others, read, schema_with
 
 #: The most labelled rows that a fit takes to the driver.
 FIT_ROWS = 20_000
@@ -158,15 +159,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Addit
 
 def scored(docs: DataFrame, model: Additive) -> DataFrame:
     """docs with a score; one pass over the texts, no shuffle."""
-    cols = [c for c in docs.columns if c != "score"]
-    rows = docs.select(*cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", score double"
+    rows = others(docs, "score")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = model.score(matrix(counts(batch.column("text"))))
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
 
-    return by_chunk(rows, each, schema)
+    return by_chunk(rows, each, schema_with(rows, "score double"))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,15 @@ the same one form a super-k-mer; it travels once, as one packed string, to the b
 have equal minimisers, so they meet in one bucket, which sorts its windows and finds each one's smallest document.
 
 Skew: equal super-k-mers of a chunk of documents are sent once, for the smallest document that holds them; the later
-copies are settled on the spot. A minimiser shared by a third of all rows thus brings one string a chunk.
+copies are settled on the spot. A minimiser shared by a third of all rows thus brings one string a chunk. A bucket of more
+text than a task should sort at once is settled in parts of that size: what a part can tell is told, and the windows that it
+knows no smaller document for, each once, go on to another shuffle, split anew by minimisers of another order. So a hot
+bucket shrinks from level to level, by its copies and by its other words, and no task holds more than a part.
 
 Defined results: a null or empty text, or one of fewer than k words, has no window. A null doc_id is neither smaller nor
 larger than another: its row is returned whole and removes nothing. Rows that share a doc_id never remove from each other;
-each is settled by its own text. Extra columns stay.
+each is settled by its own text. Very long texts are taken whole. Extra columns stay, but those named like a result (in any case of
+letters) are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,26 +28,30 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, free_name, partitions_for, read, release, small_batches
+from .shared import chunks, free_name, materialise, others, partitions_for, read, release, schema_with, small_batches
 from .words import MUL, Words, inside, mixed, same_bytes, split_words, texts_of, take_ranges, windows, words_of
 
 K, M = 13, 3
-#: Unpacked bytes of one bucket on average: what a task sorts at a time.
-BUCKET_BYTES = 6 << 20
+#: Unpacked bytes of one bucket on average, and the most that a task sorts at a time.
+BUCKET_BYTES, PART_BYTES = 6 << 20, 24 << 20
+#: Levels of shuffles after which buckets are sorted whole, whatever their size.
+LEVELS = 8
 #: A packed chunk: bytes of words, then these arrays of one row per super-k-mer.
 _PACKED = "bucket long, n long, texts binary, doc binary, key binary, pos binary, spans binary"
 
 
-def runs_of(words: Words, hashes: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, number of words and minimiser of each super-k-mer."""
-    ok = inside(words.doc, k)
+def runs_of(words: Words, hashes: np.ndarray, k: int, m: int, ok: np.ndarray | None = None, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of words and minimiser of each super-k-mer, of the windows that are ok; each level has another order."""
+    ok = inside(words.doc, k) if ok is None else ok
     n = len(ok)
     grams = windows(hashes, m)
+    if level:
+        grams = mixed(grams ^ mixed(np.full(1, level, np.uint64)))
     least = grams[:n].copy()
     for j in range(1, k - m + 1):
         np.minimum(least, grams[j : j + n], out=least)
     goes_on = np.zeros(n + 1, bool)
-    goes_on[1:-1] = ok[1:] & ok[:-1] & (least[1:] == least[:-1])
+    goes_on[1:-1] = ok[1:] & ok[:-1] & (words.doc[1:n] == words.doc[: n - 1]) & (least[1:] == least[:-1])
     first = np.flatnonzero(ok & ~goes_on[:-1])
     last = np.flatnonzero(ok & ~goes_on[1:])
     return first, last - first + k, least[first]
@@ -67,8 +75,6 @@ def _joined(starts: np.ndarray, stops: np.ndarray, ids: np.ndarray) -> tuple[np.
 
 def _spread(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3).compress
-    names = [x.split()[0] for x in _PACKED.split(", ")]
-    types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
     for batch in batches:
         out = []
         held: dict[int, list[tuple]] = {}  # a batch's super-k-mers by bucket
@@ -114,7 +120,7 @@ def _spread(batches: Iterator[pa.RecordBatch], buckets: int, k: int, m: int) ->
             packed = [press(np.concatenate(x).tobytes()) for x in zip(*parts)]
             out.append((bucket, sum(len(x[1]) for x in parts), *packed, b""))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _TYPES)], _NAMES)
         del out, held
         release()
 
@@ -129,32 +135,54 @@ def _normal(words: Words) -> Words:
     return Words(buf, words.offsets, stop - 1 - size, stop - 1, words.doc)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_OUT = "doc_id long, key_ long, a long, b long, " + _PACKED
+_NAMES = [x.split()[0] for x in _PACKED.split(", ")]
+_TYPES = [pa.int64(), pa.int64()] + [pa.binary()] * 5
+_SPANS = pa.schema([("doc_id", pa.int64()), ("key_", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), *zip(_NAMES, _TYPES)])
 
 
-def _count(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A partition: whole buckets in order. Each one's windows are sorted; out come the spans of words that a smaller document has too."""
-    rows: list[dict] = []
+def _found(doc: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    none = [pa.nulls(len(doc), t) for t in _TYPES]
+    return pa.RecordBatch.from_arrays([*(pa.array(x) for x in (doc, key, a, b)), *none], schema=_SPANS)
+
+
+def _count(batches: Iterator[pa.RecordBatch], k: int, m: int, level: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """A partition: whole buckets in order. Each one's windows are sorted; out come the spans of words that a smaller document
+    has too. Of a bucket of more than `most` bytes so do, packed for the next level, the windows that no part of it settles."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    part: list[tuple] = []
+    bucket, held, split = -1, 0, False
+
+    def done(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal part, held
+        if part:
+            yield from _settled(part, k, m, 0 if last and not split else level + 1, buckets)
+            part, held = [], 0
+            release()
+
     for batch in batches:
         for r in batch.to_pylist():
             if r["spans"]:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(r["spans"], np.int64).reshape(4, -1)], schema=_SPANS)
+                yield _found(*np.frombuffer(r["spans"], np.int64).reshape(4, -1))
             if r["n"]:
-                if rows and rows[0]["bucket"] != r["bucket"]:
-                    yield _bucket(rows, k)
-                    rows = []
-                    release()
-                rows.append(r)
-    if rows:
-        yield _bucket(rows, k)
-
-
-def _bucket(rows: list[dict], k: int) -> pa.RecordBatch:
-    unpack = zstandard.ZstdDecompressor().decompress
-    column = lambda c, kind: np.concatenate([np.frombuffer(unpack(r[c]), kind) for r in rows])
-    buf, doc, key, pos = column("texts", np.uint8), column("doc", np.int64), column("key", np.int64), column("pos", np.int32).astype(np.int64)
+                if r["bucket"] != bucket:
+                    yield from done(True)
+                    bucket, split = r["bucket"], False
+                texts = np.frombuffer(unpack(r["texts"]), np.uint8)
+                if held and held + len(texts) > most:
+                    split = True
+                    yield from done(False)
+                part.append((texts, *(np.frombuffer(unpack(r[c]), t) for c, t in (("doc", np.int64), ("key", np.int64), ("pos", np.int32)))))
+                held += len(texts)
+    yield from done(True)
+
+
+def _settled(part: list[tuple], k: int, m: int, onward: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows of a part that a smaller document of it has too; the others as super-k-mers of level `onward`, if there is one."""
+    buf, doc, key, pos = (np.concatenate(x) for x in zip(*part))
     words = split_words(buf, np.concatenate([[0], np.flatnonzero(buf == 10) + 1]))
-    own = windows(words.hashes(), k)
+    hashes = words.hashes()
+    own = windows(hashes, k)
     at = np.flatnonzero(inside(words.doc, k))
     own, run = own[at], words.doc[at]
     by = np.argsort(own, kind="stable")
@@ -173,12 +201,34 @@ def _bucket(rows: list[dict], k: int) -> pa.RecordBatch:
     size = last_x - words.start[x]
     equal = size == last_y - words.start[y]
     equal[equal] = same_bytes(words.buf, words.start[x[equal]], words.start[y[equal]], size[equal])
-    if not equal.all():  # two different windows under one hash: this bucket's groups by their bytes
+    if not equal.all():  # two different windows under one hash: this part's groups by their bytes
         bad = _by_bytes(words, at, run, doc, k)
+    offset = pos.astype(np.int64) - words.first()[:-1]
     hit = np.flatnonzero(bad)
-    s = pos[run[hit]] + at[hit] - words.first()[run[hit]]
+    s = offset[run[hit]] + at[hit]
     s, e, r = _joined(s, s + k, run[hit])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[r], key[r], s, e)], schema=_SPANS)
+    yield _found(doc[r], key[r], s, e)
+    if onward:
+        ok = np.zeros(max(0, len(words.start) - k + 1), bool)
+        ok[at[~bad]] = True
+        first, n, minimiser = runs_of(words, hashes, k, m, ok, onward)
+        if len(first):
+            to = (minimiser % np.uint64(buckets)).astype(np.int64)
+            rows = np.argsort(to, kind="stable")
+            first, n, to = first[rows], n[rows], to[rows]
+            run = words.doc[first]
+            columns = doc[run], key[run], (offset[run] + first).astype(np.int32)
+            length = words.end[first + n - 1] - words.start[first] + 1  # words have one byte after each
+            cut = np.flatnonzero(np.diff(to, prepend=-1))
+            press = zstandard.ZstdCompressor(level=3).compress
+            packed: list[list] = [[] for _ in _NAMES]
+            for a, b in zip(cut, np.append(cut[1:], len(to))):
+                text = take_ranges(words.buf, words.start[first[a:b]], length[a:b])
+                text[np.cumsum(length[a:b]) - 1] = 10
+                for where, v in zip(packed, (int(to[a]), int(b - a), press(text.tobytes()), *(press(c[a:b].tobytes()) for c in columns), b"")):
+                    where.append(v)
+            none = [pa.nulls(len(cut), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, *(pa.array(c, t) for c, t in zip(packed, _TYPES))], schema=_SPANS)
 
 
 def _by_bytes(words: Words, at: np.ndarray, run: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
@@ -189,19 +239,28 @@ def _by_bytes(words: Words, at: np.ndarray, run: np.ndarray, doc: np.ndarray, k:
     return np.array([least[t] < d for t, d in zip(texts, doc[run])])
 
 
-def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = K, m: int = M, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, key (hash of the text), a, b: spans of words of each document that windows of smaller documents cover."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     small_batches(docs.sparkSession)
     parts = partitions_for(docs, "text", 3.0)
     buckets = partitions_for(docs, "text", 3.0, BUCKET_BYTES)
-    packed = rows.mapInArrow(lambda it: _spread(it, buckets, k, m), _PACKED)
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _count(it, k), "doc_id long, key long, a long, b long")
-
-
-def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    packed, spans, level = rows.mapInArrow(lambda it: _spread(it, buckets, k, m), _PACKED), None, 0
+    while True:
+        most = part_bytes if level < LEVELS else 1 << 62
+        met = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        out = materialise(met.mapInArrow(lambda it, level=level, most=most: _count(it, k, m, level, buckets, most), _OUT))
+        found = out.where("bucket is null").select("doc_id", F.col("key_").alias("key"), "a", "b")
+        spans = found if spans is None else spans.unionByName(found)
+        packed = out.where("bucket is not null").select(*_NAMES)
+        if packed.isEmpty():
+            return spans
+        level += 1
+
+
+def _cut(batch: pa.RecordBatch, spans_name: str) -> pa.RecordBatch:
     n_words, n_removed, kept = [], [], []
-    for text, spans in zip(batch.column("text"), batch.column("spans")):
+    for text, spans in zip(batch.column("text"), batch.column(spans_name)):
         words = (text.as_py() or "").encode().split()
         n_words.append(len(words))
         if spans.is_valid and len(spans):
@@ -211,26 +270,24 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
             words = [w for w, s in zip(words, stay) if s]
         n_removed.append(n_words[-1] - len(words))
         kept.append(b" ".join(words))
-    names = [c for c in batch.schema.names if c != "spans"]
+    names = [c for c in batch.schema.names if c != spans_name]
     arrays = [batch.column(c) for c in names] + [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
     return pa.RecordBatch.from_arrays(arrays, [*names, "n_words", "n_removed", "kept_text"])
 
 
-def dedup_substrings(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
+def dedup_substrings(docs: DataFrame, k: int = K, m: int = M, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the words that stay, joined by one space."""
-    spans = repeated_spans(docs, k, m).groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    d, k_ = free_name(docs, "_span_doc"), free_name(docs, "_span_key")
-    spans = spans.select(F.col("doc_id").alias(d), F.col("key").alias(k_), "spans")
-    cols = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text", "spans")]
-    both = docs.select(*cols).join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(k_)), "left").drop(d, k_)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields if f.name != "spans")
+    rows = others(docs, "n_words", "n_removed", "kept_text")
+    d, k_, s = free_name(rows, "_span_doc"), free_name(rows, "_span_key"), free_name(rows, "_spans")
+    spans = repeated_spans(docs, k, m, part_bytes).groupBy(F.col("doc_id").alias(d), F.col("key").alias(k_)).agg(F.collect_list(F.struct("a", "b")).alias(s))
+    both = rows.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col(d)) & (F.xxhash64("text") == F.col(k_)), "left").drop(d, k_)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                yield _cut(part)
+                yield _cut(part, s)
 
-    return both.mapInArrow(run, f"{schema}, n_words long, n_removed long, kept_text string")
+    return both.mapInArrow(run, schema_with(rows, "n_words long, n_removed long, kept_text string"))
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -81,13 +81,28 @@ def brute_classes(rows):
 
 
 @pytest.mark.parametrize("block", [256, 3])
-def test_near_duplicates_are_brute_force(spark, block, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+def test_near_duplicates_are_brute_force(spark, block):
     rows = corpus(block)
-    got = Counter((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    got = Counter((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(frame(spark, rows), block=block).collect())
     assert got == brute_classes([r[:2] for r in rows])
 
 
+def test_a_component_of_many_blocks_is_verified_by_bucket(spark):
+    """Near copies of one text, more than blocks can hold for each band: every pair counts once, whatever buckets it shares."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 8, 20])):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [rows[3], rows[4], rows[4]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(docs, block=2).collect())
+    assert got == brute_classes(rows)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
@@ -118,6 +133,13 @@ def test_components(spark):
     assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_with_a_hub(spark):
+    """Two hubs of thousands of edges, joined by one; one of them isn't the least node of its own."""
+    edges = [(5, 10_000 + i) for i in range(3000)] + [(90_000, 20_000 + i) for i in range(3000)] + [(12_999, 22_999), (7, 8)]
+    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {x: 7 if x in (7, 8) else 5 for e in edges for x in e}
+
+
 def brute_kept(rows, k=13):
     first = {}
     for i, t in rows:
@@ -148,6 +170,23 @@ def test_substring_dedup_is_brute_force(spark, bucket, monkeypatch):
     assert substring_dedup.dedup_substrings(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("part", [1, 300, 4000])
+def test_hot_buckets_go_on_in_parts(spark, part, monkeypatch):
+    """One frequent trigram with changing words round it, copies of a passage in every other text, and parts of a few windows."""
+    monkeypatch.setattr(substring_dedup, "LEVELS", 3)
+    r = random.Random(part)
+    w = [f"w{i}" for i in range(30)]
+    passage = [r.choice(w) for _ in range(40)]
+    rows = []
+    for i in range(60):
+        text = [x for _ in range(6) for x in ("always the same", *(r.choice(w) for _ in range(r.randint(1, 3))))]
+        rows.append((i, " ".join([*text, *(passage[r.randint(0, 9) :] if i % 2 else []), *(r.choice(w) for _ in range(20))])))
+    rows += [(None, rows[3][1]), rows[7], (70, None), (71, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = substring_dedup.dedup_substrings(docs, part_bytes=part)
+    assert Counter((x.doc_id, x.n_words, x.n_removed, hashlib.sha256(x.kept_text.encode()).hexdigest()) for x in out.collect()) == brute_kept(rows)
+
+
 def test_windows_under_one_hash_are_told_apart(spark, monkeypatch):
     """With a hash that says nothing, the bytes decide."""
     import pyarrow as pa
@@ -159,7 +198,7 @@ def test_windows_under_one_hash_are_told_apart(spark, monkeypatch):
     sent = sorted((x for b in substring_dedup._spread(iter([table]), 3, 13, 3) for x in b.to_pylist()), key=lambda x: x["bucket"])
     schema = pa.schema([("bucket", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("texts", "doc", "key", "pos", "spans")])
     spans = {}
-    for b in substring_dedup._count(iter([pa.RecordBatch.from_pylist(sent, schema)]), 13):
+    for b in substring_dedup._count(iter([pa.RecordBatch.from_pylist(sent, schema)]), 13, 3, 0, 3, 1 << 30):
         for x in b.to_pylist():
             spans.setdefault(x["doc_id"], set()).update(range(x["a"], x["b"]))
     want = {i: n for i, _, n, _ in brute_kept(rows)}
