@@ -39,6 +39,10 @@ from .words import Words, range_hashes, words_of
 #: The sample: so many different texts with and without a marked word, of at most so many characters each, the smallest
 #: hashes first, among all rows.
 FIT_DOCS, FIT_CHARS = 600, 20_000
+#: Disguised copies of a marked text.
+COPIES = 4
+#: Words of a training stretch; how many of each text: with a marked word, with an odd one, others. Stretches of a block.
+WIDTH, MOST, _STRETCHES = 24, (6, 3, 1), 4096
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -211,58 +215,49 @@ def decode(e: np.ndarray, doc: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return tags
 
 
-def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, doubt: np.ndarray | None = None, rounds: int = 50, width: int = 24, rest: float = 0.1, seed: int = 0) -> Field:
-    """Maximum likelihood by Adagrad over stretches of `width` words: all with a marked or odd word, and a share of the rest,
-    but none with a word in doubt."""
-    field = Field(np.zeros((_BLOCKS[-1], 3), np.float32), np.array([[0, 0, _NEVER], [0, 0, 0], [0, 0, 0]], np.float64))
-    if not (tags > 0).any():
-        field.weights[: _BLOCKS[1], O] = 50
-        return field
+def stretches(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, doubt: np.ndarray, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, tags and real words of training stretches of WIDTH words: of each text at most so many with a marked word, with an
+    odd one, and others as MOST says; none with a word in doubt."""
     new = np.concatenate([[True], seq[1:] != seq[:-1]])
     pos = np.arange(len(seq)) - np.maximum.accumulate(np.where(new, np.arange(len(seq)), 0))
-    head = np.flatnonzero(pos % width == 0)
+    head = np.flatnonzero(pos % WIDTH == 0)
     size = np.diff(np.append(head, len(seq)))
-    share = at[:, 3] - _BLOCKS[3]
-    odd = np.add.reduceat(((tags > 0) | (share > 0)).astype(int), head) > 0
-    pick = odd | (np.random.default_rng(seed).random(len(head)) < rest)
-    if doubt is not None:
-        pick &= ~np.logical_or.reduceat(doubt, head)
-    head, size = head[pick], size[pick]
-    where = np.minimum(head[:, None] + np.arange(width), len(seq) - 1)
-    real = np.arange(width) < size[:, None]
-    x, y = at[where], np.where(real, tags[where], O)
+    any_ = lambda flag: np.logical_or.reduceat(flag, head)
+    kind = np.where(any_(tags > 0), 0, np.where(any_(at[:, 3] > _BLOCKS[3]), 1, 2))
+    group = seq[head] * 3 + kind
+    order = np.lexsort((r.random(len(head)), group))
+    order = order[~any_(doubt)[order]]
+    first = np.flatnonzero(np.diff(group[order], prepend=-1))
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+    pick = np.sort(order[nth < np.array(MOST)[kind[order]]])
+    where = np.minimum(head[pick][:, None] + np.arange(WIDTH), len(seq) - 1)
+    real = np.arange(WIDTH) < size[pick][:, None]
+    y = np.where(real, tags[where], O).astype(np.int8)
     y[:, 0] = np.where(y[:, 0] == I, B, y[:, 0])
-    gold = np.zeros((len(head), width, 3))
-    np.put_along_axis(gold, y[:, :, None].astype(np.int64), 1.0, 2)
-    gold *= real[:, :, None]
+    return at[where].astype(np.int32), y, real
+
+
+def fit(x: np.ndarray, y: np.ndarray, real: np.ndarray, rounds: int = 45) -> Field:
+    """Maximum likelihood by Adagrad over stretches, in blocks of bounded memory."""
+    field = Field(np.zeros((_BLOCKS[-1], 3), np.float32), np.array([[0, 0, _NEVER], [0, 0, 0], [0, 0, 0]], np.float64))
+    if not (y > 0).any():
+        field.weights[: _BLOCKS[1], O] = 50
+        return field
     allowed = field.steps > _NEVER / 2
     pairs = np.zeros((3, 3))
     both = real[:, 1:]
     np.add.at(pairs, (y[:, :-1][both], y[:, 1:][both]), 1)
     sums = [np.full((_BLOCKS[-1], 3), 1e-2), np.full((3, 3), 1e-2)]
     for _ in range(rounds):
-        e = np.zeros((len(head), width, 3))
-        for j in range(x.shape[2]):
-            e += field.weights[x[:, :, j]]
-        e -= e.max(2, keepdims=True)
-        step = np.exp(field.steps)
-        up, down, scale = np.zeros_like(e), np.ones_like(e), np.ones((len(head), width))
-        em = np.where(real[:, :, None], np.exp(e), 1.0)
-        for t in range(width):
-            now = em[:, t] * (np.array([1.0, 1.0, 0.0]) if not t else up[:, t - 1] @ step)
-            if t:
-                now = np.where(real[:, t, None], now, up[:, t - 1])
-            scale[:, t] = now.sum(1)
-            up[:, t] = now / scale[:, t, None]
-        for t in range(width - 2, -1, -1):
-            back = (em[:, t + 1] * down[:, t + 1]) @ step.T / scale[:, t + 1, None]
-            down[:, t] = np.where(real[:, t + 1, None], back, down[:, t + 1])
-        seen = up * down
-        seen /= seen.sum(2, keepdims=True)
-        off = (gold - seen) * real[:, :, None]
-        grad = np.column_stack([sum(np.bincount(x[:, :, j].ravel(), off[:, :, k].ravel(), _BLOCKS[-1]) for j in range(x.shape[2])) for k in range(3)])
-        grad -= 1e-3 * field.weights
-        two = np.einsum("nta,ntb->ab", up[:, :-1], np.where(both[:, :, None], em[:, 1:] * down[:, 1:] / scale[:, 1:, None], 0)) * step
+        grad, two = -1e-3 * field.weights, np.zeros((3, 3))
+        for lo in range(0, len(x), _STRETCHES):
+            rows = slice(lo, lo + _STRETCHES)
+            off, turns = _left(field, x[rows], y[rows], real[rows])
+            two += turns
+            for k in range(3):
+                w = np.ascontiguousarray(off[:, :, k]).ravel()
+                for j in range(x.shape[2]):
+                    grad[:, k] += np.bincount(x[rows, :, j].ravel(), w, _BLOCKS[-1])
         turn = (pairs - two) * allowed - 1e-3 * field.steps * allowed
         sums[0] += grad**2
         sums[1] += turn**2
@@ -271,6 +266,33 @@ def fit(at: np.ndarray, tags: np.ndarray, seq: np.ndarray, doubt: np.ndarray | N
     return field
 
 
+def _left(field: Field, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the tags have beyond what the field expects (stretch x word x tag), and the pairs that it expects, by forward and backward."""
+    n, width = y.shape
+    e = np.zeros((n, width, 3))
+    for j in range(x.shape[2]):
+        e += field.weights[x[:, :, j]]
+    e -= e.max(2, keepdims=True)
+    step = np.exp(field.steps)
+    up, down, scale = np.zeros_like(e), np.ones_like(e), np.ones((n, width))
+    em = np.where(real[:, :, None], np.exp(e), 1.0)
+    for t in range(width):
+        now = em[:, t] * (np.array([1.0, 1.0, 0.0]) if not t else up[:, t - 1] @ step)
+        if t:
+            now = np.where(real[:, t, None], now, up[:, t - 1])
+        scale[:, t] = now.sum(1)
+        up[:, t] = now / scale[:, t, None]
+    for t in range(width - 2, -1, -1):
+        back = (em[:, t + 1] * down[:, t + 1]) @ step.T / scale[:, t + 1, None]
+        down[:, t] = np.where(real[:, t + 1, None], back, down[:, t + 1])
+    seen = up * down
+    seen /= seen.sum(2, keepdims=True)
+    np.put_along_axis(e := -seen, y[:, :, None].astype(np.int64), 1.0 + np.take_along_axis(e, y[:, :, None].astype(np.int64), 2), 2)
+    both = real[:, 1:, None]
+    two = np.einsum("nta,ntb->ab", up[:, :-1], np.where(both, em[:, 1:] * down[:, 1:] / scale[:, 1:, None], 0)) * step
+    return e * real[:, :, None], two
+
+
 def _whole_words(text: str, before: bool, after: bool) -> str:
     """A stretch without the words that its bounds cut, unless they hold all that it has or all its spans."""
     a = re.match(_WORD_END, text).end() if before else 0
@@ -312,7 +334,7 @@ _LETTERS = re.compile(r"[^\W\d_]{3,12}")
 def _made_up(r: Random) -> str:
     """A random string of the kind that keys are."""
     letters = r.choice(_ALPHABETS)
-    part = lambda n: "".join(r.choice(letters) for _ in range(n))
+    part = lambda n: "".join(r.choice(letters) for _ in range(n - 1)) + r.choice("0123456789")
     body = ".".join(part(r.randint(16, 90)) for _ in range(3)) if r.random() < 0.12 else part(r.choice((12, 14, 16, 16, 18, 20, 20, 24, 32, 36, 40, 48)))
     for _ in range(r.choice((0, 0, 1, 2))):
         body = "".join(r.choice(ascii_letters) for _ in range(r.randint(2, 5))) + r.choice("_-") + body
@@ -374,6 +396,7 @@ def littered(text: str, r: Random, n: int = 8) -> str:
         lambda: f"{r.choice(('v', ''))}{d(1)}.{d(2)}.{d(1)}{r.choice(('', '-' + w().lower()[:4] + d(1)))}",
         lambda: w().upper() + "-" + d(r.randint(1, 4)),
         lambda: w() + w().lower() + w().lower() + w().lower(),
+        lambda: (w() + w() + r.choice(("", w()))).upper() + r.choice(("", "!!", "!", ".")),
         lambda: d(r.randint(5, 15)),
         lambda: f"{w().lower()}={w().lower()}{r.choice(('', d(2)))}",
         lambda: f"{w()}:{w()}{r.choice(('', '/' + w()))}",
@@ -385,33 +408,36 @@ def littered(text: str, r: Random, n: int = 8) -> str:
 
 def learn(texts: list[str], seed: int = 0) -> Field:
     """The field of a sample of texts: the marked ones as they are and disguised, and plain words with odd ones among them."""
-    r = Random(seed)
-    rows: list[tuple[str, list[Span], bool]] = []  # text, its spans, whether a word may be in doubt
-    for text in texts:
-        spans = pattern_spans(text)
-        rows.append((text, spans, True))
-        rows += [(*disguised(text, spans, r), True) for _ in range(2)] if spans else [(littered(text, r), [], False)]
-    if not any(spans for _, spans, _ in rows):
-        rows = []
-    words = words_of(pa.array([t for t, _, _ in rows], pa.string()))
-    tags = np.zeros(len(words.start), np.int8)
-    a, b = _bounds(words, _points(words.buf))
-    first = words.first()
-    for d, (_, spans, _) in enumerate(rows):
-        s = slice(first[d], first[d + 1])
-        for start, end, _ in spans:
-            hit = np.flatnonzero((b[s] > start) & (a[s] < end)) + first[d]
-            tags[hit] = np.where(tags[hit] == 0, I, tags[hit])
-            tags[hit[0]] = B
-    at = features(words)
-    if not len(at):
-        return fit(at, tags, words.doc)
-    # a mark on mere digits (a card's, say) says nothing of keys; unmarked, a long word of letters and digits may be one
-    kinds, bucket, turns = at[:, 1] - _BLOCKS[1], at[:, 0], (at[:, 11] - _BLOCKS[11]) // 16
-    letters, digits = (kinds & 3) > 0, (kinds & 4) > 0
-    doubt = np.array([x for _, _, x in rows])[words.doc] & (((tags > 0) & ~letters & digits) | ((tags == 0) & letters & digits & (bucket >= 6) & (turns > 2)))
-    twice = lambda x: np.concatenate([x, x])
-    return fit(np.concatenate([at, hidden(at)]), twice(tags), np.concatenate([words.doc, words.doc + words.n_docs]), twice(doubt))
+    r, parts = Random(seed), []
+    for lo in range(0, len(texts), 40):  # so that the features of few texts are held at once
+        rows: list[tuple[str, list[Span], bool]] = []  # text, its spans, whether a word may be in doubt
+        for text in texts[lo : lo + 40]:
+            spans = pattern_spans(text)
+            rows.append((text, spans, True))
+            rows += [(*disguised(text, spans, r), True) for _ in range(COPIES)] if spans else [(littered(text, r), [], False)]
+        words = words_of(pa.array([t for t, _, _ in rows], pa.string()))
+        if not len(words.start):
+            continue
+        tags = np.zeros(len(words.start), np.int8)
+        a, b = _bounds(words, _points(words.buf))
+        first = words.first()
+        for d, (_, spans, _) in enumerate(rows):
+            s = slice(first[d], first[d + 1])
+            for start, end, _ in spans:
+                hit = np.flatnonzero((b[s] > start) & (a[s] < end)) + first[d]
+                tags[hit] = np.where(tags[hit] == 0, I, tags[hit])
+                tags[hit[0]] = B
+        at = features(words)
+        # a mark on mere digits (a card's, say) says nothing of keys; unmarked, a long word of letters and digits may be one
+        kinds, bucket, turns = at[:, 1] - _BLOCKS[1], at[:, 0], (at[:, 11] - _BLOCKS[11]) // 16
+        letters, digits = (kinds & 3) > 0, (kinds & 4) > 0
+        doubt = np.array([x for _, _, x in rows])[words.doc] & (((tags > 0) & ~letters & digits) | ((tags == 0) & letters & digits & (bucket >= 6) & (turns > 2)))
+        parts.append(stretches(at, tags, words.doc, doubt, np.random.default_rng(lo)))
+    if not parts:
+        return fit(np.zeros((0, WIDTH, len(_BLOCKS) - 1), np.int32), np.zeros((0, WIDTH), np.int8), np.zeros((0, WIDTH), bool))
+    x, y, real = (np.concatenate(p) for p in zip(*parts))
+    twice = lambda v: np.concatenate([v, v])
+    return fit(np.concatenate([x, hidden(x.reshape(-1, x.shape[2])).reshape(x.shape)]), twice(y), twice(real))
 
 
 def chunk_spans(column: pa.Array, field: Field) -> list[list[Span]]:
