@@ -1,6 +1,6 @@
 """What is already recorded: ordinals and hashes, the ledger, and the match that uses up recorded rows one by one.
 
-tx: date, description, direction, amount_cents, account_id, source_order. existing: date, description, direction,
+tx: date, description, direction, amount_cents, account_id, source_order, and path (the file) where there are several. existing: date, description, direction,
 amount_cents, row_order (the order of the sheet).
 """
 
@@ -21,14 +21,24 @@ BUCKET = ["date", "amount_cents", "direction"]
 
 
 def with_hashes(tx: DataFrame) -> DataFrame:
-    """ordinal (0, 1, ... of equal transactions of a day, in file order) and hash."""
+    """ordinal (0, 1, ... of equal transactions of a day of one file, in its order) and hash. The file isn't in the hash: the same
+    transaction of two files that overlap has one."""
     rows = tx.withColumn("_key", text.comparison_key(F.col("description")))
-    same = W.partitionBy("date", "direction", "amount_cents", "_key", "account_id").orderBy("source_order")
+    file = ["path"] if "path" in tx.columns else []
+    same = W.partitionBy(*file, "date", "direction", "amount_cents", "_key", "account_id").orderBy("source_order")
     rows = rows.withColumn("ordinal", (F.row_number().over(same) - 1).cast("long"))
     payload = F.concat_ws("|", dates.unpadded(F.col("date")), "direction", "amount_cents", "_key", "account_id", "ordinal")
     return rows.withColumn("hash", F.sha2(payload, 256)).drop("_key")
 
 
+def once(hashed: DataFrame) -> DataFrame:
+    """hashed with is_repeat: whether an earlier file (by path) of the batch has the hash too."""
+    if "path" not in hashed.columns:
+        return hashed.withColumn("is_repeat", F.lit(False))
+    nth = F.row_number().over(W.partitionBy("hash").orderBy("path", "source_order"))
+    return hashed.withColumn("is_repeat", nth > 1)
+
+
 def not_in_ledger(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
     """An anti-join of month and hash; the ledger is partitioned by month, so only the months of the file are read."""
     return hashed.withColumn("competence_key", dates.competence(F.col("date"))).join(ledger.select("competence_key", "hash"), ["competence_key", "hash"], "left_anti")
@@ -112,10 +122,12 @@ def match_recorded(tx: DataFrame, existing: DataFrame) -> DataFrame:
 def deduplicate(tx: DataFrame, ledger: DataFrame, existing: DataFrame) -> DataFrame:
     """tx with ordinal, hash, competence_key, status (new, known_hash, recorded), recorded_as and name_differs.
 
-    What the ledger knows is set aside first and uses up no recorded row.
+    What the ledger knows is set aside first and uses up no recorded row; so is what an earlier file of the batch has too.
     """
-    hashed = with_hashes(tx)
-    known = in_ledger(hashed, ledger)
+    hashed = once(with_hashes(tx))
+    repeats = hashed.where("is_repeat").withColumn("competence_key", dates.competence(F.col("date"))).drop("is_repeat")
+    hashed = hashed.where("not is_repeat").drop("is_repeat")
+    known = in_ledger(hashed, ledger).unionByName(repeats)
     matched = match_recorded(not_in_ledger(hashed, ledger), existing)
     status = F.when(F.col("is_new"), "new").otherwise("recorded")
     matched = matched.withColumn("status", status).drop("is_new")

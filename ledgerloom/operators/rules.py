@@ -19,8 +19,10 @@ RULES = (
     "rule_id string, active boolean, label string, direction string, name string, terms array<string>, min_cents bigint, max_cents bigint, exceptions array<string>, "
     "category_key string, account_id string, aliases_yes array<string>, aliases_no array<string>, priority int, pos int"
 )
-#: Rules that are broadcast to the transactions at most; more are joined by shuffled names first.
+#: Rules, and options, that are broadcast at most; more meet the transactions in shuffles of words and keys.
 FEW_RULES = 20_000
+#: What rules wait under that need nothing.
+_ANY = "*"
 
 
 @dataclass(frozen=True)
@@ -106,7 +108,7 @@ def problems(rules: DataFrame) -> DataFrame:
     return rules.withColumn("problems", F.filter(found, lambda p: p.isNotNull()))
 
 
-def matches(tx: DataFrame, rules: DataFrame) -> DataFrame:
+def matches(tx: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
     """tx_id, rule_id, kind (exact, candidate), alias, weight, pos, category_key: rules that apply, candidates among them."""
     rules = problems(rules).where("active and size(problems) = 0")
     keys = lambda xs: F.transform(F.coalesce(F.col(xs), F.array().cast("array<string>")), text.option_key)
@@ -116,8 +118,6 @@ def matches(tx: DataFrame, rules: DataFrame) -> DataFrame:
         F.coalesce("aliases_yes", F.array().cast("array<string>")).alias("yes"), F.coalesce("aliases_no", F.array().cast("array<string>")).alias("no"),
         F.coalesce("priority", F.lit(0)).alias("priority"),
     )
-    if rules.count() <= FEW_RULES:
-        r = F.broadcast(r)
     t = tx.select("tx_id", "flow", "amount_cents", "account_id", text.option_key(F.col("description")).alias("k"), text.name_words(F.col("description")).alias("words"))
     t = t.withColumn("alias", F.array_join("words", " "))
     ranged = F.col("min_cents").isNotNull() | F.col("max_cents").isNotNull()
@@ -137,10 +137,29 @@ def matches(tx: DataFrame, rules: DataFrame) -> DataFrame:
         .otherwise(text.name_match(F.col("r_words"), F.col("words")))
     )
     weight = F.size("r_words") * 10 + F.size("r_terms") * 5 + F.when(ranged, 3).otherwise(0) + F.when(F.col("r_account").isNotNull(), 1).otherwise(0) + F.col("priority") * 100
-    met = t.join(r, on).withColumns({"kind": kind, "weight": weight}).where("kind <> 'none'")
+    met = _met(t, r, on, few).withColumns({"kind": kind, "weight": weight}).where("kind <> 'none'")
     return met.select("tx_id", "rule_id", "label", "kind", "alias", "weight", "pos", "category_key")
 
 
+def _met(t: DataFrame, r: DataFrame, on: Column, few: int) -> DataFrame:
+    """Pairs of transactions and rules that may apply. Few rules are broadcast. Many are dealt out by what a transaction must have for
+    them: a rule with a name by each word of the name and its aliases (one of them is there), another one by that three-letter
+    stretch of its terms (all are there) that the fewest rules wait under. Only rules without either meet every transaction."""
+    if r.count() <= few:
+        return t.join(F.broadcast(r), on)
+    words = lambda c: F.filter(F.flatten(F.transform(c, lambda x: F.split(x, " "))), lambda x: x != "")
+    stretches = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.concat(F.lit("~"), F.substr(x, i, F.lit(3))))
+    long = F.filter("r_terms", lambda x: F.length(x) >= 3)
+    waits = r.where(F.size("r_words") == 0).select("rule_id", F.explode(F.array_distinct(F.flatten(F.transform(long, stretches)))).alias("w"))
+    often = waits.groupBy("w").agg(F.count("*").alias("_n"))
+    rarest = waits.join(often, "w").groupBy("rule_id").agg(F.min_by("w", F.struct("_n", "w")).alias("_rare"))
+    under = F.when(F.size("r_words") > 0, F.array_distinct(F.concat("r_words", words("yes")))).otherwise(F.array(F.coalesce("_rare", F.lit(_ANY))))
+    dealt = r.join(rarest, "rule_id", "left").withColumn("r_key", F.explode(under)).drop("_rare")
+    keys = F.array_distinct(F.concat(F.split("k", " "), F.when(F.length("k") >= 3, stretches(F.col("k"))).otherwise(F.array().cast("array<string>")), F.array(F.lit(_ANY))))
+    have = t.withColumn("_key", F.explode(keys))
+    return have.join(dealt, (F.col("_key") == F.col("r_key")) & on).drop("_key", "r_key").dropDuplicates(["tx_id", "rule_id", "pos"])
+
+
 def decide(tx: DataFrame, rules: DataFrame, options: DataFrame, house: bool = True) -> DataFrame:
     """tx with option, decided_by (user, house or null), rule_id, pending and conflicts (arrays of rule ids), against_house.
 
@@ -148,7 +167,9 @@ def decide(tx: DataFrame, rules: DataFrame, options: DataFrame, house: bool = Tr
     rules too. Else a house rule decides.
     """
     by_key = options.groupBy(text.option_key(F.col("option")).alias("_k")).agg(F.min_by("option", "pos").alias("_option"))
-    found = matches(tx, rules).withColumn("_k", text.option_key(F.col("category_key"))).join(F.broadcast(by_key), "_k")
+    if options.count() <= FEW_RULES:
+        by_key = F.broadcast(by_key)
+    found = matches(tx, rules).withColumn("_k", text.option_key(F.col("category_key"))).join(by_key, "_k")
     rank = F.struct(-F.col("weight"), F.col("pos"))
     exact = F.col("kind") == "exact"
     each = found.groupBy("tx_id").agg(
@@ -208,8 +229,11 @@ def mine(history: DataFrame, least: int = 3, most: int = 20, rules: DataFrame |
         found = found.join(dismissed.select("flow", "name"), ["flow", "name"], "left_anti")
     if rules is not None:
         known = rules.where("active and coalesce(name, '') <> ''").select(F.col("direction").alias("_d"), text.name_words(F.col("name")).alias("_r")).where("size(_r) > 0")
-        covered = (F.col("flow") == F.col("_d")) & (F.size(F.array_except("_r", F.split("name", " "))) == 0)
-        found = found.join(known, covered, "left_anti")
+        # a rule that covers a name has its first word among the name's: they meet on that word
+        said = found.select("flow", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("_w"))
+        ruled = known.withColumn("_w", F.col("_r")[0])
+        covered = said.join(ruled, (said["_w"] == ruled["_w"]) & (said["flow"] == ruled["_d"])).where(F.size(F.array_except("_r", F.split("name", " "))) == 0)
+        found = found.join(covered.select("flow", "name").distinct(), ["flow", "name"], "left_anti")
     if options is not None:
         asked = found.withColumn("description", F.col("examples")[0])
         found = with_house_option(asked, options).where("house_option is null or house_option <> category").withColumn("against_house", F.col("house_option").isNotNull()).drop("description", "house", "house_option")
@@ -223,6 +247,11 @@ def rule_of_suggestion(suggestions: DataFrame) -> DataFrame:
     )
 
 
+def removed(rules: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rules without those of these ids (rule_id); the order of the others stays."""
+    return rules.join(ids.select("rule_id").distinct(), "rule_id", "left_anti")
+
+
 def upsert(rules: DataFrame, changed: DataFrame) -> DataFrame:
     """Rules with those of changed put in by id: in place where the id is known, at the end else; of a repeated id the first stays."""
     first = lambda d: d.withColumn("_n", F.row_number().over(W.partitionBy("rule_id").orderBy("pos"))).where("_n = 1").drop("_n")

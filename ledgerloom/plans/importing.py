@@ -28,8 +28,9 @@ def read_statements(spark: SparkSession, path: str) -> Reading:
     found = files.load(spark, path).withColumn("kind", files.kind(F.col("content"), F.col("path")))
     texts = files.with_text(found.where("kind in ('text', 'ofx')"))
     blocks = ofx.blocks(texts.where("kind = 'ofx'"))
-    cells = files.tables(texts.where("kind = 'text'")).unionByName(workbook.rows_of(workbook.load(spark, path + "/*.xlsx")) if _any(found, "spreadsheet") else spark.createDataFrame([], "path string, row_no int, cells array<string>"))
-    rows = tabular.read_rows(cells)
+    # workbooks go by their bytes, whatever their names end in
+    sheets = workbook.rows_of(workbook.cells(found.where("kind = 'spreadsheet'")))
+    rows = tabular.read_rows(files.tables(texts.where("kind = 'text'")).unionByName(sheets))
     audits = tabular.audit(rows).select("path", "n_tx", "reason", "trusted").unionByName(ofx.audit(texts.where("kind = 'ofx'"), blocks).select("path", "n_tx", "reason", "trusted"))
     columns = ["path", "source_order", "date", "y", "m", "d", "description", "direction", "amount_cents", "raw_line", "account_id"]
     tx = tabular.transactions(rows).select(*columns).unionByName(ofx.transactions(blocks).select(*columns))
@@ -37,10 +38,6 @@ def read_statements(spark: SparkSession, path: str) -> Reading:
     return Reading(tx.join(audits.where("trusted").select("path"), "path", "left_semi"), audits.unionByName(others))
 
 
-def _any(found: DataFrame, kind: str) -> bool:
-    return not found.where(F.col("kind") == kind).isEmpty()
-
-
 def read_pages(page_texts: DataFrame) -> Reading:
     """Statements as page text (path, page, text)."""
     rows = pages.read_lines(page_texts)

@@ -114,7 +114,17 @@ def bucket_match_counts(spark, d: str) -> DataFrame:
     return dedup.match_counts(*_recorded(spark, d))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE e AS (SELECT *, upper(description) AS k FROM ({_COARSE})),
+b AS (SELECT date, amount_cents, direction, list(source_order ORDER BY source_order) FILTER (source_order % 3 <> 0) AS txs, list(k ORDER BY source_order) FILTER (source_order % 3 <> 0) AS asks,
+  list(k ORDER BY source_order) FILTER (source_order % 3 = 0) AS slots, list(description ORDER BY source_order) FILTER (source_order % 3 = 0) AS said FROM e GROUP BY ALL),
+-- one transaction of every bucket a step: the first free slot of its name, else the first free one
+step AS (SELECT date, amount_cents, direction, 0 AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS slot FROM b WHERE txs IS NOT NULL
+UNION ALL SELECT date, amount_cents, direction, i + 1, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM
+ (SELECT s.date, s.amount_cents, s.direction, s.i, s.used, b.txs, coalesce(
+    list_filter(range(1, len(coalesce(slots, [])) + 1), lambda j: NOT list_contains(s.used, j) AND slots[j] = asks[s.i + 1])[1],
+    list_filter(range(1, len(coalesce(slots, [])) + 1), lambda j: NOT list_contains(s.used, j))[1]) AS pick
+  FROM step s JOIN b USING (date, amount_cents, direction) WHERE s.i < len(b.txs)))
+SELECT txs[i] AS source_order, slot IS NULL AS is_new, said[slot] AS recorded_as, slot IS NOT NULL AND slots[slot] <> asks[i] AS name_differs FROM step JOIN b USING (date, amount_cents, direction) WHERE i > 0""")
 def bucket_match_exact(spark, d: str) -> DataFrame:
     return dedup.match_recorded(*_recorded(spark, d)).select("source_order", "is_new", "recorded_as", "name_differs")
 
@@ -401,15 +411,22 @@ def block_sample(spark, d: str) -> DataFrame:
     return sample_of_order(read(spark, d, "pages").select("page_id"), "page_id", 3)
 
 
-def sample_of_order(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """Rows at n even places of the order (the feature: a sample of n blocks), by percentile ranks."""
-    total = rows.count()
+def sample_of_order(rows: DataFrame, order: str, n: int, parts: int = 200) -> DataFrame:
+    """Rows at n even places of the order (the feature: a sample of n blocks), whatever the order's type. Keys are dealt into sorted ranges; the
+    ranges' counts, at most `parts` of them, tell in which range and where in it each place lies."""
+    ranged = rows.select(order).repartitionByRange(parts, order).select(order, F.spark_partition_id().alias("_part")).persist()
+    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    total, places, before = sum(c for _, c in counts), [], 0
     wanted = sorted({int(i * (total - 1) / max(1, n - 1) + 0.5) for i in range(n)}) if total else []
-    if not wanted:
+    for part, c in counts:
+        places += [(part, w - before + 1) for w in wanted if before <= w < before + c]
+        before += c
+    if not places:
         return rows.limit(0)
-    exact = rows.agg(*[F.percentile(order, F.lit(w / max(1, total - 1))).cast("long").alias(f"p{w}") for w in wanted])
-    keys = exact.select(F.explode(F.array(*exact.columns)).alias(order)).distinct()
-    return rows.join(F.broadcast(keys), order, "left_semi")
+    spark = rows.sparkSession
+    at = F.broadcast(spark.createDataFrame(places, "_part int, _at int"))  # n rows
+    held = ranged.join(F.broadcast(at.select("_part").distinct()), "_part").withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(order)))
+    return rows.join(F.broadcast(held.join(at, ["_part", "_at"]).select(order).distinct()), order, "left_semi")
 
 
 @_query("SELECT p_partkey, CAST(p_size + 700 AS BIGINT) AS number, CASE WHEN p_size + 700 > 702 THEN chr(CAST(65 + (((p_size + 699) // 26 - 1) // 26 - 1) AS INT)) ELSE '' END || chr(CAST(65 + (((p_size + 699) // 26) - 1) % 26 AS INT)) || chr(CAST(65 + (p_size + 699) % 26 AS INT)) AS letters FROM part")
@@ -526,11 +543,10 @@ def page_audit(spark, d: str) -> DataFrame:
     return pages.audit(texts, pages.read_lines(texts)).select("path", "n_tx", "days_checked", "days_bad", "reason")
 
 
-@_query(f"SELECT account_id AS path, date, description, direction, amount_cents FROM ({EVENTS}) WHERE amount_cents > 0 OR direction = 'credit'")
+@_query(f"SELECT account_id AS path, date, description, CASE WHEN amount_cents = 0 THEN 'credit' ELSE direction END AS direction, amount_cents FROM ({EVENTS})")
 def page_transactions(spark, d: str) -> DataFrame:
     texts = _page_texts(spark, d)
-    found = pages.transactions(texts, pages.read_lines(texts)).select("path", "date", "description", "direction", "amount_cents")
-    return found.where("amount_cents > 0 or direction = 'credit' and description in ('purchase', 'signup')")
+    return pages.transactions(texts, pages.read_lines(texts)).select("path", "date", "description", "direction", "amount_cents")
 
 
 @_query(r"""WITH t AS (SELECT item_id, regexp_extract_all(text, '[^\s]+') AS w FROM benchmark), l AS (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM t),

@@ -79,7 +79,8 @@ def sniff_delimiter(text: str) -> str:
 
 
 def matrix(text: str, delimiter: str | None = None) -> list[list[str]]:
-    """Rows of cells: quoted fields may hold delimiters, breaks and doubled quotes; blank rows are dropped."""
+    """Rows of cells: quoted fields, of any length, may hold delimiters, breaks and doubled quotes; blank rows are dropped."""
+    csv.field_size_limit(2**31 - 1)  # the least that every platform takes
     rows = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter or sniff_delimiter(text), doublequote=True)
     return [r for r in rows if any(c.strip() for c in r)]
 

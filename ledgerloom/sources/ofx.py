@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..functions.steps import apart
 
 
 def is_ofx(body: Column) -> Column:
@@ -27,7 +28,8 @@ def blocks(texts: DataFrame) -> DataFrame:
     )
     rows = files.select("*", F.posexplode("_blocks").alias("block_no", "block")).drop("_blocks")
     b = F.col("block")
-    rows = rows.withColumns({"_d": dates.parse_compact(tag(b, "DTPOSTED")), "_v": money.parse_ofx(tag(b, "TRNAMT")), "kind": F.upper(tag(b, "TRNTYPE")), "memo": F.coalesce(F.nullif(tag(b, "MEMO"), F.lit("")), tag(b, "NAME"))})
+    rows = apart(rows, {"_d": dates.parse_compact(tag(b, "DTPOSTED"))})
+    rows = apart(rows, {"_v": money.parse_ofx(tag(b, "TRNAMT")), "kind": F.upper(tag(b, "TRNTYPE")), "memo": F.coalesce(F.nullif(tag(b, "MEMO"), F.lit("")), tag(b, "NAME"))})
     cents = F.col("_v.cents")
     unread = F.when(F.col("_d").isNull(), "date").when(F.col("_v.status") != "ok", "value").when(((F.col("kind") == "CREDIT") & (cents < 0)) | ((F.col("kind") == "DEBIT") & (cents >= 0)), "direction")
     day = lambda c: F.struct(f"{c}.y", f"{c}.m", f"{c}.d")
@@ -38,9 +40,11 @@ def blocks(texts: DataFrame) -> DataFrame:
 def transactions(rows: DataFrame) -> DataFrame:
     incoming = F.col("_v.cents") >= 0
     account = text.account_ref(F.col("bank"), F.col("number"))
-    return rows.where("unread is null").select(
-        "path", F.col("block_no").cast("long").alias("source_order"), F.col("_d.date").alias("date"), F.col("_d.y").alias("y"), F.col("_d.m").alias("m"), F.col("_d.d").alias("d"), text.memo_description(F.col("memo"), incoming).alias("description"),
-        F.when(incoming, "credit").otherwise("debit").alias("direction"), F.abs("_v.cents").alias("amount_cents"), "raw_line", account["id"].alias("account_id"), account.alias("account"),
+    rows = apart(rows.where("unread is null"), {"account": account})
+    rows = apart(rows, {"description": text.memo_description(F.col("memo"), incoming)})
+    return rows.select(
+        "path", F.col("block_no").cast("long").alias("source_order"), F.col("_d.date").alias("date"), F.col("_d.y").alias("y"), F.col("_d.m").alias("m"), F.col("_d.d").alias("d"), "description",
+        F.when(incoming, "credit").otherwise("debit").alias("direction"), F.abs("_v.cents").alias("amount_cents"), "raw_line", F.col("account.id").alias("account_id"), "account",
     )
 
 

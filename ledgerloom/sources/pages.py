@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, money, text
 from ..operators import proof
 
+# The bank's own wording of an entry, of the head of its tables, and of lines that say nothing.
 _ENTRY = r"^(\d{2}/\d{2}/\d{4})\s+(.+?)\s+(-)?\s*R\$\s*(-)?\s*([\d.]+,\d{2})\s*$"
 _HEADER = r"^data\b.*\b(valor|descric)"
 _NOISE = rf"^\s*$|{_HEADER}|^descricao$|^valor$|^data$|^pagina\s+\d+"
@@ -17,6 +18,7 @@ _NOISE = rf"^\s*$|{_HEADER}|^descricao$|^valor$|^data$|^pagina\s+\d+"
 def is_statement(body: Column) -> Column:
     """Issuer and title and column names."""
     key = F.lower(text.plain(body))
+    # fixed values: the issuer's names, the title and the column names
     return key.rlike("pagseguro|pagbank") & key.rlike("extrato da conta") & key.rlike(r"\bdata\b") & key.rlike(r"\bvalor\b") & key.rlike("descric")
 
 
@@ -36,6 +38,7 @@ def headers(pages: DataFrame) -> DataFrame:
     """path, account, period: the first line that shows each."""
     lines = pages.select("path", "page", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line"))
     at = F.struct("page", "n")
+    # fixed values: how the bank writes issuer, account, branch and period
     pick = lambda p: F.min_by(F.trim(F.regexp_extract("line", p, 1)), F.when(F.col("line").rlike(p), at))
     period = F.min_by("line", F.when(F.col("line").rlike("(?i)per[ií]odo"), at))
     found = lines.groupBy("path").agg(pick(r"^\s*\d{3}\s*-\s*(.+?)\s*$").alias("_issuer"), pick(r"(?i)Conta\s+([\d.-]+)").alias("_number"), pick(r"(?i)Ag[êe]ncia\s+([\d-]+)").alias("branch"), period.alias("_p"), F.bool_or(F.lower("line").contains("pagbank")).alias("_b"))

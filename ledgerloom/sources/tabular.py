@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..functions.steps import apart
 from ..operators import inference, proof
 
 # The headers of each role, exact after dropping case and accents.
@@ -44,14 +45,16 @@ def with_roles(cells: DataFrame) -> DataFrame:
     header = header.where(" and ".join(f"_{r} > 0" for r in NEEDED))
     rows = cells.where("row_no > 0").join(header, "path")
     cell = lambda r: F.when(F.col(f"_{r}") > 0, F.coalesce(F.get("cells", F.col(f"_{r}") - 1), F.lit(""))).otherwise("")
-    return rows.select("path", "row_no", text.one_line(F.array_join("cells", " | ")).alias("raw"), *[cell(r).alias(r) for r in ROLES])
+    return apart(rows.select("path", "row_no", "cells", *[F.col(f"_{r}") for r in ROLES]), {"raw": text.one_line(F.array_join("cells", " | "))} | {r: cell(r) for r in ROLES}, "path", "row_no")
 
 
 def read_rows(cells: DataFrame) -> DataFrame:
     """A row a statement line, with parsed amounts and `unread`, the reason why it could not be read (null if it could)."""
     rows = with_roles(cells)
-    label = text.label_key(F.col("movement"))
-    rows = rows.withColumns({"_d": dates.parse_loose(F.col("date")), "_v": money.parse_cell(F.col("value")), "_b": money.parse_cell(F.col("before")), "_a": money.parse_cell(F.col("after")), "_f": money.parse_cell(F.col("fee"))})
+    rows = apart(rows, {"_d": dates.parse_loose(F.col("date")), "_label": text.label_key(F.col("movement"))})
+    for name, cell in (("_v", "value"), ("_b", "before"), ("_a", "after"), ("_f", "fee")):
+        rows = apart(rows, {name: money.parse_cell(F.col(cell))})
+    label = F.col("_label")
     bad = lambda c: F.col(f"{c}.status") != "ok"
     unread = F.when(F.col("_d").isNull(), "date").when(bad("_v"), "value").when(bad("_b") | bad("_a"), "balance").when(F.col("_f.status") == "bad", "fee")
     says_in, says_out = F.startswith(label, F.lit("cred")) | F.startswith(label, F.lit("entrada")), F.startswith(label, F.lit("deb")) | F.startswith(label, F.lit("saida"))

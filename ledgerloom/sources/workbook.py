@@ -8,7 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,11 +39,9 @@ def cells_of(path: str, content: bytes) -> Iterator[tuple]:
             for xf in root.iterfind(".//m:cellXfs/m:xf", _NS):
                 n = int(xf.get("numFmtId") or 0)
                 styles.append(codes.get(n) or ("dd/mm/yyyy" if n in _BUILT_IN_DATES else str(n)))
-        targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        for no, s in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheets/m:sheet", _NS)):
-            target = targets[s.get(_REL)].lstrip("/")
+        for no, name, target in _sheets(z):
             masters: dict[str, tuple[str, int]] = {}
-            with z.open(target if target.startswith("xl/") else f"xl/{target}") as f:
+            with z.open(target) as f:
                 for _, c in ET.iterparse(f):
                     if c.tag != f"{{{_NS['m']}}}c":
                         continue
@@ -65,29 +63,74 @@ def cells_of(path: str, content: bytes) -> Iterator[tuple]:
                                 formula = shift_formula(masters[fx.get("si")][0], row - masters[fx.get("si")][1])
                     kind = "formula" if formula else "empty" if text in (None, "") else "text" if kind_ in ("s", "inlineStr", "str") else "number"
                     style = styles[int(c.get("s"))] if c.get("s") and int(c.get("s")) < len(styles) else None
-                    yield path, s.get("name"), no, row, ref[1], kind, text, style, formula
+                    yield path, name, no, row, ref[1], kind, text, style, formula
                     c.clear()
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of every workbook under a path that Spark can read; a file is one task's work, cells come out as a stream of batches."""
+    """Cells of every workbook under a path that Spark can read."""
+    return cells(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def cells(files: DataFrame) -> DataFrame:
+    """files: path, content. A file is one task's work; cells come out as a stream of batches. A file that is no workbook has none."""
+    return _read(files, cells_of, SCHEMA)
+
+
+def _read(files: DataFrame, each: Callable[[str, bytes], Iterator[tuple]], columns: str) -> DataFrame:
     import pyarrow as pa
 
-    schema = pa.schema([(n, pa.int32() if t == "int" else pa.string()) for n, t in (x.split() for x in SCHEMA.split(", "))])
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[t]) for n, t in (x.split() for x in columns.split(", "))])
 
     def run(batches):
         for batch in batches:
             for p, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 rows = []
-                for cell in cells_of(p, content):
-                    rows.append(cell)
-                    if len(rows) == 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-                        rows = []
+                try:
+                    for row in each(p, content):
+                        rows.append(row)
+                        if len(rows) == 20_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                            rows = []
+                except (zipfile.BadZipFile, KeyError, ET.ParseError):  # broken, or a ZIP of something else
+                    pass
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, columns)
+
+
+VALIDATIONS = "path string, sheet string, sheet_no int, sqref string, formula string, later boolean"
+
+
+def validations_of(path: str, content: bytes) -> Iterator[tuple]:
+    """The lists to choose from that a workbook's sheets define, of both forms: range and formula of each."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for no, name, target in _sheets(z):
+            with z.open(target) as f:
+                for _, e in ET.iterparse(f):
+                    tag = e.tag.rsplit("}", 1)[-1]
+                    if tag == "dataValidation" and e.get("type") == "list":
+                        find = lambda *names, e=e: next((x.text for x in e.iter() if x.tag.rsplit("}", 1)[-1] in names and x.text), None)
+                        later = not e.tag.startswith(f"{{{_NS['m']}}}")
+                        where = find("sqref") if later else e.get("sqref")
+                        if where:
+                            yield path, name, no, where, find("f") or "" if later else find("formula1") or "", later
+                    elif tag == "row":
+                        e.clear()
+
+
+def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[int, str, str]]:
+    targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    for no, s in enumerate(ET.fromstring(z.read("xl/workbook.xml")).iterfind(".//m:sheets/m:sheet", _NS)):
+        target = targets[s.get(_REL)].lstrip("/")
+        yield no, s.get("name"), target if target.startswith("xl/") else f"xl/{target}"
+
+
+def validations(files: DataFrame) -> DataFrame:
+    """files: path, content."""
+    return _read(files, validations_of, VALIDATIONS)
 
 
 def is_date_style(style: Column) -> Column:

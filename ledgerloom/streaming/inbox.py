@@ -1,6 +1,7 @@
 """An inbox of transaction files as a stream: each micro-batch is deduplicated against the ledger and appended to it.
 
-The batch id goes with the rows, so a batch that is run again after a failure finds its own rows recorded and adds none.
+Rows are told apart by their hashes, which count equal transactions by file: the ledger is the same however the inbox is cut into
+batches, and a batch that is run again after a failure finds its rows recorded and adds only those that it had not written yet.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ SCHEMA = "source_order bigint, date date, description string, direction string,
 
 
 def stream(spark: SparkSession, inbox: str, schema: str = SCHEMA, files_per_batch: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
+    return files.withColumn("path", F.col("_metadata.file_path"))
 
 
 def import_batch(batch: DataFrame, ledger_path: str) -> None:
-    hashed = dedup.with_hashes(batch)
+    hashed = dedup.once(dedup.with_hashes(batch)).where("not is_repeat")
     ledger.append(dedup.not_in_ledger(hashed, ledger.load(batch.sparkSession, ledger_path)), ledger_path)
 
 

@@ -4,7 +4,7 @@ import sys
 
 import __spark_entry__ as entry_points
 from ledgerloom.operators import ledger
-from ledgerloom.plans import queries
+from ledgerloom.plans import profile_queries as queries
 from ledgerloom.streaming import inbox
 
 SF = "/root/testdata/sf0.001"
@@ -41,5 +41,10 @@ def test_inbox_stream(spark, tmp_path):
         inbox.start(inbox.stream(spark, f"{tmp_path}/in"), f"{tmp_path}/ledger", f"{tmp_path}/state").awaitTermination()
         assert ledger.load(spark, f"{tmp_path}/ledger").count() == 9
         rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    # both copies in one batch bring what one brings
+    rows.coalesce(1).write.parquet(f"{tmp_path}/both")
+    rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/both")
+    inbox.start(inbox.stream(spark, f"{tmp_path}/both"), f"{tmp_path}/ledger2", f"{tmp_path}/state2").awaitTermination()
+    assert ledger.load(spark, f"{tmp_path}/ledger2").count() == 9
     daily = inbox.monthly_totals(inbox.stream(spark, f"{tmp_path}/in"))
     assert daily.isStreaming and daily.columns == ["date", "direction", "amount_cents", "n"]

@@ -150,7 +150,15 @@ def test_a_folder_of_statements(spark, tmp_path):
     (tmp_path / "b.csv").write_bytes(csv_text(ROWS[::2]).encode("cp1252"))
     (tmp_path / "c.ofx").write_text(OFX)
     (tmp_path / "d.pdf").write_bytes(b"%PDF-1.4")
+    # a workbook under the old name, beside one that is none: bytes count
+    table = files.matrix(csv_text())
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    told = lambda i, j, x: f'<c r="{letters[j]}{i}" t="inlineStr"><is><t>{x.replace("&", "&amp;")}</t></is></c>'
+    workbook_bytes(f"{tmp_path}/e.xls", [(i, [told(i, j, x) for j, x in enumerate(row) if x]) for i, row in enumerate(table, 1)])
+    (tmp_path / "f.xlsx").write_bytes(b"PK\x03\x04 broken xl/")
+    # a cell longer than the reader's usual limit is a cell like any other
+    (tmp_path / "g.csv").write_text('a,b\n"' + "x" * 200_000 + '",2\n')
     r = importing.read_statements(spark, str(tmp_path))
     got = {a.path.rsplit("/")[-1]: (a.n_tx, a.reason, a.trusted) for a in r.audit.collect()}
-    assert got == {"a.csv": (3, None, True), "b.csv": (2, "balance chain breaks", False), "c.ofx": (2, None, True), "d.pdf": (0, "not a statement that can be proved: pdf", False)}
-    assert r.transactions.count() == 6
+    assert got == {"a.csv": (3, None, True), "b.csv": (2, "balance chain breaks", False), "c.ofx": (2, None, True), "d.pdf": (0, "not a statement that can be proved: pdf", False), "e.xls": (3, None, True), "f.xlsx": (0, "not a statement that can be proved: spreadsheet", False), "g.csv": (0, "not a statement that can be proved: text", False)}
+    assert r.transactions.count() == 10
