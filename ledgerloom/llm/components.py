@@ -17,9 +17,9 @@ def joined(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -
     The edges of a large component all meet at its least node, and no task could hold them. So rows of a key that holds more than
     a HEAVY-th of them stay where they are: such keys are fewer than HEAVY, whatever the data. The rest is shuffled.
     """
-    heavy = F.broadcast(table.where(F.col(size) * HEAVY > total))
-    few = rows.join(heavy, key)
-    rest = rows.join(F.broadcast(table.where(F.col(size) * HEAVY > total).select(key)), key, "left_anti").join(table.where(F.col(size) * HEAVY <= total), key)
+    tagged = rows.join(F.broadcast(table.where(F.col(size) * HEAVY > total)), key, "left")
+    few = tagged.where(F.col(size).isNotNull())
+    rest = tagged.where(F.col(size).isNull()).select(*rows.columns).join(table.where(F.col(size) * HEAVY <= total), key)
     return few.unionByName(rest)
 
 

@@ -186,18 +186,22 @@ def text_key(text: str = "text"):
 
 def _homes(groups: DataFrame, in_bucket: DataFrame, bands: int, block: int) -> DataFrame:
     """node, homes: where each node of a component is verified: array of g (the component's root, or a bucket's hash), band (-1 for
-    a whole component) and blocks."""
+    a whole component) and blocks. A component of more blocks than there are bands is verified by bucket if its sets then travel less."""
     total = groups.count()
-    sized = groups.groupBy("root").agg(F.count("*").alias("m"))
-    placed = joined(groups, sized, "root", "m", total).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    sized = groups.groupBy("root").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    large = materialise(sized.where(F.col("blocks") > bands))
     home = lambda g, band: F.struct(F.col(g).alias("g"), F.expr(band).cast("int").alias("band"), F.col("blocks"))
-    whole = placed.where(F.col("blocks") <= bands).select("node", F.array(home("root", "-1")).alias("homes"))
-    split = materialise(placed.where(F.col("blocks") > bands).select("node"))
-    if split.isEmpty():
-        return whole
-    part = materialise(in_bucket.join(split, "node").select("node", "band", "hash", F.xxhash64("band", "hash").alias("k")))
-    buckets = part.groupBy("k").agg(F.count("*").alias("m")).where("m > 1")
-    met = joined(part, buckets, "k", "m", part.count()).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    if large.isEmpty():
+        return joined(groups, sized, "root", "m", total).select("node", F.array(home("root", "-1")).alias("homes"))
+    own = materialise(joined(groups, large, "root", "m", total).select("node", "root"))
+    part = materialise(in_bucket.join(own, "node").select("node", "root", "band", "hash", F.xxhash64("band", "hash").alias("k")))
+    # a bucket lies in one component
+    buckets = part.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("root")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    travels = buckets.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("by_bucket"))
+    split = materialise(large.join(travels, "root").where(F.col("by_bucket") < F.col("m") * F.col("blocks")).select("root"))
+    whole = joined(groups, sized.join(split, "root", "left_anti"), "root", "m", total).select("node", F.array(home("root", "-1")).alias("homes"))
+    chosen = buckets.join(split, "root", "left_semi").drop("root")
+    met = joined(part.drop("root"), chosen, "k", "n", part.count())
     return whole.unionByName(met.groupBy("node").agg(F.array_sort(F.collect_list(home("hash", "band"))).alias("homes")))
 
 

@@ -103,6 +103,19 @@ def test_a_component_of_many_blocks_is_verified_by_bucket(spark):
     assert got == brute_classes(rows)
 
 
+def test_a_long_chain_is_verified_by_bucket(spark, monkeypatch):
+    """Texts that slide along a longer one: one component of many blocks, whose buckets are small. Sets travel by bucket, and links are all there."""
+    homes = []
+    real = ngram_join._homes
+    monkeypatch.setattr(ngram_join, "_homes", lambda *a: homes.append(real(*a)) or homes[-1])
+    w = [f"w{i}" for i in range(1600)]
+    rows = [(i, " ".join(w[i * 10 : i * 10 + 200])) for i in range(130)] + [(200, "another text"), (7, " ".join(w[70:270]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((x.doc_id, x.class_id, x.n_links) for x in ngram_join.near_duplicates(docs, block=2).collect())
+    assert got == brute_classes(rows)
+    assert homes[0].selectExpr("explode(homes) AS h").where("h.band >= 0").count() > 130
+
+
 def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(empty(spark)).count() == 0
 
