@@ -57,6 +57,12 @@ def first_of_line(rows: DataFrame, by: list[str], line: str, key: list[str], ord
     return rows.withColumn("_n", n).where(F.col(line).isNull() | (F.col("_n") == 1)).drop("_n")
 
 
+def first_details(rows: DataFrame, by: str, order: str, detail: str, most: int) -> DataFrame:
+    """by, details: the first so many details of each file, in order; what is beyond never leaves its task."""
+    first = rows.where(F.col(detail).isNotNull()).withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("_n") <= most)
+    return first.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col(detail).alias("d")))), lambda x: x["d"]).alias("details"))
+
+
 def trustworthy(audit: DataFrame) -> DataFrame:
     """Verdict on an audit row: n_tx, n_unread, rows_bad, contradictions, links_broken, rows_ok; the first reason that holds."""
     reason = (

@@ -63,6 +63,39 @@ def balanced_json(answer: str) -> tuple[str | None, bool]:
     return None, True
 
 
+# The fields of the answers that are asked for, by what they answer; all but transactions, which parse_answer reads.
+ANSWERS = {
+    "recognition": "instituicao string, numero string, rotuloEntrada string, rotuloSaida string, excluir array<string>, observacoes string",
+    "profile": "linhaCabecalho int, primeiraLinha int, colunas array<struct<letra: string, papel: string, cabecalho: string>>, categorias array<string>",
+    "list_columns": "colunas array<struct<letra: string, orientacao: string, dicas: array<struct<opcao: string, dica: string>>>>",
+    "formula_columns": "colunas array<struct<letra: string, repetir: boolean, motivo: string>>",
+    "categories": "itens array<struct<indice: int, categoria: string>>",
+    "identities": "itens array<struct<indice: int, mesmaPessoa: boolean>>",
+}
+
+
+def answers(rows: DataFrame, kind: str, answer: str = "answer") -> DataFrame:
+    """rows with parsed (a struct of the kind's fields, null if there is no object in the answer) and status: ok, empty, cut (the answer ends
+    within its object) or bad (an object without any of the fields). Fields of another type are null; nothing raises."""
+
+    @F.pandas_udf("body string, cut boolean")
+    def body(said: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([balanced_json(x or "") for x in said], columns=["body", "cut"])
+
+    found = rows.withColumn("_b", body(F.col(answer))).withColumn("parsed", F.from_json("_b.body", ANSWERS[kind], {"mode": "PERMISSIVE"}))
+    fields = [x.name for x in found.schema["parsed"].dataType.fields]
+    some = F.coalesce(*[F.when(F.col(f"parsed.{f}").isNotNull(), True) for f in fields], F.lit(False))
+    status = F.when(F.col("_b.cut"), "cut").when(F.col("_b.body").isNull(), "empty").when(some, "ok").otherwise("bad")
+    return found.withColumn("status", status).withColumn("parsed", F.when(F.col("status") == "ok", F.col("parsed"))).drop("_b")
+
+
+def indexed(rows: DataFrame, by: list[str], kind: str, asked: int) -> DataFrame:
+    """by, index, said: the answers of a batch to its `asked` questions; an index that wasn't asked for, or a second answer to one, doesn't count."""
+    value = {"categories": "categoria", "identities": "mesmaPessoa"}[kind]
+    each = answers(rows, kind).where("status = 'ok'").select(*by, F.posexplode("parsed.itens").alias("_n", "x")).where(F.col("x.indice").between(0, asked - 1))
+    return each.groupBy(*by, F.col("x.indice").alias("index")).agg(F.min_by(F.col(f"x.{value}"), "_n").alias("said"))
+
+
 def _number(v) -> float | None:
     if isinstance(v, (int, float)) and not isinstance(v, bool):
         return float(v)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
 from ..functions.steps import apart
+from ..operators import proof
 
 
 def is_ofx(body: Column) -> Column:
@@ -48,6 +49,12 @@ def transactions(rows: DataFrame) -> DataFrame:
     )
 
 
+def details(rows: DataFrame, most: int = 6) -> DataFrame:
+    """path, details: the first blocks of each file that could not be read, with why."""
+    said = rows.withColumn("_said", F.when(F.col("unread").isNotNull(), F.concat(F.lit("block "), (F.col("block_no") + 1).cast("string"), F.lit(": "), "unread", F.lit(": "), "raw_line")))
+    return proof.first_details(said, "path", "block_no", "_said", most)
+
+
 def audit(texts: DataFrame, rows: DataFrame) -> DataFrame:
     """A row a file: declared and read blocks, leftover tags of its list, final balance, verdict."""
     listed = F.regexp_extract("text", r"(?is)<BANKTRANLIST>(.*?)</BANKTRANLIST>", 1)

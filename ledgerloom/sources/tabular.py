@@ -28,6 +28,8 @@ ROLES = {
     "from_bank": ("origem instituicao",),
     "from_account": ("origem conta",),
 }
+#: Unread lines of a file that are told.
+DETAILS = 8
 NEEDED = ("date", "value", "before", "after", "movement")
 
 
@@ -95,3 +97,9 @@ def audit(rows: DataFrame) -> DataFrame:
     some = ["rows_ok", "rows_bad", "links_ok", "links_broken"]
     out = n.join(chain.select("path", *some), "path", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in some})
     return proof.trustworthy(out)
+
+
+def details(rows: DataFrame) -> DataFrame:
+    """path, details: the first lines of each file that could not be read, with why."""
+    said = rows.withColumn("_said", F.when(F.col("unread").isNotNull(), F.concat(F.lit("row "), F.col("row_no").cast("string"), F.lit(": "), "unread", F.lit(": "), F.substring("raw", 1, 120))))
+    return proof.first_details(said, "path", "row_no", "_said", DETAILS)

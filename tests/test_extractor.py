@@ -59,3 +59,14 @@ def test_transient_errors_are_tried_again():
     assert extractor._ask(extract, "x", 0) == [] and len(calls) == 3
     with pytest.raises(extractor.Transient):
         extractor._ask(lambda _: (_ for _ in ()).throw(extractor.Transient()), "x", 0)
+
+
+def test_answers_of_every_kind(spark):
+    fence = chr(96) * 3
+    made = [("profile", fence + 'json\n{"linhaCabecalho": 12, "colunas": [{"letra": "B", "papel": "data"}]}\n' + fence, "ok"), ("recognition", '{"instituicao": "X"', "cut"), ("recognition", "no idea", "empty"), ("categories", '{"else": 1}', "bad"), ("recognition", None, "empty")]
+    for kind, said, status in made:
+        got = extractor.answers(spark.createDataFrame([(said,)], "answer string"), kind).first()
+        assert got.status == status and (got.parsed is not None) == (status == "ok"), said
+    assert set(extractor.ANSWERS) == {"recognition", "profile", "list_columns", "formula_columns", "categories", "identities"}
+    batch = spark.createDataFrame([("b", '{"itens": [{"indice": 1, "mesmaPessoa": true}, {"indice": 1, "mesmaPessoa": false}, {"indice": 9, "mesmaPessoa": true}, {"indice": 0, "mesmaPessoa": false}]}')], "batch string, answer string")
+    assert {(r["index"], r.said) for r in extractor.indexed(batch, ["batch"], "identities", 3).collect()} == {(0, False), (1, True)}

@@ -162,3 +162,13 @@ def test_a_folder_of_statements(spark, tmp_path):
     got = {a.path.rsplit("/")[-1]: (a.n_tx, a.reason, a.trusted) for a in r.audit.collect()}
     assert got == {"a.csv": (3, None, True), "b.csv": (2, "balance chain breaks", False), "c.ofx": (2, None, True), "d.pdf": (0, "not a statement that can be proved: pdf", False), "e.xls": (3, None, True), "f.xlsx": (0, "not a statement that can be proved: spreadsheet", False), "g.csv": (0, "not a statement that can be proved: text", False)}
     assert r.transactions.count() == 10
+
+
+def test_first_details_of_what_was_not_read(spark):
+    bad = [f"Crédito,x{i}" for i in range(12)]
+    text = "Movimentação,Valor,Saldo antes,Saldo depois,Data\n" + "\n".join(f"{x},1,2,31/08/2026" for x in bad)
+    rows = tabular.read_rows(files.tables(spark.createDataFrame([("p", text)], "path string, text string")))
+    got = tabular.details(rows).first().details
+    assert len(got) == tabular.DETAILS and got[0].startswith("row 1: value: Crédito")
+    blocks = ofx.blocks(spark.createDataFrame([("p", OFX.replace("<TRNAMT>", "<OTHER>"))], "path string, text string"))
+    assert [d.split(":")[0] for d in ofx.details(blocks, 1).first().details] == ["block 1"]
