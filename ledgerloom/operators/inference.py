@@ -110,9 +110,11 @@ def shift_formula(formula: str, by: int) -> str | None:
     return None if lost else out
 
 
-def least_offset(formula: str, row: int) -> int:
-    """How far above its own row a formula reaches, 0 or less."""
-    return min([0, *(int(m[4]) - row for m in _REFERENCE.finditer(formula) if m[4] and not m[3])])
+def least_offset(formula: Column, row: Column) -> Column:
+    """How far above its own row a formula reaches by references that move, 0 or less: JVM patterns, string literals left out."""
+    bare = F.regexp_replace(formula, r'"(?:[^"]|"")*"?', '""')
+    at = F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9_.])\$?[A-Za-z]{1,3}(\d+)(?!\d)(?!\()"), F.lit(1))
+    return F.least(F.lit(0), F.coalesce(F.array_min(F.transform(at, lambda x: x.try_cast("int") - row)), F.lit(0)))
 
 
 def translated(rows: DataFrame, formula: str, from_row: str, to_row: str, out: str = "translated") -> DataFrame:
@@ -130,8 +132,7 @@ def translated(rows: DataFrame, formula: str, from_row: str, to_row: str, out: s
 def formula_columns(cells: DataFrame, first_row: int, writable: tuple[str, ...] = ()) -> DataFrame:
     """Calculated columns of each sheet: occurrences, model (of the greatest row that generalises), kind, style, whether it is column-wide."""
     rows = cells.where((F.col("row") >= first_row) & (F.col("kind") == "formula") & ~F.col("col").isin(*writable, ""))
-    offset = F.pandas_udf(lambda t, r: pd.Series([least_offset(a, int(b)) for a, b in zip(t, r)]), "int")
-    found = rows.withColumn("_o", offset("formula", "row"))
+    found = rows.withColumn("_o", least_offset(F.col("formula"), F.col("row")))
     n = found.groupBy("sheet", "col").agg(
         F.count("*").alias("n"), F.max_by(F.when(F.col("_o") >= -1, F.struct("formula", "row")), F.when(F.col("_o") >= -1, F.col("row"))).alias("model"),
         F.max_by("formula", F.when(F.col("row") == first_row, 1)).alias("first_row_formula"),

@@ -225,6 +225,12 @@ def test_shifted_formulas(formula, by, want):
     assert inference.shift_formula(formula, by) == want
 
 
+def test_how_far_a_formula_reaches(spark):
+    cases = [("H1+F2-G2", 2, -1), ('$G$7&"F1"+A9', 5, 0), ("SUM(A1:B9)", 4, -3), ("LOG10(A3)+x.A1+A$1", 3, 0), ("", 3, 0), ('"A1', 9, 0), ("AB12+$C4", 6, -2)]
+    rows = spark.createDataFrame(cases, "f string, r int, want int")
+    assert rows.where(inference.least_offset(F.col("f"), F.col("r")) != F.col("want")).collect() == []
+
+
 def test_formula_columns(spark):
     rows = [("s", 13, "H", "G7+F13-G13"), ("s", 14, "H", "H13+F14-G14"), ("s", 15, "H", "H14+F15-G15"), ("s", 14, "I", "F14*2")]
     cells = spark.createDataFrame([(s, r, c, "formula", "1", "n", f) for s, r, c, f in rows] + [("s", 16, "A", "text", "x", None, None)], "sheet string, row int, col string, kind string, value string, style string, formula string")
