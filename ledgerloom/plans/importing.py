@@ -8,22 +8,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import dedup, ledger, report, rules
+from ..sources import extractor as port
 from ..sources import files, ofx, pages, tabular, workbook
+from ..sources.extractor import Extractor
 
 
 @dataclass
 class Reading:
-    """transactions of the files that were proved; audit: a row a file with trusted and reason."""
+    """transactions of the files that were proved; audit: a row a file with trusted and reason; extracted: what an extractor read of texts and
+    sheets that are no statement of a known form. Nothing proves it, so it is kept apart for the user to confirm."""
 
     transactions: DataFrame
     audit: DataFrame
+    extracted: DataFrame | None = None
 
 
-def read_statements(spark: SparkSession, path: str) -> Reading:
+def read_statements(spark: SparkSession, path: str, extractor: Extractor | None = None) -> Reading:
     """Every file under a path by its kind. Files whose proof fails bring no transaction; their reason is in the audit."""
     found = files.load(spark, path).withColumn("kind", files.kind(F.col("content"), F.col("path")))
     texts = files.with_text(found.where("kind in ('text', 'ofx')"))
@@ -35,7 +40,28 @@ def read_statements(spark: SparkSession, path: str) -> Reading:
     columns = ["path", "source_order", "date", "y", "m", "d", "description", "direction", "amount_cents", "raw_line", "account_id"]
     tx = tabular.transactions(rows).select(*columns).unionByName(ofx.transactions(blocks).select(*columns))
     others = found.join(audits.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_tx"), F.concat(F.lit("not a statement that can be proved: "), "kind").alias("reason"), F.lit(False).alias("trusted"))
-    return Reading(tx.join(audits.where("trusted").select("path"), "path", "left_semi"), audits.unionByName(others))
+    extracted = None
+    if extractor is not None:
+        lines = sheets.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.array_join("cells", " | ").alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+        unknown = texts.where("kind = 'text'").select("path", "text").unionByName(lines).join(others.select("path"), "path", "left_semi")
+        extracted, told = read_by_extractor(unknown, extractor)
+        others = others.join(told.select("path"), "path", "left_anti").unionByName(told)
+    return Reading(tx.join(audits.where("trusted").select("path"), "path", "left_semi"), audits.unionByName(others), extracted)
+
+
+def read_by_extractor(texts: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
+    """Transactions that the extractor reads of texts (path, text), in the order of blocks and lines, and an audit row for each: never trusted; a
+    file of which no block could be read has its first error as the reason. Answers are kept, so that several actions ask once."""
+    found = port.extract(port.blocks(texts), extractor).persist()
+    good = port.settled(found).withColumn("date", F.to_date("date"))
+    order = (F.row_number().over(W.partitionBy("path").orderBy("block", "line")) - 1).cast("long")
+    none = F.lit(None).cast("string")
+    rows = good.select("path", order.alias("source_order"), "date", F.year("date").alias("y"), F.month("date").alias("m"), F.dayofmonth("date").alias("d"), "description", "direction", "amount_cents", none.alias("raw_line"), none.alias("account_id"))
+    errors = found.groupBy("path").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("block"))).alias("_e"))
+    n = rows.groupBy("path").agg(F.count("*").alias("n_tx"))
+    out = texts.select("path").join(n, "path", "left").join(errors, "path", "left").withColumn("n_tx", F.coalesce("n_tx", F.lit(0)))
+    reason = F.when(F.col("n_tx") > 0, F.when(F.col("_e").isNotNull(), F.concat(F.lit("read in part by the extractor, not proved: "), "_e")).otherwise("read by the extractor, not proved")).otherwise(F.coalesce("_e", F.lit("the extractor found no transaction")))
+    return rows, out.select("path", "n_tx", reason.alias("reason"), F.lit(False).alias("trusted"))
 
 
 def read_pages(page_texts: DataFrame) -> Reading:

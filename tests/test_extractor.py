@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from ledgerloom.plans import importing
 from ledgerloom.sources import extractor
 
 
@@ -70,3 +71,20 @@ def test_answers_of_every_kind(spark):
     assert set(extractor.ANSWERS) == {"recognition", "profile", "list_columns", "formula_columns", "categories", "identities"}
     batch = spark.createDataFrame([("b", '{"itens": [{"indice": 1, "mesmaPessoa": true}, {"indice": 1, "mesmaPessoa": false}, {"indice": 9, "mesmaPessoa": true}, {"indice": 0, "mesmaPessoa": false}]}')], "batch string, answer string")
     assert {(r["index"], r.said) for r in extractor.indexed(batch, ["batch"], "identities", 3).collect()} == {(0, False), (1, True)}
+
+
+def test_unknown_files_go_to_the_extractor(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(f"paid {i}" for i in range(4)))
+    (tmp_path / "b.txt").write_text("boom")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4")
+
+    def extract(body):
+        if "boom" in body:
+            raise ValueError("no")
+        return answer([line(i + 1, "2026-01-0%d" % (i + 1), i + 5, None) for i in range(4)])
+
+    r = importing.read_statements(spark, str(tmp_path), extract)
+    got = {a.path.rsplit("/")[-1]: (a.n_tx, a.reason, a.trusted) for a in r.audit.collect()}
+    assert got == {"a.txt": (4, "read by the extractor, not proved", False), "b.txt": (0, "ValueError: no", False), "c.pdf": (0, "not a statement that can be proved: pdf", False)}
+    assert r.transactions.count() == 0 and [(x.source_order, str(x.date), x.amount_cents) for x in r.extracted.orderBy("source_order").collect()] == [(i, f"2026-01-0{i + 1}", 100 * (i + 5)) for i in range(4)]
+    assert importing.read_statements(spark, str(tmp_path)).extracted is None
