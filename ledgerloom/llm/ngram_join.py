@@ -105,10 +105,25 @@ def _sets(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[keep]), *rest, pa.array(sets, pa.binary())], ["node", "copies", "homes", "grams"])
 
 
-def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, step: int = 4096) -> np.ndarray:
-    """Which pairs of sorted sets reach the Jaccard threshold, as a square matrix; exact in whole numbers."""
+def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, step: int = 4096, most: int = 1 << 21) -> np.ndarray:
+    """Which pairs of sorted sets reach the Jaccard threshold, as a square matrix; exact in whole numbers. Hashes go range by range, about
+    `most` of them at a time, so that sets of very long texts need no more memory."""
     size = np.array([len(s) for s in sets])
-    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    common = np.zeros((len(sets), len(sets)), np.float64)
+    parts = max(1, -(-int(size.sum()) // most))
+    edges = np.array([i * 2**64 // parts for i in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges), len(s)] for s in sets]
+    for i in range(parts):
+        _add_common(common, [s[c[i] : c[i + 1]] for s, c in zip(sets, cuts)], step)
+    p, q = threshold.numerator, threshold.denominator
+    out = common * (p + q) >= p * (size[:, None] + size[None, :])
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _add_common(common: np.ndarray, sets: list[np.ndarray], step: int) -> None:
+    """Adds the number of common hashes of each pair."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     by = np.argsort(every, kind="stable")
     every, owner = every[by], owner[by]
     new = np.ones(len(every), bool)
@@ -117,16 +132,11 @@ def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, step: int =
     shared = np.bincount(gram) > 1
     keep = shared[gram]
     owner, gram = owner[keep], (np.cumsum(shared) - 1)[gram[keep]]
-    common = np.zeros((len(sets), len(sets)), np.float64)
     for lo in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(gram, [lo, lo + step])
         hold = np.zeros((len(sets), step), np.float32)
         hold[owner[a:b], gram[a:b] - lo] = 1
         common += hold @ hold.T
-    p, q = threshold.numerator, threshold.denominator
-    out = common * (p + q) >= p * (size[:, None] + size[None, :])
-    np.fill_diagonal(out, False)
-    return out
 
 
 def _cell(rows: list[dict], threshold: Fraction) -> pa.RecordBatch:

@@ -133,6 +133,10 @@ def test_linked_is_exact():
         for b in range(40):
             x, y = set(sets[a].tolist()), set(sets[b].tolist())
             assert got[a, b] == (a != b and len(x & y) * 5 >= 4 * len(x | y))
+    wide = [s * np.uint64(0x9E3779B97F4A7C15) for s in sets]
+    wide = [np.sort(s) for s in wide]
+    for most in (1, 50, 10**6):
+        assert (ngram_join.linked(wide, step=7, most=most) == got).all()
 
 
 def test_components(spark):
