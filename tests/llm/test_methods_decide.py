@@ -180,7 +180,7 @@ def test_joint_choice_beats_the_largest_length():
         largest = np.array(packing.CAPACITIES)[np.searchsorted(packing.CAPACITIES, held)]  # shrunk in the end too
         assert total(caps) <= most * total(largest), name
         if name != "long":
-            assert len(Counter(caps.tolist())) >= 2
+            assert set(caps.tolist()) - {4096}
 
 
 def brute_cost(sizes, capacities):
