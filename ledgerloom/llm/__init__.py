@@ -1 +1 @@
-"""Training-corpus operators: ten whole-corpus jobs over DataFrames of documents."""
+"""Training-corpus operators: thirteen whole-corpus jobs over DataFrames of documents."""

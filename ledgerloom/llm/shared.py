@@ -39,11 +39,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs no rerun."""
+def materialise(df: DataFrame, **options) -> DataFrame:
+    """Write df as Parquet in the shared folder (with these writer options) and read it back: lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_drop, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path
