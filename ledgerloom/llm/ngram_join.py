@@ -6,7 +6,7 @@
 2. Nodes meet on band hashes: a shuffle of (band, hash, node) with map-side minima; each node is tied to the least node of
    each of its buckets. The components of those ties hold every pair that shares a band.
 3. Components are verified on the full sets, in cells of two blocks of nodes: all pairs of a cell at once, as the product of
-   incidence matrices. A component is verified whole; where it has so many blocks that a set would travel more often than it
+   incidence matrices. A link is a pair at the threshold that shares a band, whatever the component's size. A component is verified whole; where it has so many blocks that a set would travel more often than it
    has bands, each of its buckets is, a pair in the first of the buckets that it shares. So a set travels a bounded number of
    times, but for buckets that are large themselves. Out of a cell come each node's number of links and its least linked node, never the pairs.
 4. Classes are the components of verified links.
@@ -101,8 +101,8 @@ def _sets(batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
     ids = set_ids(gram, first)
     keep = np.flatnonzero(ids == batch.column("node").to_numpy())
     sets = [gram[first[i] : first[i + 1]].tobytes() for i in keep]
-    rest = [batch.column(c).take(pa.array(keep)) for c in ("copies", "homes")]
-    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), *rest, pa.array(sets, pa.binary())], ["node", "copies", "homes", "grams"])
+    rest = [batch.column(c).take(pa.array(keep)) for c in ("copies", "bands", "homes")]
+    return pa.RecordBatch.from_arrays([pa.array(ids[keep]), *rest, pa.array(sets, pa.binary())], ["node", "copies", "bands", "homes", "grams"])
 
 
 def linked(sets: list[np.ndarray], threshold: Fraction = THRESHOLD, step: int = 4096, most: int = 1 << 21) -> np.ndarray:
@@ -148,6 +148,11 @@ def _cell(rows: list[dict], threshold: Fraction) -> pa.RecordBatch:
     link = linked([np.frombuffer(r["grams"], np.uint64) for r in rows], threshold)
     if rows[0]["i"] != rows[0]["j"]:
         link &= block[:, None] != block[None, :]
+    if rows[0]["band"] < 0 and link.any():  # in a bucket all share a band
+        near = np.zeros_like(link)
+        for h in np.array([r["bands"] for r in rows], np.int64).T:
+            near |= h[:, None] == h[None, :]
+        link &= near
     own = [{h["band"]: h["g"] for h in r["homes"] if h["band"] < rows[0]["band"]} for r in rows]
     for band in range(rows[0]["band"]):
         g = np.array([x.get(band, 0) for x in own])
@@ -222,7 +227,7 @@ def classed(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall
     keyed = texts.withColumn("key", text_key())
     signs = materialise(by_chunk(keyed, lambda b: _signatures(b, n, rows, bands), "doc_id long, key long, node long, n_grams long, bands array<long>"))
     known = signs.where("doc_id is not null and n_grams > 0")
-    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")))
+    nodes = materialise(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
     # candidates: least node of each bucket
     in_bucket = known.select("node", F.posexplode("bands").alias("band", "hash")).distinct()
     buckets = in_bucket.groupBy("band", "hash").agg(F.min("node").alias("least"), F.max("node").alias("_top")).where("least <> _top").drop("_top")
@@ -230,20 +235,20 @@ def classed(docs: DataFrame, n: int = N, threshold: Fraction = THRESHOLD, recall
     groups = materialise(components(ties))
     chosen = materialise(_homes(groups, in_bucket, bands, block).join(nodes, "node"))
     # full sets of the candidates, once for each block of their component, or of each of their buckets
-    mine = texts.join(chosen.select(F.col("doc").alias("doc_id"), "node", "copies", "homes").hint("shuffle_hash"), "doc_id")
-    sets = by_chunk(mine, lambda b: _sets(b, n), "node long, copies long, homes array<struct<g: long, band: int, blocks: int>>, grams binary").dropDuplicates(["node"])
-    placed = sets.select("node", "copies", "grams", "homes", F.explode("homes").alias("h")).select("node", "copies", "grams", "homes", "h.*")
+    mine = texts.join(chosen.select(F.col("doc").alias("doc_id"), "node", "copies", "bands", "homes").hint("shuffle_hash"), "doc_id")
+    sets = by_chunk(mine, lambda b: _sets(b, n), "node long, copies long, bands array<long>, homes array<struct<g: long, band: int, blocks: int>>, grams binary").dropDuplicates(["node"])
+    placed = sets.select("node", "copies", "bands", "grams", "homes", F.explode("homes").alias("h")).select("node", "copies", "bands", "grams", "homes", "h.*")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o"))
-    cells = cells.select("g", "band", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node", "copies", "homes", "grams")
+    cells = cells.select("g", "band", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "node", "copies", "bands", "homes", "grams")
     small_batches(docs.sparkSession)
     met = cells.repartition("g", "band", "i", "j").sortWithinPartitions("g", "band", "i", "j")
     verified = materialise(met.mapInArrow(lambda it: _cells(it, threshold), "node long, links long, least long"))
     classes = materialise(components(verified.select(F.col("node").alias("a"), F.col("least").alias("b"))))
-    named = classes.join(nodes, "node").groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("m"))
+    named = classes.join(nodes.select("node", "doc"), "node").groupBy("root").agg(F.min("doc").alias("class_id"), F.count("*").alias("m"))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     of_class = joined(classes, named, "root", "m", classes.count()).select("node", "class_id")
-    found = nodes.join(of_class, "node", "left").join(links, "node", "left")
+    found = nodes.drop("bands").join(of_class, "node", "left").join(links, "node", "left")
     found = found.select("node", "copies", F.coalesce("class_id", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # thousands of copies are one node: joined as a heavy key
     out = joined(known.select("doc_id", "key", "node"), materialise(found), "node", "copies", known.count()).select("doc_id", "key", "class_id", "n_links")
