@@ -92,23 +92,28 @@ def _log_softmax(logits: np.ndarray) -> np.ndarray:
     return logits
 
 
-def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
-    """Mean loss of all positions of sequences of one length (row: sequence) and its gradients, in the order of net.arrays()."""
+def gradients(net: Network, x: np.ndarray, y: np.ndarray, sizes: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+    """Mean over sequences (rows) of the mean loss of their positions, and its gradients, in the order of net.arrays(). A sequence's
+    positions from its size on are padding: states are zero there, and nothing is learnt from them."""
     n, length = x.shape
     size = net.turn[0].shape[0]
+    sizes = np.full(n, length) if sizes is None else sizes
+    real = (np.arange(length)[:, None] < sizes).astype(np.float32)
     both, tapes = np.empty((length, n, 2 * size), np.float32), []
     for side in (0, 1):
         h, tape = np.zeros((n, size), np.float32), []
         for t in range(length) if side == 0 else range(length - 1, -1, -1):
             out, *kept = _step(net, side, x[:, t], h)
             tape.append((t, h, *kept))
+            out *= real[t][:, None]
             both[t, :, side * size : (side + 1) * size] = h = out
         tapes.append(tape)
     logs = _log_softmax(both @ net.out + net.bias)
     p = np.exp(logs)
-    loss = -float(logs[:, np.arange(n), y].mean())
+    share = real / (sizes * np.float32(n))
+    loss = -float((logs[:, np.arange(n), y] * share).sum())
     p[:, np.arange(n), y] -= 1
-    p /= length * n
+    p *= share[:, :, None]
     d_out, d_bias = both.reshape(-1, 2 * size).T @ p.reshape(-1, p.shape[2]), p.sum((0, 1))
     back = p @ net.out.T
     grads: list[list[np.ndarray]] = [[], [], []]
@@ -116,7 +121,7 @@ def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[n
         d_turn, d_shift = np.zeros_like(net.turn[side]), np.zeros_like(net.shift[side])
         dh, by_byte, of = np.zeros((n, size), np.float32), [], []
         for t, h, r, z, new, un in reversed(tapes[side]):
-            dh = dh + back[t][:, side * size : (side + 1) * size]
+            dh = (dh + back[t][:, side * size : (side + 1) * size]) * real[t][:, None]
             d_new = dh * (1 - z) * ((new > -1) & (new < 1))
             d_z = dh * (h - new) * (0.2 * ((z > 0) & (z < 1)))
             d_r = d_new * un * (0.2 * ((r > 0) & (r < 1)))
@@ -152,16 +157,14 @@ def train(texts: list[str], langs: list[str], steps: int = 220, batch: int = 256
     r = np.random.default_rng(seed)
     first, second = ([np.zeros_like(a) for a in net.arrays()] for _ in range(2))
     for step in range(1, steps + 1):
-        # every language has the same share; a stretch is as long as the step's texts allow, now and then a short one
+        # every language has the same share; stretches have the step's length, now and then a short one, or that of their whole text
         y = np.array(some)[r.integers(0, len(some), batch)]
         doc = np.array([by_language[k][int(u * len(by_language[k]))] for k, u in zip(y, r.random(batch))])
         length = int(_LENGTHS[-1]) if step % 4 else int(r.choice(_LENGTHS[3:]))
         least = np.minimum(size[doc], length)
-        length = int(_LENGTHS[np.searchsorted(_LENGTHS, np.quantile(least, 0.25), "right") - 1])
-        keep = size[doc] >= length
-        doc, y = doc[keep], y[keep]
-        start = offsets[doc] + (r.random(len(doc)) * (size[doc] - length + 1)).astype(np.int64)
-        _, grads = gradients(net, buf[start[:, None] + np.arange(length)], y)
+        start = offsets[doc] + (r.random(len(doc)) * (size[doc] - least + 1)).astype(np.int64)
+        spot = start[:, None] + np.arange(least.max())
+        _, grads = gradients(net, buf[np.minimum(spot, len(buf) - 1)], y, least)
         rate = 0.02 * (1 - 0.9 * step / steps)
         for a, g, m, v in zip(net.arrays(), grads, first, second):
             m += 0.1 * (g - m)
@@ -302,14 +305,15 @@ def sample_of(docs: DataFrame, fit_docs: int = FIT_DOCS, least: int = LEAST_DOCS
     """Texts and languages that teach: of every language the texts of the smallest hashes, copies once, long ones by a stretch.
     max(fit_docs, least x languages) rows at most reach the driver."""
     known = docs.where("lang is not null and text <> ''").select("lang", "text", F.xxhash64("text", F.lit(9)).alias("h"))
-    counts = materialise(known.groupBy("lang").count())
+    # distinct texts, not rows: thousands of copies of one text leave its language's other texts their share
+    counts = materialise(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("count"), F.min("h").alias("least")))
     n_languages = counts.count()
     each = max(least, fit_docs // max(1, n_languages))
     if n_languages <= FEW:  # else by a shuffle
         counts = F.broadcast(counts)
     share = F.pmod("h", F.lit(1 << 30)) / F.lit(1 << 30) * F.col("count") <= 2 * each
     at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - fit_chars + 1)).cast("int")
-    rows = known.join(counts, "lang").where(share).select("lang", "h", F.col("text").substr(at + 1, F.lit(fit_chars)).alias("text")).dropDuplicates(["lang", "h"])
+    rows = known.join(counts, "lang").where(share | (F.col("h") == F.col("least"))).select("lang", "h", F.col("text").substr(at + 1, F.lit(fit_chars)).alias("text")).dropDuplicates(["lang", "h"])
     nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     found = rows.withColumn("n", nth).where(F.col("n") <= each).select("lang", "text").collect()
     found.sort(key=lambda r: (r.lang, r.text))
