@@ -4,7 +4,8 @@ Each rule rejects a document whose share of something (symbols among characters,
 cutoff. Documents that fail the base rule (fewer than 50 words, or more than half of them repeated) are out beforehand and
 take no part in what follows.
 
-The labelled documents are parted by a hash of their ids. On one part (`choice`) a path of rule sets is laid out for
+Labelled texts are counted once a stratum, whatever their copies: copies are not independent trials. They are parted by a hash of
+the text, so that copies lie in one part. On one part (`choice`) a path of rule sets is laid out for
 each stratum (language): at step i every rule has the strictest cutoff that rejects at most STEPS[i] of the good
 documents there, or none if that cutoff rejects no larger share of the bad than of the good ones. The other part (`holdout`) certifies: step by step the
 good documents that the whole rule set rejects, by whichever rule, are counted, and the step stands if at a true rate of
@@ -16,8 +17,7 @@ documents are rejected by all rules together. Of the certified steps the one tha
 good, the stratum has no cutoff and its documents are kept.
 
 Defined results: null and empty texts have zero counts and fail the base rule. A null lang is the stratum ''. Of several labels of
-one document the worst counts; null labels are none. Repeated rows are each returned; a labelled document that stands several
-times counts once for each row. Extra columns don't come through. An empty table has no rows.
+one text the worst counts; null labels are none. Repeated rows are each returned. Extra columns don't come through. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -41,16 +41,16 @@ STEPS = (0, 10, 20, 30, 50, 70, 100, 150, 200)
 RULES = {"symbols": ("n_symbols", "word_chars"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
 #: Rows that are broadcast at most; more strata are joined by a shuffle.
 FEW = 10_000
-#: First hexadecimal digit of md5 of the id below which a label belongs to the choice part: a third.
+#: First hexadecimal digit of md5 of the text below which it belongs to the choice part: a third.
 PART = "5"
 BASE_FAILED = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
-_FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+_FEATURES = "doc_id long, lang string, key string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 
 def rule_counts(docs: DataFrame) -> DataFrame:
     keep = [x.split()[0] for x in _FEATURES.split(", ")]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    return by_chunk(rows, lambda b: with_counts(b, ["doc_id", "lang"]).select(keep), _FEATURES)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("key"), "text")
+    return by_chunk(rows, lambda b: with_counts(b, ["doc_id", "lang", "key"]).select(keep), _FEATURES)
 
 
 def binomial_tail(x: int, n: int, p: float) -> float:
@@ -101,7 +101,9 @@ def cutoffs(counts: DataFrame, labels: DataFrame, most: float = MOST, risk: floa
     """stratum, step, and each rule's cutoff in thousandths: strata with a certified step that rejects more bad than good."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = counts.where(f"NOT {BASE_FAILED}").join(labels, "doc_id").withColumn("stratum", F.coalesce("lang", F.lit("")))
-    known = materialise(known.withColumn("choice", F.md5(F.col("doc_id").cast("string").cast("binary")) < PART))
+    same = [x.split()[0] for x in _FEATURES.split(", ")[3:]]  # equal texts have equal counts
+    known = known.groupBy("stratum", "key").agg(F.min("quality").alias("quality"), *[F.first(c).alias(c) for c in same])
+    known = materialise(known.withColumn("choice", F.col("key") < PART))
     path = materialise(paths(known.where("choice")))
     n_strata = known.select("stratum").distinct().count()
     # every labelled row meets the steps of its stratum; sums on the map side
@@ -141,18 +143,18 @@ _CUTS = ", ".join(f"(SELECT CASE WHEN arg_min(h, c) * s.good > arg_min(g, c) * s
 _EACH = "\nUNION ALL ".join(f"SELECT stratum, quality, '{k}' AS rule, {a} AS a, {b} AS b FROM choice" for k, (a, b) in RULES.items())
 _HIT = "(" + " OR ".join(f"coalesce({a} * 1000 > {b} * cut_{k}, false)" for k, (a, b) in RULES.items()) + ")"
 ORACLE = rf"""
-WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, md5(coalesce(text, '')) AS key, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM t)),
 often AS (SELECT doc_id, i FROM win JOIN (SELECT doc_id, s FROM win GROUP BY ALL HAVING count(*) > 1) USING (doc_id, s)),
 rep AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM often, (SELECT unnest(range(3)) AS j) GROUP BY doc_id),
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t),
 lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
-f AS (SELECT t.doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+f AS (SELECT t.doc_id, stratum, key, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(lines.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(lines.n - lines.d, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
   FROM t LEFT JOIN rep ON rep.doc_id = t.doc_id LEFT JOIN lines ON lines.doc_id = t.doc_id),
-known AS (SELECT f.*, quality, md5(CAST(doc_id AS VARCHAR)) < '{PART}' AS part FROM f
-  JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT {BASE_FAILED}),
+known AS (SELECT stratum, key < '{PART}' AS part, min(quality) AS quality, {", ".join(f"first({c}) AS {c}" for c in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"))} FROM f
+  JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND NOT {BASE_FAILED} GROUP BY stratum, key),
 choice AS (SELECT * FROM known WHERE part),
 size AS (SELECT stratum, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM choice GROUP BY stratum),
 each AS ({_EACH}),
