@@ -136,10 +136,11 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.1) -> A
 
 
 def labelled(counts_: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the fit_rows documents with the smallest id hashes; at most that many rows reach the driver."""
+    """Features and labels of the fit_rows documents with the smallest id hashes, a document that repeats with the same counts once; at
+    most that many rows reach the driver."""
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labels = labels.where(in_share(labels.count(), 1.5 * fit_rows, F.lit(8), "doc_id"))
-    rows = counts_.join(labels, "doc_id").orderBy(F.xxhash64(F.col("doc_id"), F.lit(8)), *COUNTS).limit(fit_rows).toPandas()
+    rows = counts_.join(labels, "doc_id").dropDuplicates(["doc_id", *COUNTS]).orderBy(F.xxhash64(F.col("doc_id"), F.lit(8)), *COUNTS).limit(fit_rows).toPandas()
     return matrix({c: rows[c].to_numpy(np.int64) for c in COUNTS}), (rows["quality"].to_numpy() == 1).astype(float)
 
 
