@@ -18,7 +18,8 @@ def _number(text: Column, pattern: str, group: int) -> Column:
 def _struct(year: Column, month: Column, day: Column) -> Column:
     """struct(date, y, m, d), null if month or day is out of range."""
     ok = month.between(1, 12) & day.between(1, 31)
-    date = F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd")
+    last = F.when(month == 2, F.when(((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0), 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    date = F.when(year.between(1, 9999) & (day <= last), F.make_date(year, month, day))
     return F.when(ok, F.struct(date.alias("date"), year.alias("y"), month.alias("m"), day.alias("d")))
 
 
@@ -35,8 +36,9 @@ def parse_br(raw: Column) -> Column:
 
 def parse_loose(raw: Column) -> Column:
     """d/m/y or d-m-y anywhere in the text."""
-    p = r"(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})"
-    return _struct(_century(_number(raw, p, 3), F.regexp_extract(raw, p, 3)), _number(raw, p, 2), _number(raw, p, 1))
+    part = F.split(F.regexp_extract(raw, r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", 0), "[/-]")
+    day, month, year = (F.get(part, i) for i in range(3))
+    return _struct(_century(year.try_cast("int"), year), month.try_cast("int"), day.try_cast("int"))
 
 
 def parse_compact(raw: Column) -> Column:

@@ -45,16 +45,36 @@ def parse_brl(raw: Column) -> Column:
 NO_VALUE = ("", "-", "--", "gratis", "isento", "desconhecido", "n/a", "na", "naoseaplica")
 
 
-def parse_cell(raw: Column) -> Column:
-    """A signed cell of a statement table: struct(cents, status)."""
-    text = F.regexp_replace(F.regexp_replace(label_key(F.coalesce(raw, F.lit(""))), r"r\$", ""), SPACES, "")
-    number = F.regexp_replace(text, r"[()+\-]", "")
+#: The usual form of an amount, which needs no clearing of accents and blanks.
+_USUAL = r"^-?(?:R\$ ?)?[\d.]{1,19},\d\d$"
+
+
+def cell_text(raw: Column) -> Column:
+    """A cell of a statement table in lower case, without accents, currency and blanks; the usual form as it is."""
+    long_way = F.regexp_replace(F.regexp_replace(label_key(raw), r"r\$", ""), SPACES, "")
+    return F.when(raw.isNull(), "").when(raw.rlike(_USUAL), raw).otherwise(long_way)
+
+
+def cell_number(text: Column) -> Column:
+    """Digits, dots and commas of a cell_text."""
+    return F.regexp_replace(text, r"[()+\-]|R\$ ?", "")
+
+
+def cell_amount(text: Column, number: Column) -> Column:
+    """struct(cents, status) of a cell_text and its cell_number."""
     good = number.rlike(r"^\d{1,3}(\.\d{3})*(,\d{1,2})?$|^\d+(,\d{1,2})?$|^\d+(\.\d{1,2})?$")
     canonical = F.when(F.contains(number, F.lit(",")), F.replace(F.regexp_replace(number, r"\.", ""), F.lit(","), F.lit("."))).otherwise(number)
-    cents = F.when(good, to_cents(_decimal(canonical)))
+    # two decimals and few digits: the digits are the cents
+    cents = F.when(good, F.when(number.rlike(r"^[\d.]{1,19},\d\d$"), F.regexp_replace(number, "[.,]", "").try_cast("long")).otherwise(to_cents(_decimal(canonical))))
     return _result(F.when(text.rlike(r"^[-(]"), -cents).otherwise(cents), text.isin(*NO_VALUE))
 
 
+def parse_cell(raw: Column) -> Column:
+    """A signed cell of a statement table: struct(cents, status). Many cells of a row go by its three steps, each apart."""
+    text = cell_text(raw)
+    return cell_amount(text, cell_number(text))
+
+
 def parse_ofx(raw: Column) -> Column:
     """Signed, comma or dot decimals: struct(cents, status)."""
     text = F.regexp_replace(F.coalesce(raw, F.lit("")), SPACES, "")

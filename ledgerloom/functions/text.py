@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .steps import then
+
 #: White space beyond ASCII counts too.
 SPACES = r"[\s   -     　﻿]+"
 _MARKS = r"[̀-ͯ]"
@@ -25,13 +27,30 @@ def _plain_letters() -> tuple[str, str]:
 _ACCENTED, _PLAIN = _plain_letters()
 
 
+def _by_letters(text: Column, ascii_: Column, any_: Column) -> Column:
+    """The cheap form where a text has no byte beyond ASCII: wide classes and long mappings cost most of a reader's time."""
+    return F.when(F.octet_length(text) == F.char_length(text), ascii_).otherwise(any_)
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), _MARKS, "")
+
+
+def _squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def _squeezed_wide(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
 def plain(text: Column) -> Column:
     """Without accents: composed letters, and combining marks."""
-    return F.regexp_replace(F.translate(text, _ACCENTED, _PLAIN), _MARKS, "")
+    return _by_letters(text, text, _bare(text))
 
 
 def one_line(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    return _by_letters(text, _squeezed(text), _squeezed_wide(text))
 
 
 def description(*parts: Column) -> Column:
@@ -41,12 +60,12 @@ def description(*parts: Column) -> Column:
 
 def label_key(text: Column) -> Column:
     """Lower case without accents, white space collapsed: for headers and labels."""
-    return one_line(F.lower(plain(text)))
+    return _by_letters(text, _squeezed(F.lower(text)), _squeezed_wide(F.lower(_bare(text))))
 
 
 def comparison_key(text: Column) -> Column:
     """Upper case without accents, white space collapsed; punctuation stays."""
-    return one_line(F.upper(plain(text)))
+    return _by_letters(text, _squeezed(F.upper(text)), _squeezed_wide(F.upper(_bare(text))))
 
 
 def option_key(text: Column) -> Column:
@@ -135,17 +154,30 @@ METHODS = (
 NOBODY = ("", "desconhecido", "desconhecida", "-", "nao informado", "stone principal")
 
 
-def method_of(kind: Column) -> Column:
-    key = label_key(kind)
+def method_of(kind: Column, key: Column | None = None) -> Column:
+    """key: the label_key of kind, if a step before has it."""
+    key = label_key(kind) if key is None else key
     return F.when(key == "", "").otherwise(F.coalesce(*[F.when(key.rlike(p), F.lit(m)) for p, m in METHODS], F.trim(kind)))
 
 
 def compose_description(method: Column, counterparty: Column, incoming: Column) -> Column:
     """`Method - NAME`; a name that repeats the method loses it; nobody is a sale received, or the method alone."""
     name = one_line(F.coalesce(counterparty, F.lit("")))
-    name = F.when(label_key(name).isin(*NOBODY), F.lit("")).otherwise(name)
+    return _composed(method, label_key(method), name, label_key(name), incoming)
+
+
+def described(rows: DataFrame, method: str, counterparty: str, incoming: str, out: str = "description") -> DataFrame:
+    """rows with compose_description of three columns, each of its steps computed once."""
+    columns = [c for c in rows.columns if c != out]
+    rows = then(rows, {"_mkey": label_key(F.col(method)), "_name": one_line(F.coalesce(F.col(counterparty), F.lit("")))}, *columns)
+    rows = then(rows, {"_nkey": label_key(F.col("_name"))})
+    return then(rows, {out: _composed(F.col(method), F.col("_mkey"), F.col("_name"), F.col("_nkey"), F.col(incoming))}, *columns)
+
+
+def _composed(method: Column, method_key: Column, name: Column, name_key: Column, incoming: Column) -> Column:
+    name = F.when(name_key.isin(*NOBODY), F.lit("")).otherwise(name)
     rest = F.trim(F.substring(name, F.length(method) + 1, F.length(name)))
-    repeats = (method != "") & F.startswith(label_key(name), F.concat(label_key(method), F.lit(" "))) & (rest != "")
+    repeats = (method != "") & F.startswith(name_key, F.concat(method_key, F.lit(" "))) & (rest != "")
     name = F.when(repeats, rest).otherwise(name)
     with_method = lambda x: F.when(method != "", F.concat(method, F.lit(" - "), x)).otherwise(x)
     alone = F.when(method != "", method).otherwise(F.lit("Lançamento"))
@@ -154,7 +186,14 @@ def compose_description(method: Column, counterparty: Column, incoming: Column)
 
 def instrument_method(instrument: Column) -> Column:
     """Method of the part of a memo after its last spaced dash, `first | second`."""
-    parts = F.transform(F.split(instrument, r"\|"), lambda p: F.trim(F.lower(plain(p))))
+    return _method_of_parts(_instrument_parts(instrument), instrument)
+
+
+def _instrument_parts(instrument: Column) -> Column:
+    return F.transform(F.split(instrument, r"\|"), lambda p: F.trim(F.lower(plain(p))))
+
+
+def _method_of_parts(parts: Column, instrument: Column) -> Column:
     a, b = parts[0], F.coalesce(F.get(parts, 1), F.lit(""))
     has = lambda c, x: F.contains(c, F.lit(x))
     return (
@@ -169,6 +208,19 @@ def instrument_method(instrument: Column) -> Column:
     )
 
 
+def memo_described(rows: DataFrame, memo: str, incoming: str, out: str = "description") -> DataFrame:
+    """rows with memo_description of two columns, each of its steps computed once."""
+    columns = [c for c in rows.columns if c != out]
+    rows = then(rows, {"_text": one_line(F.coalesce(F.col(memo), F.lit("")))}, *columns)
+    rows = then(rows, {"_who": F.trim(F.regexp_extract("_text", "^(.*) - (.*)$", 1)), "_how": F.trim(F.regexp_extract("_text", "^(.*) - (.*)$", 2))})
+    rows = then(rows, {"_parts": _instrument_parts(F.col("_how"))})
+    rows = then(rows, {"_method": _method_of_parts(F.col("_parts"), F.col("_how"))})
+    rows = described(rows, "_method", "_who", incoming, "_full")
+    empty = F.when(F.col(incoming), "Recebimento vendas").otherwise("Lançamento")
+    short = F.when(F.col("_text") == "", empty).when(~F.contains("_text", F.lit(" - ")) | (F.col("_method") == ""), F.col("_text"))
+    return rows.select(*columns, F.coalesce(short, "_full").alias(out))
+
+
 def memo_description(memo: Column, incoming: Column) -> Column:
     text = one_line(F.coalesce(memo, F.lit("")))
     name, instrument = (F.trim(F.regexp_extract(text, "^(.*) - (.*)$", i)) for i in (1, 2))

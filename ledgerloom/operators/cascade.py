@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.steps import stored
 from ..functions import text
 from . import rules as rule_operators
 
@@ -63,14 +64,14 @@ def categorise(tx: DataFrame, rules: DataFrame, options: DataFrame, identity: Po
     """Decisions (tx with option, decided_by: user, house, model or null, rule_id, via_agent, pending, conflicts, against_house), the rules
     with what was learnt of names, and failures (stage, failure).
 
-    Only rows that waited for an answer are decided again. Answers are kept, so that several actions over the result ask once.
+    Only rows that waited for an answer are decided again. Answers are written, so that no action over the result and no lost executor asks twice.
     """
     first = rule_operators.decide(tx, rules, options, house)
     failures = tx.sparkSession.createDataFrame([], "stage string, failure string")
     decided = first.withColumn("via_agent", F.lit(False))
     if identity is not None:
         found = rule_operators.matches(tx, rules)
-        answers = confirm_identities(found, identity).persist()
+        answers = stored(confirm_identities(found, identity))
         failures = failures.unionByName(answers.where("failure is not null").select(F.lit("identity").alias("stage"), "failure").distinct())
         told = answers.where("applies is not null")
         rules = rule_operators.apply_answers(rules, told)
@@ -82,7 +83,7 @@ def categorise(tx: DataFrame, rules: DataFrame, options: DataFrame, identity: Po
         again = again.withColumn("via_agent", F.coalesce((F.col("decided_by") == "user") & F.col("_yes") & F.col("_asked"), F.lit(False)))
         decided = decided.where(F.size("pending") == 0).unionByName(again.select(*decided.columns))
     if classifier is not None:
-        found = classify(decided.where("option is null"), options, classifier).persist()
+        found = stored(classify(decided.where("option is null"), options, classifier))
         failures = failures.unionByName(found.where("failure is not null").select(F.lit("classifier").alias("stage"), "failure").distinct())
         told = found.where("option is not null").select("tx_id", F.col("option").alias("_told"))
         decided = decided.join(told, "tx_id", "left").withColumns({"decided_by": F.coalesce("decided_by", F.when(F.col("_told").isNotNull(), "model")), "option": F.coalesce("option", "_told")}).drop("_told")

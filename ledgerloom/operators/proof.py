@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,17 +12,41 @@ def row_arithmetic(rows: DataFrame) -> DataFrame:
     return rows.withColumn("row_ok", F.col("before_cents") + F.col("value_cents") - F.coalesce("fee_cents", F.lit(0)) == F.col("after_cents"))
 
 
-def balance_chain(rows: DataFrame, by: str = "file_id", order: str = "row_no") -> DataFrame:
-    """A row a file: rows that add up or don't, links of consecutive rows that hold or break, in the direction that breaks less."""
-    w = W.partitionBy(by).orderBy(order)
-    linked = row_arithmetic(rows).withColumns({"_a": F.lead("after_cents").over(w), "_b": F.lead("before_cents").over(w)})
-    down = F.count_if(F.col("_a").isNotNull() & (F.col("before_cents") != F.col("_a")))
-    up = F.count_if(F.col("_b").isNotNull() & (F.col("after_cents") != F.col("_b")))
-    out = linked.groupBy(by).agg(
-        F.count("*").alias("n_rows"), F.count_if("row_ok").alias("rows_ok"), F.count_if(~F.col("row_ok")).alias("rows_bad"), down.alias("breaks_newest_first"), up.alias("breaks_oldest_first")
-    )
+#: Places in a file's order that one segment of its chain spans: what a window holds, however long a statement is.
+SEGMENT = 100_000
+
+
+def in_segments(rows: DataFrame, order: str, segment: int = SEGMENT) -> DataFrame:
+    return rows.withColumn("_segment", F.floor(F.col(order) / segment))
+
+
+def balance_chain(rows: DataFrame, by: str = "file_id", order: str = "row_no", counted: dict[str, Column] | None = None, segment: int = SEGMENT, read: Column | None = None) -> DataFrame:
+    """A row a file: rows that add up or don't, links of consecutive rows that hold or break, in the direction that breaks less.
+
+    A file's order is cut into segments. Each is proved for itself and summed up: its counts, its first and its last balances. Summaries
+    are merged in order, a link more between each two that follow one another; so no task holds a file, only its summaries. `order` is a
+    whole number. Only rows that are `read` (all by default) are links of the chain. counted: more conditions, whose rows are counted along."""
+    counted = counted or {}
+    part = [by, "_segment"]
+    rows = rows if "_segment" in rows.columns else in_segments(rows, order, segment)
+    ends = F.struct(F.col("before_cents").alias("b"), F.col("after_cents").alias("a"))
+    own = row_arithmetic(rows).withColumn("_x", F.when(F.lit(True) if read is None else read, ends))
+    breaks = lambda last, first: (F.coalesce(F.col(f"{last}.b") != F.col(f"{first}.a"), F.lit(False)), F.coalesce(F.col(f"{last}.a") != F.col(f"{first}.b"), F.lit(False)))
+    before = W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    down, up = breaks("_last", "_x")
+    is_read = F.col("_x").isNotNull()
+    sums = {
+        "n_rows": F.count_if(is_read), "rows_ok": F.count_if(is_read & F.col("row_ok")), "rows_bad": F.count_if(is_read & ~F.col("row_ok")), "breaks_newest_first": F.count_if(down), "breaks_oldest_first": F.count_if(up),
+    } | {c: F.count_if(x) for c, x in counted.items()}
+    found = own.withColumn("_last", F.last("_x", ignorenulls=True).over(before)).groupBy(*part).agg(
+        *[x.alias(c) for c, x in sums.items()], F.min_by("_x", F.when(is_read, F.col(order))).alias("_first"), F.max_by("_x", F.when(is_read, F.col(order))).alias("_end")
+    )
+    met = found.withColumn("_last", F.last("_end", ignorenulls=True).over(W.partitionBy(by).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)))
+    down, up = breaks("_last", "_first")
+    met = met.withColumns({"breaks_newest_first": F.col("breaks_newest_first") + down.cast("long"), "breaks_oldest_first": F.col("breaks_oldest_first") + up.cast("long")})
+    out = met.groupBy(by).agg(*[F.sum(c).alias(c) for c in sums])
     broken = F.least("breaks_newest_first", "breaks_oldest_first")
-    return out.withColumns({"links_broken": broken, "links_ok": F.col("n_rows") - 1 - broken})
+    return out.withColumns({"links_broken": broken, "links_ok": F.greatest(F.col("n_rows") - 1, F.lit(0)) - broken})
 
 
 def day_close(lines: DataFrame, by: str = "file_id", order: str = "line_no") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.steps import stored
 from ..operators import dedup, ledger, report, rules
 from ..sources import extractor as port
 from ..sources import files, ofx, pages, tabular, workbook
@@ -30,16 +31,24 @@ class Reading:
 
 def read_statements(spark: SparkSession, path: str, extractor: Extractor | None = None) -> Reading:
     """Every file under a path by its kind. Files whose proof fails bring no transaction; their reason is in the audit."""
-    found = files.load(spark, path).withColumn("kind", files.kind(F.col("content"), F.col("path")))
+    found, large = files.load(spark, path, files.LARGE), files.large_paths(spark, path)
+    found = found.withColumn("kind", files.kind(F.col("content"), F.col("path")))
     texts = files.with_text(found.where("kind in ('text', 'ofx')"))
     blocks = ofx.blocks(texts.where("kind = 'ofx'"))
     # workbooks go by their bytes, whatever their names end in
     sheets = workbook.rows_of(workbook.cells(found.where("kind = 'spreadsheet'")))
-    rows = tabular.read_rows(files.tables(texts.where("kind = 'text'")).unionByName(sheets))
+    cells = files.tables(texts.where("kind = 'text'")).unionByName(sheets)
+    if large:
+        cells = cells.unionByName(files.large_tables(spark, large))
+    # read once, and used for the proof, the accounts and the transactions
+    rows = stored(tabular.read_rows(stored(cells)))
     audits = tabular.audit(rows).select("path", "n_tx", "reason", "trusted").unionByName(ofx.audit(texts.where("kind = 'ofx'"), blocks).select("path", "n_tx", "reason", "trusted"))
     columns = ["path", "source_order", "date", "y", "m", "d", "description", "direction", "amount_cents", "raw_line", "account_id"]
     tx = tabular.transactions(rows).select(*columns).unionByName(ofx.transactions(blocks).select(*columns))
-    others = found.join(audits.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_tx"), F.concat(F.lit("not a statement that can be proved: "), "kind").alias("reason"), F.lit(False).alias("trusted"))
+    known = found.select("path", "kind")
+    if large:
+        known = known.unionByName(rows.sparkSession.createDataFrame([(p, "text") for p in large], "path string, kind string"))
+    others = known.join(audits.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("n_tx"), F.concat(F.lit("not a statement that can be proved: "), "kind").alias("reason"), F.lit(False).alias("trusted"))
     extracted = None
     if extractor is not None:
         lines = sheets.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_no", F.array_join("cells", " | ").alias("l")))), lambda x: x["l"]), "\n").alias("text"))
@@ -51,8 +60,8 @@ def read_statements(spark: SparkSession, path: str, extractor: Extractor | None
 
 def read_by_extractor(texts: DataFrame, extractor: Extractor) -> tuple[DataFrame, DataFrame]:
     """Transactions that the extractor reads of texts (path, text), in the order of blocks and lines, and an audit row for each: never trusted; a
-    file of which no block could be read has its first error as the reason. Answers are kept, so that several actions ask once."""
-    found = port.extract(port.blocks(texts), extractor).persist()
+    file of which no block could be read has its first error as the reason. Answers are written, so that no action and no lost executor asks twice."""
+    found = stored(port.extract(port.blocks(texts), extractor))
     good = port.settled(found).withColumn("date", F.to_date("date"))
     order = (F.row_number().over(W.partitionBy("path").orderBy("block", "line")) - 1).cast("long")
     none = F.lit(None).cast("string")

@@ -579,6 +579,22 @@ def _cells(spark, d: str) -> DataFrame:
     return tx.select(F.col("account_id").alias("sheet"), "row", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("c")).select("sheet", "row", "c.*")
 
 
+#: Every built-in id up to 60, and codes with quotes, escapes, brackets and currencies.
+_CODES = ("dd/mm/yyyy", "d-mmm", "mmm yy", "mm:ss", "hh:mm", '"day" 0', '"R$" dd', "R$ #,##0.00", "#,##0", "0.00", "$0", "[$-416]dd/mm", "[Red]0", r"\d0", "yyyy", "General", "0%", "m/0")
+_STYLES = (*(str(i) for i in range(61)), *_CODES)
+
+
+@_query(f"""WITH s AS (SELECT o_orderkey, o_orderkey % {len(_STYLES)} AS i FROM orders)
+SELECT o_orderkey, CASE WHEN i IN (14, 15, 16, 17, 22, 27, 30, 36, 45, 46, 47, 50, 57, 58, 61, 62, 63, 67, 72, 73, 75) THEN 'date' WHEN i IN (5, 6, 7, 8, 42, 43, 44, 68, 69, 71) THEN 'money' END AS kind,
+ i IN (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47, 61, 62, 63, 72, 78) AS shown_as_date FROM s""")
+def style_kinds(spark, d: str) -> DataFrame:
+    """Each order under one of many number formats: what an inspection and a table make of it."""
+    style = F.element_at(F.array(*[F.lit(x) for x in _STYLES]), (F.col("o_orderkey") % len(_STYLES) + 1).cast("int"))
+    rows = read(spark, d, "orders").select("o_orderkey", style.alias("s"))
+    s = F.col("s")
+    return rows.select("o_orderkey", F.when(workbook.is_date_style(s), "date").when(workbook.is_money_style(s), "money").alias("kind"), workbook.is_shown_date(s).alias("shown_as_date"))
+
+
 @_query(f"""WITH n AS (SELECT account_id AS sheet, count(*) AS n, count(*) FILTER (direction = 'credit') AS f FROM ({ORDERS}) GROUP BY 1)
 SELECT sheet, unnest(list_filter([CASE WHEN true THEN 'B date' END, 'C text', CASE WHEN f > 0 THEN 'F money' END, CASE WHEN n > f THEN 'G money' END, 'H formula'], lambda x: x IS NOT NULL)) AS found FROM n""")
 def column_kinds(spark, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..functions.steps import apart
+from ..functions.steps import held, spread, then
 from ..operators import proof
 
 
@@ -23,26 +23,27 @@ def tag(block: Column, name: str) -> Column:
 def blocks(texts: DataFrame) -> DataFrame:
     """A row a transaction block, with the header of its file and `unread`, the reason why it could not be read."""
     found = F.regexp_extract_all("text", F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1))
-    files = texts.where(is_ofx(F.col("text"))).select(
-        "path", dates.parse_compact(tag(F.col("text"), "DTSTART")).alias("_from"), dates.parse_compact(tag(F.col("text"), "DTEND")).alias("_to"),
-        F.coalesce(F.nullif(tag(F.col("text"), "ORG"), F.lit("")), F.nullif(tag(F.col("text"), "FID"), F.lit("")), tag(F.col("text"), "BANKID")).alias("bank"), tag(F.col("text"), "ACCTID").alias("number"), found.alias("_blocks"),
-    )
+    # tags are found once each, and what they say of a file is worked out once a file
+    files = then(texts.where(is_ofx(F.col("text"))), {f"_{t}": tag(F.col("text"), t) for t in ("DTSTART", "DTEND", "ORG", "FID", "BANKID", "ACCTID")} | {"_blocks": found}, "path")
+    bank = F.coalesce(F.nullif("_ORG", F.lit("")), F.nullif("_FID", F.lit("")), F.col("_BANKID"))
+    files = then(files, {"_from": dates.parse_compact(F.col("_DTSTART")), "_to": dates.parse_compact(F.col("_DTEND")), "bank": bank}, "path", "_ACCTID", "_blocks").withColumnRenamed("_ACCTID", "number")
+    files = then(files, {"account": text.account_ref(F.col("bank"), F.col("number"))})
+    # a statement's blocks are the work of many tasks
     rows = files.select("*", F.posexplode("_blocks").alias("block_no", "block")).drop("_blocks")
-    b = F.col("block")
-    rows = apart(rows, {"_d": dates.parse_compact(tag(b, "DTPOSTED"))})
-    rows = apart(rows, {"_v": money.parse_ofx(tag(b, "TRNAMT")), "kind": F.upper(tag(b, "TRNTYPE")), "memo": F.coalesce(F.nullif(tag(b, "MEMO"), F.lit("")), tag(b, "NAME"))})
+    rows = spread(proof.in_segments(rows, "block_no"), "path", "_segment").drop("_segment")
+    rows = then(rows, {f"_{t}": tag(F.col("block"), t) for t in ("DTPOSTED", "TRNAMT", "TRNTYPE", "MEMO", "NAME")})
+    rows = then(rows, {"_d": dates.parse_compact(F.col("_DTPOSTED")), "_v": money.parse_ofx(F.col("_TRNAMT")), "kind": F.upper("_TRNTYPE"), "memo": F.coalesce(F.nullif("_MEMO", F.lit("")), F.col("_NAME"))})
+    rows = rows.drop("_DTPOSTED", "_TRNAMT", "_TRNTYPE", "_MEMO", "_NAME")
     cents = F.col("_v.cents")
     unread = F.when(F.col("_d").isNull(), "date").when(F.col("_v.status") != "ok", "value").when(((F.col("kind") == "CREDIT") & (cents < 0)) | ((F.col("kind") == "DEBIT") & (cents >= 0)), "direction")
     day = lambda c: F.struct(f"{c}.y", f"{c}.m", f"{c}.d")
     out = (F.col("_from").isNotNull() & (day("_d") < day("_from"))) | (F.col("_to").isNotNull() & (day("_d") > day("_to")))
-    return rows.withColumns({"unread": unread, "out_of_period": unread.isNull() & out, "raw_line": F.substring(text.one_line(b), 1, 120)})
+    return then(rows, {"unread": held(unread), "out_of_period": unread.isNull() & out, "raw_line": F.substring(text.one_line(F.col("block")), 1, 120)})
 
 
 def transactions(rows: DataFrame) -> DataFrame:
     incoming = F.col("_v.cents") >= 0
-    account = text.account_ref(F.col("bank"), F.col("number"))
-    rows = apart(rows.where("unread is null"), {"account": account})
-    rows = apart(rows, {"description": text.memo_description(F.col("memo"), incoming)})
+    rows = text.memo_described(rows.where("unread is null").withColumn("_in", incoming), "memo", "_in")
     return rows.select(
         "path", F.col("block_no").cast("long").alias("source_order"), F.col("_d.date").alias("date"), F.col("_d.y").alias("y"), F.col("_d.m").alias("m"), F.col("_d.d").alias("d"), "description",
         F.when(incoming, "credit").otherwise("debit").alias("direction"), F.abs("_v.cents").alias("amount_cents"), "raw_line", F.col("account.id").alias("account_id"), "account",

@@ -1,6 +1,6 @@
 """Workbooks (OOXML) as a table of cells.
 
-load() gives path, sheet, sheet_no, row, col, kind, value, style (number format code) and formula of every filled cell.
+load() gives path, sheet, sheet_no, row, col, kind, value, style (number format code, or the id of a built-in one) and formula of every filled cell.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
+from ..functions.steps import apart
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 SCHEMA = "path string, sheet string, sheet_no int, row int, col string, kind string, value string, style string, formula string"
-# Number format ids that are built in as dates.
-_BUILT_IN_DATES = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+# Built-in number format ids that an inspection takes for dates and for money, and those that a table shows as dates.
+DATE_IDS = (14, 15, 16, 17, 22, 27, 30, 36, 45, 46, 47, 50, 57, 58)
+MONEY_IDS = (5, 6, 7, 8, 42, 43, 44)
+SHOWN_DATE_IDS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
 
 
 def cells_of(path: str, content: bytes) -> Iterator[tuple]:
@@ -38,7 +41,7 @@ def cells_of(path: str, content: bytes) -> Iterator[tuple]:
             codes = {int(f.get("numFmtId")): f.get("formatCode") for f in root.iterfind(".//m:numFmts/m:numFmt", _NS)}
             for xf in root.iterfind(".//m:cellXfs/m:xf", _NS):
                 n = int(xf.get("numFmtId") or 0)
-                styles.append(codes.get(n) or ("dd/mm/yyyy" if n in _BUILT_IN_DATES else str(n)))
+                styles.append(codes.get(n) or str(n))
         for no, name, target in _sheets(z):
             masters: dict[str, tuple[str, int]] = {}
             with z.open(target) as f:
@@ -133,21 +136,34 @@ def validations(files: DataFrame) -> DataFrame:
     return _read(files, validations_of, VALIDATIONS)
 
 
+def _named(style: Column, ids: tuple[int, ...]) -> Column:
+    return style.isin(*[str(i) for i in ids])
+
+
 def is_date_style(style: Column) -> Column:
-    """A format with day, month or year letters outside quotes and brackets."""
-    bare = F.lower(F.regexp_replace(F.coalesce(style, F.lit("")), r'"[^"]*"|\[[^\]]*\]|\\.', ""))
-    return bare.rlike("[dy]|mmm|m/|/m") & ~bare.rlike("general")
+    """What an inspection takes for a date: by its id, or by day or year letters in its code, but for text in quotes, escapes and currency."""
+    s = F.coalesce(style, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(s, '"[^"]*"', ""), r"\\.", "")
+    return _named(s, DATE_IDS) | (~bare.rlike(r"(?i)r\$") & bare.rlike("(?i)dd?|yy|mmm") & bare.rlike("(?i)[dy]"))
 
 
 def is_money_style(style: Column) -> Column:
+    """What an inspection takes for money, if it is no date."""
+    s = F.coalesce(style, F.lit(""))
+    return ~is_date_style(style) & (_named(s, MONEY_IDS) | s.rlike(r"(?i)r\$|\$|#,##0"))
+
+
+def is_shown_date(style: Column) -> Column:
+    """What a table of a sheet shows as a date."""
     s = F.coalesce(style, F.lit(""))
-    return s.rlike(r"R\$|#,##0\.00|0\.00|\$") | s.isin("4", "7", "8", "39", "40", "44")
+    bare = F.regexp_replace(F.regexp_replace(s, r"\[[^\]]*\]", ""), '"[^"]*"', "")
+    return _named(s, SHOWN_DATE_IDS) | (bare.rlike("(?i)[dmy]") & bare.rlike("(?i)[/-]|mmm"))
 
 
 def shown(cells: DataFrame) -> DataFrame:
     """cells with shown: what a reader sees; a number in a date style as dd/mm/yyyy."""
     day = F.date_format(dates.from_serial(F.floor(F.col("value").try_cast("double"))), "dd/MM/yyyy")
-    return cells.withColumn("shown", F.when((F.col("kind") == "number") & is_date_style(F.col("style")), day).otherwise(F.coalesce("value", F.lit(""))))
+    return cells.withColumn("shown", F.when((F.col("kind") == "number") & is_shown_date(F.col("style")), day).otherwise(F.coalesce("value", F.lit(""))))
 
 
 def rows_of(cells: DataFrame, sheet_no: int = 0) -> DataFrame:
@@ -174,8 +190,9 @@ def existing_rows(cells: DataFrame, first_row: int, date: str, description: str,
         typed = money.parse_cell(F.col(f"{n}_value"))["cents"]
         return F.abs(F.when(F.col(f"{n}_kind") == "text", typed).otherwise(money.to_cents(F.col(f"{n}_value").try_cast("decimal(28,10)"))))
 
-    incoming = F.coalesce(cents("i"), F.lit(0)) > 0
-    return rows.withColumn("date", day).where("date is not null").select(
+    rows = apart(rows, {"date": day, "_i": cents("i"), "_o": cents("o")}).where("date is not null")
+    incoming = F.coalesce("_i", F.lit(0)) > 0
+    return rows.select(
         "path", "sheet", F.col("row").cast("long").alias("row_order"), "date", F.coalesce("t_value", F.lit("")).alias("description"), F.col("c_value").alias("category"),
-        F.when(incoming, "credit").otherwise("debit").alias("direction"), F.when(incoming, cents("i")).otherwise(F.coalesce(cents("o"), F.lit(0))).alias("amount_cents"),
+        F.when(incoming, "credit").otherwise("debit").alias("direction"), F.when(incoming, F.col("_i")).otherwise(F.coalesce("_o", F.lit(0))).alias("amount_cents"),
     )
