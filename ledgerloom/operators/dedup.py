@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
+from ..functions.steps import stored
 
 BUCKET = ["date", "amount_cents", "direction"]
 
@@ -99,24 +100,59 @@ def _use_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows, *found], ["_row", "is_new", "recorded_as", "name_differs"])
 
 
+def ways(met: DataFrame) -> DataFrame:
+    """met (the rows of buckets that have both kinds) with how: the way in which a bucket can be matched as a set, or null if it can't.
+
+    key: every name has as many recorded rows as transactions, or the bucket has one name. Nobody takes a row of another name, so equal
+    names pair off in order. party: no name in common, but one counterparty. any: neither names nor counterparties in common. In both of
+    these, rows pair off in the order of the bucket. In any other bucket a transaction may take what another one would have
+    taken by name: it is contested, and the order decides."""
+    by = lambda *c: W.partitionBy(*BUCKET, *c)
+    asks, slots = F.col("_kind") == 1, F.col("_kind") == 0
+    for c in ("_key", "_party"):
+        met = met.withColumns({f"{c}_t": F.count_if(asks).over(by(c)), f"{c}_s": F.count_if(slots).over(by(c))})
+    shared = lambda c: (F.col(f"{c}_t") > 0) & (F.col(f"{c}_s") > 0)
+    of = by()
+    met = met.withColumns(
+        {
+            "_fits": F.bool_and(F.col("_key_t") <= F.col("_key_s")).over(of), "_one_key": F.min("_key").over(of) == F.max("_key").over(of), "_keys": F.bool_or(shared("_key")).over(of),
+            "_one_party": (F.min("_party").over(of) == F.max("_party").over(of)) & (F.max("_party").over(of) != ""), "_parties": F.bool_or(shared("_party") & (F.col("_party") != "")).over(of),
+        }
+    )
+    how = F.when(F.col("_fits") | F.col("_one_key"), "key").when(~F.col("_keys") & F.col("_one_party"), "party").when(~F.col("_keys") & ~F.col("_parties"), "any")
+    return met.withColumn("how", how).drop("_fits", "_one_key", "_keys", "_one_party", "_parties", *[f"{c}_{x}" for c in ("_key", "_party") for x in "ts"])
+
+
+def pair_off(settled: DataFrame) -> DataFrame:
+    """_row, is_new, recorded_as, name_differs of rows whose bucket is matched as a set: the nth transaction takes the nth recorded row."""
+    group = F.when(F.col("how") == "key", F.col("_key")).otherwise("")
+    rows = settled.withColumn("_g", group).withColumn("_n", F.row_number().over(W.partitionBy(*BUCKET, "_g", "_kind").orderBy("_at")))
+    pair = W.partitionBy(*BUCKET, "_g", "_n")
+    slot = F.col("_kind") == 0
+    rows = rows.withColumns({"_met": F.count_if(slot).over(pair) > 0, "recorded_as": F.max(F.when(slot, F.col("_said"))).over(pair)})
+    return rows.where("_kind = 1").select("_row", (~F.col("_met")).alias("is_new"), "recorded_as", (F.col("_met") & (F.col("how") == "any")).alias("name_differs"))
+
+
 def match_recorded(tx: DataFrame, existing: DataFrame) -> DataFrame:
     """tx with is_new, recorded_as and name_differs; each recorded row absorbs one transaction.
 
-    The result depends on the order within a bucket (day, cents, direction). So a bucket is run through in order, in one
-    task, as a stream: time is linear in its rows and memory in its recorded rows. Buckets without recorded rows never get there.
+    The result depends on the order within a bucket (day, cents, direction). Most buckets are matched as sets, by ranks (see ways): their
+    rows stay in the JVM. Only contested ones are run through in order, each in one task, as a stream: time is linear in its rows and memory
+    in its recorded rows. Buckets without recorded rows take part in neither.
     """
     # new expressions: the two may come from one table
     slots = existing.select(*[F.col(c).alias(c) for c in (*BUCKET, "description", "row_order")])
     taken = slots.select(*BUCKET).distinct()
-    keys = {"_key": text.comparison_key(F.col("description")), "_party": text.counterparty_key(F.col("description"))}
+    keys = {"_key": F.coalesce(text.comparison_key(F.col("description")), F.lit("\0")), "_party": F.coalesce(text.counterparty_key(F.col("description")), F.lit(""))}
     mine = tx.join(taken, BUCKET, "left_semi").withColumns(keys)
     mine = mine.select(*BUCKET, F.lit(1).alias("_kind"), F.col("source_order").cast("long").alias("_at"), "_key", "_party", F.lit(None).cast("string").alias("_said"), F.struct(*tx.columns).alias("_row"))
     theirs = slots.withColumns(keys).select(*BUCKET, F.lit(0).alias("_kind"), F.col("row_order").cast("long").alias("_at"), "_key", "_party", F.col("description").alias("_said"), F.lit(None).alias("_row"))
-    met = mine.unionByName(theirs).repartition(*BUCKET).sortWithinPartitions(*BUCKET, "_kind", "_at")
+    met = stored(ways(mine.unionByName(theirs)))
     schema = f"_row {mine.schema['_row'].dataType.simpleString()}, is_new boolean, recorded_as string, name_differs boolean"
-    met = met.mapInArrow(_use_up, schema).select("_row.*", "is_new", "recorded_as", "name_differs")
+    contested = met.where("how is null").repartition(*BUCKET).sortWithinPartitions(*BUCKET, "_kind", "_at").mapInArrow(_use_up, schema)
+    found = pair_off(met.where("how is not null")).unionByName(contested).select("_row.*", "is_new", "recorded_as", "name_differs")
     free = tx.join(taken, BUCKET, "left_anti").select(*tx.columns, F.lit(True).alias("is_new"), F.lit(None).cast("string").alias("recorded_as"), F.lit(False).alias("name_differs"))
-    return met.unionByName(free)
+    return found.unionByName(free)
 
 
 def deduplicate(tx: DataFrame, ledger: DataFrame, existing: DataFrame) -> DataFrame:
