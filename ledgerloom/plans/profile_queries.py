@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cascade, categories, inference, profile, rules
+from ..operators import cascade, categories, inference, profile, refine, rules
 from ..sources import rulebook, workbook
 from .queries import _EVIDENCE, _HOUSE, _LAGGED, _OPTION, _PAIRS, _RULES, _SAYS, ORACLES, QUERIES, _cells, _dated, _query, _spoken
 from .tables import ORDERS, read
@@ -165,6 +165,58 @@ def layout_of_profile(spark, d: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("forbidden", "writable", "missing")})
 
 
+# --- profiles that a port refines ---
+
+
+def _untold(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """The orders' sheets under headers that tell of categories only; every seventh customer's name dates and texts, too."""
+    cells = _cells(spark, d)
+    seen = cells.select("sheet", "col").distinct()
+    named = F.col("sheet") % 7 == 0
+    header = F.when(named & (F.col("col") == "B"), "Data").when(named & (F.col("col") == "C"), "Histórico").otherwise("?")
+    headers = seen.select("sheet", "col", header.alias("header"))
+    return cells, headers.unionByName(seen.select("sheet", F.lit("D").alias("col"), F.lit("Categoria").alias("header")).distinct())
+
+
+def _right_port(items: list[dict]) -> list[tuple[int, object]]:
+    pairs = (("B", "date"), ("C", "description"), ("F", "in"), ("G", "out"), ("H", "balance"), ("Z", "flow"), ("C", "category"), ("H", "flow"), ("B", "when"))
+    return [(x["index"], [{"col": c, "role": r} for c, r in pairs]) for x in items]
+
+
+def _wrong_port(items: list[dict]) -> list[tuple[int, object]]:
+    return [(x["index"], [{"col": c, "role": r} for c, r in (("B", "in"), ("C", "date"), ("F", "description"), ("H", "out"), ("D", "flow"))]) for x in items]
+
+
+_SHEETS = f"s AS (SELECT account_id AS sheet, count(*) AS n, count(*) FILTER (direction = 'credit') AS f, account_id % 7 = 0 AS named FROM ({ORDERS}) GROUP BY 1)"
+_NONE, _OWN, _HAS = "no such column", "the column has a role by its header", "the role has a column by its header"
+
+
+@_query(f"""WITH {_SHEETS}, a AS (SELECT s.*, unnest([{{'pos': 0, 'col': 'B', 'role': 'date'}}, {{'pos': 1, 'col': 'C', 'role': 'description'}}, {{'pos': 2, 'col': 'F', 'role': 'in'}}, {{'pos': 3, 'col': 'G', 'role': 'out'}}, {{'pos': 4, 'col': 'H', 'role': 'balance'}},
+  {{'pos': 5, 'col': 'Z', 'role': 'flow'}}, {{'pos': 6, 'col': 'C', 'role': 'category'}}, {{'pos': 7, 'col': 'H', 'role': 'flow'}}, {{'pos': 8, 'col': 'B', 'role': 'when'}}]) AS t FROM s)
+SELECT sheet, t.pos AS pos, t.col AS col, t.role AS role, CASE WHEN t.role = 'when' THEN 'no such role' WHEN t.col = 'Z' OR (t.col = 'F' AND f = 0) OR (t.col = 'G' AND f = n) THEN '{_NONE}'
+ WHEN named AND t.col IN ('B', 'C') THEN '{_OWN}' WHEN t.role = 'category' THEN '{_HAS}' WHEN t.col = 'H' AND t.role = 'flow' THEN 'the cells do not confirm it' ELSE '{refine.ACCEPTED}' END AS verdict FROM a""")
+def port_verdicts(spark, d: str) -> DataFrame:
+    """What becomes of each answer of a port that is right about most columns."""
+    _, told, _ = refine.profiles(*_untold(spark, d), ["sheet"], _right_port)
+    return told
+
+
+@_query(f"""WITH {_SHEETS} SELECT sheet, CASE WHEN f > 0 AND f < n THEN 'port' ELSE 'usual' END AS source, 'B' AS date_col, 'C' AS description_col, 'F' AS in_col, 'G' AS out_col,
+ CASE WHEN f = 0 THEN 'in' WHEN f = n THEN 'out' ELSE '' END AS missing, CASE WHEN f > 0 AND f < n THEN '' ELSE '{refine.USUAL}' END AS warnings FROM s""")
+def profile_by_port(spark, d: str) -> DataFrame:
+    """Profiles that headers and a port's answers give together."""
+    found, _, _ = refine.profiles(*_untold(spark, d), ["sheet"], _right_port)
+    return found.select("sheet", "source", "date_col", "description_col", "in_col", "out_col", F.array_join("missing", ",").alias("missing"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@_query(f"""WITH {_SHEETS}, a AS (SELECT s.*, unnest(['B', 'C', 'F', 'H', 'D']) AS col FROM s)
+SELECT sheet, CASE WHEN col = 'F' AND f = 0 THEN '{_NONE}' WHEN col = 'D' OR (named AND col IN ('B', 'C')) THEN '{_OWN}' WHEN named AND col = 'F' THEN '{_HAS}' ELSE 'the cells do not confirm it' END AS verdict, count(*) AS n, 'usual' AS source FROM a GROUP BY ALL""")
+def wrong_port_refused(spark, d: str) -> DataFrame:
+    """A port that is wrong about every column changes no profile."""
+    found, told, _ = refine.profiles(*_untold(spark, d), ["sheet"], _wrong_port)
+    return told.groupBy("sheet", "verdict").agg(F.count("*").alias("n")).join(found.select("sheet", "source"), "sheet")
+
+
 def _booked(spark, d: str) -> DataFrame:
     """The orders' sheets in workbooks of ten customers each."""
     number = F.col("sheet").cast("int")
