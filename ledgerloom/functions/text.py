@@ -260,6 +260,14 @@ def unescape_xml(text: Column) -> Column:
     return out
 
 
+def escape_xml(text: Column) -> Column:
+    """Text or attribute: what it can't hold as it is, as entities; the ampersand first."""
+    out = text
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        out = F.replace(out, F.lit(char), F.lit(entity))
+    return out
+
+
 def safe_file_name(name: Column) -> Column:
     return F.regexp_replace(name, r'[\\/:*?"<>|]', "_")
 

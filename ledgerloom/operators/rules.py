@@ -7,22 +7,27 @@ tx: tx_id, description, flow (in, out), amount_cents, account_id. options: optio
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text
+from ..functions.steps import stored
 
 RULES = (
     "rule_id string, active boolean, label string, direction string, name string, terms array<string>, min_cents bigint, max_cents bigint, exceptions array<string>, "
     "category_key string, account_id string, aliases_yes array<string>, aliases_no array<string>, priority int, pos int"
 )
-#: Rules, and options, that are broadcast at most; more meet the transactions in shuffles of words and keys.
-FEW_RULES = 20_000
-#: What rules wait under that need nothing.
-_ANY = "*"
+#: Rules that meet each transaction one by one, and options that are broadcast, at most; more rules are found by an automaton.
+FEW_RULES = 1_000
+#: Probes of one automaton, and rules that are broadcast, at most.
+MOST_PROBES = 200_000
 
 
 @dataclass(frozen=True)
@@ -108,7 +113,7 @@ def problems(rules: DataFrame) -> DataFrame:
     return rules.withColumn("problems", F.filter(found, lambda p: p.isNotNull()))
 
 
-def matches(tx: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
+def matches(tx: DataFrame, rules: DataFrame, few: int = FEW_RULES, most: int = MOST_PROBES) -> DataFrame:
     """tx_id, rule_id, kind (exact, candidate), alias, weight, pos, category_key: rules that apply, candidates among them."""
     rules = problems(rules).where("active and size(problems) = 0")
     keys = lambda xs: F.transform(F.coalesce(F.col(xs), F.array().cast("array<string>")), text.option_key)
@@ -137,27 +142,59 @@ def matches(tx: DataFrame, rules: DataFrame, few: int = FEW_RULES) -> DataFrame:
         .otherwise(text.name_match(F.col("r_words"), F.col("words")))
     )
     weight = F.size("r_words") * 10 + F.size("r_terms") * 5 + F.when(ranged, 3).otherwise(0) + F.when(F.col("r_account").isNotNull(), 1).otherwise(0) + F.col("priority") * 100
-    met = _met(t, r, on, few).withColumns({"kind": kind, "weight": weight}).where("kind <> 'none'")
+    met = _met(t, r, on, few, most).withColumns({"kind": kind, "weight": weight}).where("kind <> 'none'")
     return met.select("tx_id", "rule_id", "label", "kind", "alias", "weight", "pos", "category_key")
 
 
-def _met(t: DataFrame, r: DataFrame, on: Column, few: int) -> DataFrame:
-    """Pairs of transactions and rules that may apply. Few rules are broadcast. Many are dealt out by what a transaction must have for
-    them: a rule with a name by each word of the name and its aliases (one of them is there), another one by that three-letter
-    stretch of its terms (all are there) that the fewest rules wait under. Only rules without either meet every transaction."""
+def _met(t: DataFrame, r: DataFrame, on: Column, few: int, most: int = MOST_PROBES) -> DataFrame:
+    """Pairs of transactions and rules that may apply. Few rules are broadcast. Many are found by an automaton of what a transaction must
+    have for them: of a rule with a name any word of the name or its aliases, of another one its longest term. One pass over a description
+    meets all rules; only pairs whose probe is there go on to be judged. Of more than `most` probes automata of so many each are run one
+    after the other, by ranges of the probes' hashes, so that no task holds more."""
     if r.count() <= few:
         return t.join(F.broadcast(r), on)
+    r = stored(r)
+    n_rules = r.count()
     words = lambda c: F.filter(F.flatten(F.transform(c, lambda x: F.split(x, " "))), lambda x: x != "")
-    stretches = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.concat(F.lit("~"), F.substr(x, i, F.lit(3))))
-    long = F.filter("r_terms", lambda x: F.length(x) >= 3)
-    waits = r.where(F.size("r_words") == 0).select("rule_id", F.explode(F.array_distinct(F.flatten(F.transform(long, stretches)))).alias("w"))
-    often = waits.groupBy("w").agg(F.count("*").alias("_n"))
-    rarest = waits.join(often, "w").groupBy("rule_id").agg(F.min_by("w", F.struct("_n", "w")).alias("_rare"))
-    under = F.when(F.size("r_words") > 0, F.array_distinct(F.concat("r_words", words("yes")))).otherwise(F.array(F.coalesce("_rare", F.lit(_ANY))))
-    dealt = r.join(rarest, "rule_id", "left").withColumn("r_key", F.explode(under)).drop("_rare")
-    keys = F.array_distinct(F.concat(F.split("k", " "), F.when(F.length("k") >= 3, stretches(F.col("k"))).otherwise(F.array().cast("array<string>")), F.array(F.lit(_ANY))))
-    have = t.withColumn("_key", F.explode(keys))
-    return have.join(dealt, (F.col("_key") == F.col("r_key")) & on).drop("_key", "r_key").dropDuplicates(["tx_id", "rule_id", "pos"])
+    longest = F.array_max(F.transform("r_terms", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    # words stand between blanks; a rule with an empty term never applies, and one with neither name nor term is not valid
+    under = F.when(F.size("r_words") > 0, F.transform(F.array_distinct(F.concat("r_words", words(F.col("yes")))), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))).otherwise(F.array(longest))
+    probes = stored(r.select("rule_id", "pos", F.explode(under).alias("probe")).where("probe <> ''").groupBy("probe").agg(F.collect_set(F.struct("rule_id", "pos")).alias("rules")).withColumn("h", F.pmod(F.xxhash64("probe"), F.lit(1 << 30))))
+    parts = max(1, -(-probes.count() // most))
+    edges = [(1 << 30) * i // parts for i in range(parts + 1)]
+    found = None
+    for lo, hi in zip(edges, edges[1:]):
+        part = _found_by(t, [r_["probe"] for r_ in probes.where(F.col("h").between(lo, hi - 1)).select("probe").collect()])
+        found = part if found is None else found.unionByName(part)
+    # a probe that thousands of rules share stands once in the automaton; its rules come by a join
+    waiting = probes.select("probe", F.explode("rules").alias("x")).select(F.col("probe").alias("_probe"), F.col("x.rule_id").alias("_rule"), F.col("x.pos").alias("_pos"))
+    few_enough = n_rules <= most
+    waiting, own = (F.broadcast(waiting), F.broadcast(r)) if few_enough else (waiting, r)
+    pairs = found.join(waiting, "_probe").join(own, (F.col("_rule") == F.col("rule_id")) & (F.col("_pos") == F.col("pos")) & on)
+    return pairs.drop("_probe", "_rule", "_pos").dropDuplicates(["tx_id", "rule_id", "pos"])
+
+
+def _found_by(t: DataFrame, probes: list[str]) -> DataFrame:
+    """t with each probe that its key has, as _probe: one pass over the key for all of them."""
+    automaton = ahocorasick.Automaton()
+    for p in probes:
+        automaton.add_word(p, p)
+    automaton.make_automaton()
+    held = t.sparkSession.sparkContext.broadcast(automaton) if probes else None
+    at = t.columns.index("k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            where, what = [], []
+            for i, key in enumerate(batch.column(at).to_pylist() if held else []):
+                for p in {p for _, p in held.value.iter(f" {key} ")} if key is not None else ():
+                    where.append(i)
+                    what.append(p)
+            if where:
+                own = batch.take(pa.array(where))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(what, pa.string())], [*batch.schema.names, "_probe"])
+
+    return t.mapInArrow(run, StructType([*t.schema.fields, StructField("_probe", StringType())]))
 
 
 def decide(tx: DataFrame, rules: DataFrame, options: DataFrame, house: bool = True) -> DataFrame:

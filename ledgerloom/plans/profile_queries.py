@@ -66,11 +66,11 @@ def category_history(spark, d: str) -> DataFrame:
     return categories.category_history(_categorised(spark, d), [], 13, "C", "D", "F", "G")
 
 
-@_query(f"""SELECT p_partkey AS rule_id FROM part WHERE p_size % 2 = 0 AND {_OPTION.format('p_type')} NOT IN (SELECT {_OPTION.format('p_type')} FROM part WHERE p_size > 48)""")
+@_query(f"""SELECT p_partkey AS rule_id FROM part WHERE p_size % 2 = 0 AND {_OPTION.format('p_type')} NOT IN (SELECT {_OPTION.format('p_type')} FROM part WHERE length(p_type) % 2 = 0)""")
 def rules_without_category(spark, d: str) -> DataFrame:
     p = read(spark, d, "part")
     ruled = p.select(F.col("p_partkey").alias("rule_id"), (F.col("p_size") % 2 == 0).alias("active"), F.lower("p_type").alias("category_key"))
-    return categories.rules_without_category(ruled, p.where("p_size > 48").select(F.col("p_type").alias("option"))).select("rule_id")
+    return categories.rules_without_category(ruled, p.where("length(p_type) % 2 = 0").select(F.col("p_type").alias("option"))).select("rule_id")
 
 
 # --- the rules document ---

@@ -335,6 +335,20 @@ def user_rules_best(spark, d: str) -> DataFrame:
     return found.select("tx_id", "option", "decided_by", "rule_id", F.array_join("pending", ",").alias("pending"), F.array_join("conflicts", ",").alias("conflicts"))
 
 
+@_query(ORACLES["user_rules_best"])
+def user_rules_among_many(spark, d: str) -> DataFrame:
+    """The same decisions among a hundred thousand rules more, each under a name or a term of its own that no part has."""
+    n = F.col("id").cast("string")
+    more = spark.range(100_000).select(
+        F.concat(F.lit("many"), n).alias("rule_id"), F.lit(True).alias("active"), F.lit("Many").alias("label"), F.lit("in").alias("direction"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("supplier "), n)).alias("name"),
+        F.when(F.col("id") % 2 == 1, F.array(F.lit("ring"), F.concat(F.lit("invoice "), n))).alias("terms"), F.lit(None).cast("long").alias("min_cents"), F.lit(None).cast("long").alias("max_cents"), F.lit(None).cast("array<string>").alias("exceptions"),
+        F.lit("A").alias("category_key"), F.lit(None).cast("string").alias("account_id"), F.lit(None).cast("array<string>").alias("aliases_yes"), F.lit(None).cast("array<string>").alias("aliases_no"), F.lit(0).alias("priority"), (F.col("id") + 10).cast("int").alias("pos"),
+    )
+    tx = read(spark, d, "part").select(F.col("p_partkey").alias("tx_id"), F.col("p_name").alias("description"), F.lit("in").alias("flow"), cents("p_retailprice").alias("amount_cents"), F.lit(None).cast("string").alias("account_id"))
+    found = rules.decide(tx, spark.createDataFrame(_RULES, rules.RULES).unionByName(more), spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "option string, pos int"))
+    return found.select("tx_id", "option", "decided_by", "rule_id", F.array_join("pending", ",").alias("pending"), F.array_join("conflicts", ",").alias("conflicts"))
+
+
 _MINED = """SELECT p_name || ' ' || p_brand AS description, p_type AS category, 'in' AS flow, p_size % 3 AS sheet, p_partkey AS pos FROM part"""
 
 

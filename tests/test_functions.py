@@ -70,3 +70,9 @@ def test_dates(spark):
     assert values(spark, [46254], dates.from_serial(F.col("x")), "x int") == [d(2026, 8, 20)]
     assert values(spark, [d(2026, 3, 7)], F.concat_ws(" ", dates.month_sheet(F.col("x")), dates.competence(F.col("x")), dates.unpadded(F.col("x"))), "x date") == ["MARÇO 2026-03 2026-3-7"]
     assert values(spark, ["fluxo de caixa   simplificado", "JULHO"], dates.is_support_sheet(F.col("x"))) == [True, False]
+
+
+def test_xml_text_survives(spark):
+    odd = ["a & b", "&amp;", "<x y='1'>\"q\"</x>", "", "é&lt;"]
+    assert values(spark, odd, text.unescape_xml(text.escape_xml(F.col("x")))) == odd
+    assert values(spark, odd[:3], text.escape_xml(F.col("x"))) == ["a &amp; b", "&amp;amp;", "&lt;x y=&apos;1&apos;&gt;&quot;q&quot;&lt;/x&gt;"]
