@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..functions.steps import held, spread
 from ..operators import proof
 
 # The bank's own wording of an entry, of the head of its tables, and of lines that say nothing.
@@ -50,6 +51,7 @@ def headers(pages: DataFrame) -> DataFrame:
 def read_lines(pages: DataFrame) -> DataFrame:
     """A row a line of the tables: an entry, a day's balance (is_close), another balance (is_anchor), or unread."""
     lines = pages.select("path", "page", F.posexplode(F.split("text", r"\r?\n")).alias("n", "_raw"))
+    lines = spread(lines, "path", "page")
     lines = lines.withColumn("line", text.one_line(F.col("_raw"))).withColumn("_key", F.lower(text.plain(F.col("line"))))
     opens = F.col("_key").rlike(_HEADER) | F.col("line").rlike(_ENTRY)
     inside = F.max(opens).over(W.partitionBy("path", "page").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
@@ -59,7 +61,7 @@ def read_lines(pages: DataFrame) -> DataFrame:
     minus = (part(3) == "-") | (part(4) == "-")
     cents = money.parse_plain_brl(part(5))
     key = F.trim(F.lower(text.plain(F.col("description"))))
-    rows = rows.withColumns({"is_unread": ~F.col("line").rlike(_ENTRY) | F.col("_d").isNull(), "signed_cents": F.when(minus, -cents).otherwise(cents), "is_close": key.rlike(r"^saldo do dia\b"), "is_anchor": key.rlike(r"^saldo\s+(anterior|inicial|final|em conta|atual|disponivel)")})
+    rows = rows.withColumns({"is_unread": held(~F.col("line").rlike(_ENTRY) | F.col("_d").isNull()), "signed_cents": F.when(minus, -cents).otherwise(cents), "is_close": key.rlike(r"^saldo do dia\b"), "is_anchor": key.rlike(r"^saldo\s+(anterior|inicial|final|em conta|atual|disponivel)")})
     return rows.select("path", "page", "n", "line", "_d", "description", "is_unread", "signed_cents", "is_close", "is_anchor")
 
 

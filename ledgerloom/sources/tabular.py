@@ -47,16 +47,16 @@ def with_roles(cells: DataFrame) -> DataFrame:
     known = apart(headers.select("_header").distinct(), {"_h": F.transform("_header", text.label_key)})
     known = apart(known, {f"_{r}": first(names).cast("int") for r, names in ROLES.items()}, "_header")
     known = known.where(" and ".join(f"_{r} > 0" for r in NEEDED))
-    # one shuffle for the parsing and for the proof that may follow: few files, or one that is huge, are the work of many tasks
-    rows = spread(proof.in_segments(cells.where("row_no > 0"), "row_no"), "path", "_segment")
-    rows = rows.join(headers.join(known, "_header").drop("_header"), "path")
+    rows = proof.in_segments(cells.where("row_no > 0"), "row_no").join(headers.join(known, "_header").drop("_header"), "path")
     cell = lambda r: F.when(F.col(f"_{r}") > 0, F.coalesce(F.get("cells", F.col(f"_{r}") - 1), F.lit(""))).otherwise("")
     return then(rows.select("path", "row_no", "_segment", "cells", *[F.col(f"_{r}") for r in ROLES]), {"raw": text.one_line(F.array_join("cells", " | "))} | {r: cell(r) for r in ROLES}, "path", "row_no", "_segment")
 
 
 def read_rows(cells: DataFrame) -> DataFrame:
     """A row a statement line, with parsed amounts and `unread`, the reason why it could not be read (null if it could)."""
-    rows = then(with_roles(cells), {"_d": dates.parse_loose(F.col("date")), "_label": text.label_key(F.col("movement"))})
+    # one shuffle for the parsing and for the proof that may follow: few files, or one that is huge, are the work of many tasks; and what is
+    # before it and after it are two stages of code, each of a size that the JVM compiles
+    rows = then(spread(with_roles(cells), "path", "_segment"), {"_d": dates.parse_loose(F.col("date")), "_label": text.label_key(F.col("movement"))})
     cells_ = {"_v": "value", "_b": "before", "_a": "after", "_f": "fee"}
     rows = then(rows, {f"{n}t": money.cell_text(F.col(c)) for n, c in cells_.items()})
     rows = then(rows, {f"{n}n": money.cell_number(F.col(f"{n}t")) for n in cells_})
