@@ -58,7 +58,7 @@ def test_classifier_scores_are_plain_additions(spark, tables):
     for i, q, _ in labels:
         if i is not None and q is not None:
             worst[i] = min(q, worst.get(i, 1))
-    taught = [(i, t) for i, t, *_ in rows if not held(i) and i in worst]
+    taught = list(dict.fromkeys((i, t) for i, t, *_ in rows if not held(i) and i in worst))  # a row that repeats teaches once
     model = quality_classifier.fit(np.array([plain_features(t) for _, t in taught]), np.array([float(worst[i] == 1) for i, _ in taught]))
     want = Counter()
     for i, t, *_ in rows:
