@@ -127,15 +127,20 @@ def test_cutoffs_are_brute_force(spark):
     for i, q, _ in labels:
         if i is not None and q is not None:
             worst[i] = min(q, worst.get(i, 1))
-    counts = {}
+    counts, texts = {}, {}
+    for i, t, _ in rows:
+        texts.setdefault(i, set()).add(hashlib.md5((t or "").encode()).hexdigest())
     every = []
     for x in out:
         base = x.n_words < 50 or 100 * x.n_repeat_words > 50 * x.n_words
         assert x.base_failed == base
         every.append((x, base, x.lang or ""))
         if not base and x.doc_id in worst:
-            part = hashlib.md5(str(x.doc_id).encode()).hexdigest() < quality_rules.PART
-            counts.setdefault(x.lang or "", []).append((part, worst[x.doc_id], [(getattr(x, a), getattr(x, b)) for a, b in quality_rules.RULES.values()]))
+            # a text counts once a stratum, under its worst label
+            assert x.key in texts[x.doc_id]
+            _, q, _ = counts.setdefault(x.lang or "", {}).get(x.key, (0, 1, 0))
+            counts[x.lang or ""][x.key] = (x.key < quality_rules.PART, min(q, worst[x.doc_id]), [(getattr(x, a), getattr(x, b)) for a, b in quality_rules.RULES.values()])
+    counts = {k: list(v.values()) for k, v in counts.items()}
     level, chosen = Fraction(1, 20) / len(counts), {}
     for lang, held in counts.items():
         good, bad = (sum(p and q == k for p, q, _ in held) for k in (1, 0))
