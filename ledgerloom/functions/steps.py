@@ -48,11 +48,17 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, which goes when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: what uses it several times computes it once, and a lost executor asks no port twice."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = own_folder(df.sparkSession)
     df.write.parquet(path)
-    atexit.register(_drop, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -36,7 +36,7 @@ def read_statements(spark: SparkSession, path: str, extractor: Extractor | None
     texts = files.with_text(found.where("kind in ('text', 'ofx')"))
     blocks = ofx.blocks(texts.where("kind = 'ofx'"))
     # workbooks go by their bytes, whatever their names end in
-    sheets = workbook.rows_of(workbook.cells(found.where("kind = 'spreadsheet'")))
+    sheets = workbook.rows_of(workbook.cells(found.where("kind = 'spreadsheet'"), sheet_no=0))
     cells = files.tables(texts.where("kind = 'text'")).unionByName(sheets)
     if large:
         cells = cells.unionByName(files.large_tables(spark, large))

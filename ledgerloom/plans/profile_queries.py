@@ -11,8 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.steps import own_folder
 from ..operators import cascade, categories, inference, profile, refine, rules
-from ..sources import rulebook, workbook
+from ..sources import rulebook, workbook, workbook_source
 from .queries import _EVIDENCE, _HOUSE, _LAGGED, _OPTION, _PAIRS, _RULES, _SAYS, ORACLES, QUERIES, _cells, _dated, _query, _spoken
 from .tables import ORDERS, read
 
@@ -336,6 +337,14 @@ def workbook_cells(spark, d: str) -> DataFrame:
     return workbook.cells(_books(spark, d)).select("path", "sheet", "row", "col", "value")
 
 
+@_query(f"""WITH {_BLOCKS} SELECT path || '.xlsx' AS book, r AS row, unnest(['C', 'D']) AS col, unnest([p_name, p_type]) AS value FROM p""")
+def workbook_scan(spark, d: str) -> DataFrame:
+    """Parts written as workbook files, and two columns of one of their sheets read by the data source: a share of each book is a task."""
+    folder = workbook_source.write(_books(spark, d), own_folder(spark))
+    cells = workbook_source.load(spark, folder, ["path", "sheet", "row", "col", "value"], sheets='["JANEIRO"]').where("row >= 13 AND col IN ('C', 'D')")
+    return cells.select(F.regexp_extract("path", "[^/]+$", 0).alias("book"), "row", "col", "value")
+
+
 @_query(f"""WITH {_BLOCKS}, b AS (SELECT DISTINCT path FROM p) SELECT path, 'JANEIRO' AS sheet, 'D13:D5000' AS sqref, 'Categorias!$A:$A' AS formula, false AS later FROM b UNION ALL SELECT path, 'JANEIRO', 'E13:E5000', '"S,L"', true FROM b""")
 def workbook_validations(spark, d: str) -> DataFrame:
     return workbook.validations(_books(spark, d)).select("path", "sheet", "sqref", "formula", "later")

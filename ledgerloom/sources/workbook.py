@@ -9,6 +9,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import cached_property, partial
 from xml.etree import ElementTree as ET
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,9 @@ from ..functions.steps import apart
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+_REF = re.compile(r"([A-Z]+)(\d+)")
+#: What a cell is told by.
+CELL = ("row", "col", "kind", "value", "style", "formula")
 SCHEMA = "path string, sheet string, sheet_no int, row int, col string, kind string, value string, style string, formula string"
 # Built-in number format ids that an inspection takes for dates and for money, and those that a table shows as dates.
 DATE_IDS = (14, 15, 16, 17, 22, 27, 30, 36, 45, 46, 47, 50, 57, 58)
@@ -27,34 +31,47 @@ MONEY_IDS = (5, 6, 7, 8, 42, 43, 44)
 SHOWN_DATE_IDS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
 
 
-def cells_of(path: str, content: bytes) -> Iterator[tuple]:
-    """Every filled cell of a workbook, sheet by sheet; a sheet's XML is parsed as a stream."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            for si in ET.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", _NS):
-                shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
-        styles = []
-        if "xl/styles.xml" in names:
-            root = ET.fromstring(z.read("xl/styles.xml"))
-            codes = {int(f.get("numFmtId")): f.get("formatCode") for f in root.iterfind(".//m:numFmts/m:numFmt", _NS)}
-            for xf in root.iterfind(".//m:cellXfs/m:xf", _NS):
-                n = int(xf.get("numFmtId") or 0)
-                styles.append(codes.get(n) or str(n))
-        for no, name, target in _sheets(z):
-            masters: dict[str, tuple[str, int]] = {}
-            with z.open(target) as f:
-                for _, c in ET.iterparse(f):
-                    if c.tag != f"{{{_NS['m']}}}c":
-                        continue
-                    ref = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r") or "")
+class Book:
+    """An open workbook. Its shared strings and styles are read when they are first asked for, its sheets one by one."""
+
+    def __init__(self, z: zipfile.ZipFile):
+        self.z, self.names = z, set(z.namelist())
+
+    @cached_property
+    def sheets(self) -> list[tuple[int, str, str]]:
+        return list(_sheets(self.z))
+
+    @cached_property
+    def shared(self) -> list[str]:
+        found: list[str] = []
+        if "xl/sharedStrings.xml" in self.names:
+            with self.z.open("xl/sharedStrings.xml") as f:
+                for si in _ended(f, "sst", "si"):
+                    found.append(_text(si))
+        return found
+
+    @cached_property
+    def styles(self) -> list[str]:
+        if "xl/styles.xml" not in self.names:
+            return []
+        root = ET.fromstring(self.z.read("xl/styles.xml"))
+        codes = {int(f.get("numFmtId")): f.get("formatCode") for f in root.iterfind(".//m:numFmts/m:numFmt", _NS)}
+        ids = [int(xf.get("numFmtId") or 0) for xf in root.iterfind(".//m:cellXfs/m:xf", _NS)]
+        return [codes.get(n) or str(n) for n in ids]
+
+    def cells(self, target: str, wanted: Callable[[int, str], bool] | None = None, columns: tuple[str, ...] = CELL) -> Iterator[tuple]:
+        """row, col, kind, value, style and formula of a sheet's filled cells, row by row of its XML. wanted(row, col): cells to tell of. What isn't
+        among the columns is null and, if nothing else needs it, not looked up: no shared string is read for a count of cells."""
+        told, said, styled = "formula" in columns or "kind" in columns, "value" in columns or "kind" in columns, "style" in columns
+        masters: dict[str, tuple[str, int]] = {}
+        with self.z.open(target) as f:
+            for line in _ended(f, "sheetData", "row"):
+                for c in line.iterfind("m:c", _NS):
+                    ref = _REF.fullmatch(c.get("r") or "")
                     if not ref:
                         continue
-                    row, v, fx, inline = int(ref[2]), c.find("m:v", _NS), c.find("m:f", _NS), c.find("m:is", _NS)
-                    kind_, raw = c.get("t"), v.text if v is not None else None
-                    text = shared[int(raw)] if kind_ == "s" and raw else "".join(t.text or "" for t in inline.iter(f"{{{_NS['m']}}}t")) if inline is not None else raw
-                    formula = None
+                    row, col, formula = int(ref[2]), ref[1], None
+                    fx = c.find("m:f", _NS) if told else None
                     if fx is not None:
                         formula = fx.text
                         if fx.get("t") == "shared":  # the first cell of a group has the text, the others point to it
@@ -64,10 +81,44 @@ def cells_of(path: str, content: bytes) -> Iterator[tuple]:
                                 from ..operators.inference import shift_formula
 
                                 formula = shift_formula(masters[fx.get("si")][0], row - masters[fx.get("si")][1])
+                    if wanted is not None and not wanted(row, col):
+                        continue
+                    kind_, text, style = c.get("t"), None, None
+                    if said:
+                        v, inline = c.find("m:v", _NS), c.find("m:is", _NS)
+                        raw = v.text if v is not None else None
+                        text = self.shared[int(raw)] if kind_ == "s" and raw else _text(inline) if inline is not None else raw
+                    if styled and (n := int(c.get("s") or -1)) >= 0 and n < len(self.styles):
+                        style = self.styles[n]
                     kind = "formula" if formula else "empty" if text in (None, "") else "text" if kind_ in ("s", "inlineStr", "str") else "number"
-                    style = styles[int(c.get("s"))] if c.get("s") and int(c.get("s")) < len(styles) else None
-                    yield path, name, no, row, ref[1], kind, text, style, formula
-                    c.clear()
+                    yield row, col, kind, text, style, formula
+
+
+def _text(e: ET.Element) -> str:
+    return "".join(t.text or "" for t in e.iter(f"{{{_NS['m']}}}t"))
+
+
+def _ended(f, parent: str, name: str) -> Iterator[ET.Element]:
+    """Elements of this name as they end; what the parent holds is dropped after each, so that memory doesn't grow with the sheet."""
+    above = None
+    for event, e in ET.iterparse(f, ("start", "end")):
+        if event == "start":
+            if e.tag == f"{{{_NS['m']}}}{parent}":
+                above = e
+        elif e.tag == f"{{{_NS['m']}}}{name}":
+            yield e
+            if above is not None:
+                above.clear()
+
+
+def cells_of(path: str, content: bytes, sheet_no: int | None = None) -> Iterator[tuple]:
+    """Every filled cell of a workbook, or of one of its sheets, sheet by sheet; a sheet's XML is parsed as a stream."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        book = Book(z)
+        for no, name, target in book.sheets:
+            if sheet_no in (None, no):
+                for cell in book.cells(target):
+                    yield path, name, no, *cell
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -75,9 +126,10 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return cells(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
-def cells(files: DataFrame) -> DataFrame:
-    """files: path, content. A file is one task's work; cells come out as a stream of batches. A file that is no workbook has none."""
-    return _read(files, cells_of, SCHEMA)
+def cells(files: DataFrame, sheet_no: int | None = None) -> DataFrame:
+    """files: path, content. A file is one task's work (workbook_source deals sheets to tasks); cells come out as a stream of batches. With
+    sheet_no only that sheet is unpacked. A file that is no workbook has none."""
+    return _read(files, partial(cells_of, sheet_no=sheet_no), SCHEMA)
 
 
 def _read(files: DataFrame, each: Callable[[str, bytes], Iterator[tuple]], columns: str) -> DataFrame:
