@@ -242,7 +242,8 @@ def existing_rows(cells: DataFrame, first_row: int, date: str, description: str,
         typed = money.parse_cell(F.col(f"{n}_value"))["cents"]
         return F.abs(F.when(F.col(f"{n}_kind") == "text", typed).otherwise(money.to_cents(F.col(f"{n}_value").try_cast("decimal(28,10)"))))
 
-    rows = apart(rows, {"date": day, "_i": cents("i"), "_o": cents("o")}).where("date is not null")
+    # a step each: one method of all three would be beyond what the JVM compiles
+    rows = apart(apart(apart(rows, {"date": day}), {"_i": cents("i")}), {"_o": cents("o")}).where("date is not null")
     incoming = F.coalesce("_i", F.lit(0)) > 0
     return rows.select(
         "path", "sheet", F.col("row").cast("long").alias("row_order"), "date", F.coalesce("t_value", F.lit("")).alias("description"), F.col("c_value").alias("category"),
