@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..functions.steps import stored
 
+#: Hashes of a batch (some 90 bytes each with their month) that are sent to every task which reads the ledger.
+FEW_HASHES = 200_000
 BUCKET = ["date", "amount_cents", "direction"]
 
 
@@ -40,13 +42,30 @@ def once(hashed: DataFrame) -> DataFrame:
     return hashed.withColumn("is_repeat", nth > 1)
 
 
-def not_in_ledger(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
-    """An anti-join of month and hash; the ledger is partitioned by month, so only the months of the file are read."""
-    return hashed.withColumn("competence_key", dates.competence(F.col("date"))).join(ledger.select("competence_key", "hash"), ["competence_key", "hash"], "left_anti")
+def ledger_keys(hashed: DataFrame, ledger: DataFrame, few: int = FEW_HASHES) -> DataFrame:
+    """competence_key and hash, once each, of what the ledger knows of hashed. hashed is read twice: hand in a table (see steps.stored).
 
+    The ledger is the large side, and it is on the left of a semi-join, so that it is cut before anything moves. Its months are a literal list,
+    one entry for each month of the batch: other months' files are not opened. Up to `few` hashes go to every task, and no row of the ledger is
+    shuffled but those found. Of more, keys alone meet by a shuffle, and Spark filters the ledger's scan by a Bloom filter of its own making
+    (spark.sql.optimizer.runtime.bloomFilter) where the ledger is large and the batch is not. An empty batch opens nothing."""
+    asked = hashed.select(dates.competence(F.col("date")).alias("competence_key"), "hash")
+    size = asked.agg(F.count("*").alias("n"), F.collect_set("competence_key").alias("months")).first()
+    own = ledger.where(F.col("competence_key").isin(*size["months"])).select("competence_key", "hash")
+    asked = asked.distinct()
+    return own.join(F.broadcast(asked) if size["n"] <= few else asked, ["competence_key", "hash"], "left_semi").distinct()
 
-def in_ledger(hashed: DataFrame, ledger: DataFrame) -> DataFrame:
-    return hashed.withColumn("competence_key", dates.competence(F.col("date"))).join(ledger.select("competence_key", "hash"), ["competence_key", "hash"], "left_semi")
+
+def not_in_ledger(hashed: DataFrame, ledger: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """hashed with competence_key, without what the ledger knows; keys: its ledger_keys, if they are there already."""
+    keys = ledger_keys(hashed, ledger) if keys is None else keys
+    return hashed.withColumn("competence_key", dates.competence(F.col("date"))).join(keys, ["competence_key", "hash"], "left_anti")
+
+
+def in_ledger(hashed: DataFrame, ledger: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """hashed with competence_key, what the ledger knows; keys as in not_in_ledger."""
+    keys = ledger_keys(hashed, ledger) if keys is None else keys
+    return hashed.withColumn("competence_key", dates.competence(F.col("date"))).join(keys, ["competence_key", "hash"], "left_semi")
 
 
 def match_counts(tx: DataFrame, existing: DataFrame) -> DataFrame:
@@ -160,11 +179,12 @@ def deduplicate(tx: DataFrame, ledger: DataFrame, existing: DataFrame) -> DataFr
 
     What the ledger knows is set aside first and uses up no recorded row; so is what an earlier file of the batch has too.
     """
-    hashed = once(with_hashes(tx))
+    hashed = stored(once(with_hashes(tx)))  # read by the counts, the lookup and each way on
     repeats = hashed.where("is_repeat").withColumn("competence_key", dates.competence(F.col("date"))).drop("is_repeat")
     hashed = hashed.where("not is_repeat").drop("is_repeat")
-    known = in_ledger(hashed, ledger).unionByName(repeats)
-    matched = match_recorded(not_in_ledger(hashed, ledger), existing)
+    keys = stored(ledger_keys(hashed, ledger))
+    known = in_ledger(hashed, ledger, keys).unionByName(repeats)
+    matched = match_recorded(not_in_ledger(hashed, ledger, keys), existing)
     status = F.when(F.col("is_new"), "new").otherwise("recorded")
     matched = matched.withColumn("status", status).drop("is_new")
     known = known.withColumns({"status": F.lit("known_hash"), "recorded_as": F.lit(None).cast("string"), "name_differs": F.lit(False)})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.steps import stored
 from ..operators import dedup, ledger
 
 SCHEMA = "source_order bigint, date date, description string, direction string, amount_cents bigint, account_id string"
@@ -21,7 +22,7 @@ def stream(spark: SparkSession, inbox: str, schema: str = SCHEMA, files_per_batc
 
 
 def import_batch(batch: DataFrame, ledger_path: str) -> None:
-    hashed = dedup.once(dedup.with_hashes(batch)).where("not is_repeat")
+    hashed = stored(dedup.once(dedup.with_hashes(batch)).where("not is_repeat"))
     ledger.append(dedup.not_in_ledger(hashed, ledger.load(batch.sparkSession, ledger_path)), ledger_path)
 
 
