@@ -150,7 +150,7 @@ def repeat_formula(rules: DataFrame) -> DataFrame:
     return rules.withColumn("repeats", F.when(F.col("formula_kind") == "accumulated", True).when(F.col("column_wide") & (F.col("n") >= 3), True).when(F.col("n") <= 2, False))
 
 
-def merge_formula_rules(rules: DataFrame, order: str = "sheet_no") -> DataFrame:
-    """One rule a column over all sheets: most occurrences, the first sheet on a tie."""
-    best = F.min_by(F.struct(*[c for c in rules.columns if c != "col"]), F.struct(-F.col("n"), F.col(order)))
-    return rules.groupBy("col").agg(best.alias("b")).select("col", "b.*")
+def merge_formula_rules(rules: DataFrame, order: str = "sheet_no", by: tuple[str, ...] = ()) -> DataFrame:
+    """One rule a column over all sheets (of each workbook, if by names it): most occurrences, the first sheet on a tie."""
+    best = F.min_by(F.struct(*[c for c in rules.columns if c not in ("col", *by)]), F.struct(-F.col("n"), F.col(order)))
+    return rules.groupBy(*by, "col").agg(best.alias("b")).select(*by, "col", "b.*")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.steps import own_folder
-from ..operators import cascade, categories, inference, profile, refine, rules
+from ..operators import cascade, categories, inference, inspection, profile, refine, rules
 from ..sources import rulebook, workbook, workbook_source
 from .queries import _EVIDENCE, _HOUSE, _LAGGED, _OPTION, _PAIRS, _RULES, _SAYS, ORACLES, QUERIES, _cells, _dated, _query, _spoken
 from .tables import ORDERS, read
@@ -232,6 +232,26 @@ def sample_sheets(spark, d: str) -> DataFrame:
     return profile.sample_sheets(cells, headers, ["path"])
 
 
+@_query(f"""WITH n AS (SELECT account_id AS g, count(*) AS filled_rows, count_if(direction = 'credit') AS credits FROM ({ORDERS}) GROUP BY 1),
+ b AS (SELECT *, g % 10 AS book, count(*) OVER (PARTITION BY g % 10) AS n_sheets FROM n QUALIFY row_number() OVER (PARTITION BY g % 10 ORDER BY least(filled_rows, 201) DESC, g) = 1),
+ c AS (SELECT "group" AS g, {_PAIRS} FROM ({_LAGGED}) GROUP BY 1), own AS (SELECT g, {_EVIDENCE} FROM c)
+SELECT CAST(book AS VARCHAR) AS path, n_sheets, CAST(b.g AS VARCHAR) AS sample_sheet, 12 AS header_row, filled_rows, own."order" AS date_order,
+ 'B date date, C description text, F in ' || CASE WHEN credits > 0 THEN 'money' ELSE 'empty' END || ', G out ' || CASE WHEN credits < filled_rows THEN 'money' ELSE 'empty' END || ', H balance formula' AS columns,
+ CASE WHEN filled_rows > 1 THEN 'H accumulated' ELSE 'H other' END AS formulas FROM b JOIN own USING (g)""")
+def workbook_inspection(spark, d: str) -> DataFrame:
+    """The orders' workbooks, with headers, inspected as one row each."""
+    cells = _booked(spark, d).withColumns({"path": F.col("path").cast("string"), "sheet": F.col("sheet").cast("string")})
+    heads = F.inline(F.array(*[F.struct(F.lit(c).alias("col"), F.lit(h).alias("value")) for c, h in (("B", "Data"), ("C", "Descrição"), ("F", "Entrada"), ("G", "Saída"), ("H", "Saldo"))]))
+    none = F.lit(None).cast("string")
+    heads = cells.select("path", "sheet", "sheet_no").distinct().select("*", heads).select("*", F.lit(12).alias("row"), F.lit("text").alias("kind"), none.alias("style"), none.alias("formula"))
+    found = inspection.inspect(cells.unionByName(heads))
+    told = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", *[x[f] for f in fields])), ", ")
+    return found.select(
+        "path", F.size("sheet_names").cast("long").alias("n_sheets"), "sample_sheet", "header_row", "filled_rows", "date_order",
+        told("columns", "col", "role", "column_kind").alias("columns"), told("formula_columns", "col", "formula_kind").alias("formulas"),
+    )
+
+
 _PROFILED = "CASE WHEN g % 5 = 0 THEN 'descending' WHEN g % 5 = 1 THEN 'undefined' END"
 
 

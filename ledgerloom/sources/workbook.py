@@ -183,6 +183,17 @@ def _sheets(z: zipfile.ZipFile) -> Iterator[tuple[int, str, str]]:
         yield no, s.get("name"), target if target.startswith("xl/") else f"xl/{target}"
 
 
+def sheets_of(path: str, content: bytes) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        for no, name, _ in _sheets(z):
+            yield path, name, no
+
+
+def sheets(files: DataFrame) -> DataFrame:
+    """path, sheet, sheet_no of every sheet, those without cells too. files: path, content."""
+    return _read(files, sheets_of, "path string, sheet string, sheet_no int")
+
+
 def validations(files: DataFrame) -> DataFrame:
     """files: path, content."""
     return _read(files, validations_of, VALIDATIONS)
