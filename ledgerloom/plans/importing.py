@@ -5,9 +5,11 @@ One plan over all files and months: the month is a column, not a loop.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,10 +31,58 @@ class Reading:
     extracted: DataFrame | None = None
 
 
-def read_statements(spark: SparkSession, path: str, extractor: Extractor | None = None) -> Reading:
-    """Every file under a path by its kind. Files whose proof fails bring no transaction; their reason is in the audit."""
+class Parser(Protocol):
+    """A reader of one more form of statement. It works on a DataFrame of all files of its form, not on one file."""
+
+    #: What the audit calls its files.
+    name: str
+
+    def can_parse(self, path: Column, content: Column, kind: Column) -> Column:
+        """Whether a file is of its form; kind is what the library takes it for."""
+
+    def parse(self, found: DataFrame) -> DataFrame:
+        """found: path, content. path, source_order, date, description, direction, amount_cents, account_id, and raw_line if there is one. A row
+        without date or amount says that the file can't be read whole."""
+
+
+#: What a parser's transactions must have, by type.
+PARSED = {"path": "string", "source_order": "bigint", "date": "date", "description": "string", "direction": "string", "amount_cents": "bigint", "account_id": "string"}
+NOT_WHOLE, NOTHING = "a row could not be read", "no transaction"
+
+
+def read_by_parsers(found: DataFrame, parsers: Sequence[Parser]) -> tuple[DataFrame, DataFrame] | None:
+    """Transactions of the files that parsers claimed (found: path, content, parser), and their audit: a file is trusted if it has transactions
+    and each has date, direction and amount. None without parsers."""
+    rows = None
+    for p in parsers:
+        own = p.parse(found.where(F.col("parser") == p.name).select("path", "content"))
+        if missing := [c for c in PARSED if c not in own.columns]:
+            raise ValueError(f"parser {p.name} gives no {', '.join(missing)}")
+        raw = F.col("raw_line").cast("string") if "raw_line" in own.columns else F.lit(None).cast("string")
+        own = own.select(*[F.col(c).cast(t).alias(c) for c, t in PARSED.items()], raw.alias("raw_line"))
+        rows = own if rows is None else rows.unionByName(own)
+    if rows is None:
+        return None
+    rows = stored(rows)
+    whole = F.col("date").isNotNull() & F.col("amount_cents").isNotNull() & F.coalesce(F.col("direction").isin("credit", "debit"), F.lit(False))
+    n = rows.groupBy("path").agg(F.count("*").alias("n_tx"), F.count_if(~whole).alias("_bad"))
+    audit = found.where("parser is not null").select("path", "parser").join(n, "path", "left")
+    reason = F.when(F.coalesce("n_tx", F.lit(0)) == 0, NOTHING).when(F.col("_bad") > 0, NOT_WHOLE)
+    audit = audit.select("path", F.coalesce("n_tx", F.lit(0)).cast("long").alias("n_tx"), F.when(reason.isNotNull(), F.concat(F.col("parser"), F.lit(": "), reason)).alias("reason"), reason.isNull().alias("trusted"))
+    return rows.withColumns({"y": F.year("date"), "m": F.month("date"), "d": F.dayofmonth("date")}), audit
+
+
+def read_statements(spark: SparkSession, path: str, extractor: Extractor | None = None, parsers: Sequence[Parser] = ()) -> Reading:
+    """Every file under a path by its kind. Files whose proof fails bring no transaction; their reason is in the audit. A file that a parser claims
+    (the first of them) is its alone; parsers aren't asked about delimited files of files.LARGE bytes and more, which are read in ranges."""
+    if len({p.name for p in parsers}) < len(parsers):
+        raise ValueError("parsers need names of their own")
     found, large = files.load(spark, path, files.LARGE), files.large_paths(spark, path)
     found = found.withColumn("kind", files.kind(F.col("content"), F.col("path")))
+    claims = [F.when(p.can_parse(F.col("path"), F.col("content"), F.col("kind")), p.name) for p in parsers]
+    found = found.withColumn("parser", F.coalesce(*claims, F.lit(None).cast("string")))
+    found = found.withColumn("kind", F.when(F.col("parser").isNull(), F.col("kind")).otherwise("parser"))
+    parsed = read_by_parsers(found, parsers)
     texts = files.with_text(found.where("kind in ('text', 'ofx')"))
     blocks = ofx.blocks(texts.where("kind = 'ofx'"))
     # workbooks go by their bytes, whatever their names end in
@@ -45,6 +95,8 @@ def read_statements(spark: SparkSession, path: str, extractor: Extractor | None
     audits = tabular.audit(rows).select("path", "n_tx", "reason", "trusted").unionByName(ofx.audit(texts.where("kind = 'ofx'"), blocks).select("path", "n_tx", "reason", "trusted"))
     columns = ["path", "source_order", "date", "y", "m", "d", "description", "direction", "amount_cents", "raw_line", "account_id"]
     tx = tabular.transactions(rows).select(*columns).unionByName(ofx.transactions(blocks).select(*columns))
+    if parsed:
+        tx, audits = tx.unionByName(parsed[0].select(*columns)), audits.unionByName(parsed[1])
     known = found.select("path", "kind")
     if large:
         known = known.unionByName(rows.sparkSession.createDataFrame([(p, "text") for p in large], "path string, kind string"))
