@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 # Names of the months' sheets.
 MONTHS = ("JANEIRO", "FEVEREIRO", "MARÇO", "ABRIL", "MAIO", "JUNHO", "JULHO", "AGOSTO", "SETEMBRO", "OUTUBRO", "NOVEMBRO", "DEZEMBRO")
+_LOOSE = r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
 # Sheets that hold no month.
 SUPPORT_SHEETS = ("CATEGORIAS", "FLUXO DE CAIXA SIMPLIFICADO", "ANÁLISE")
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("int")
+def _once(value: Column, use) -> Column:
+    """use(value), whose argument is computed once however often it occurs: a plain expression would be copied to each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _dated(digits: Column, year: int, month: int, day: int) -> Column:
+    """struct(date, y, m, d) of an array of digits, which tells each at its place; two digits of a year are of this century."""
+
+    def numbers(x: Column) -> Column:
+        y = F.get(x, F.lit(year))
+        return F.array(F.when(F.length(y) == 2, y.try_cast("int") + 2000).otherwise(y.try_cast("int")), F.get(x, F.lit(month)).try_cast("int"), F.get(x, F.lit(day)).try_cast("int"))
+
+    return _once(digits, lambda x: _once(numbers(x), lambda n: _struct(*[F.get(n, F.lit(i)) for i in range(3)])))
 
 
 def _struct(year: Column, month: Column, day: Column) -> Column:
@@ -23,29 +35,25 @@ def _struct(year: Column, month: Column, day: Column) -> Column:
     return F.when(ok, F.struct(date.alias("date"), year.alias("y"), month.alias("m"), day.alias("d")))
 
 
-def _century(year: Column, digits: Column) -> Column:
-    return F.when(F.length(digits) == 2, year + 2000).otherwise(year)
-
-
 def parse_br(raw: Column) -> Column:
     """Strictly dd/mm/yy or dd/mm/yyyy."""
-    p = r"^(\d{2})/(\d{2})/(\d{2}|\d{4})$"
-    text = F.trim(raw)
-    return _struct(_century(_number(text, p, 3), F.regexp_extract(text, p, 3)), _number(text, p, 2), _number(text, p, 1))
+    return _dated(F.split(F.regexp_extract(F.trim(raw), r"^\d{2}/\d{2}/(\d{2}|\d{4})$", 0), "/"), 2, 1, 0)
 
 
 def parse_loose(raw: Column) -> Column:
     """d/m/y or d-m-y anywhere in the text."""
-    part = F.split(F.regexp_extract(raw, r"\d{1,2}[/-]\d{1,2}[/-]\d{2,4}", 0), "[/-]")
-    day, month, year = (F.get(part, i) for i in range(3))
-    return _struct(_century(year.try_cast("int"), year), month.try_cast("int"), day.try_cast("int"))
+    return _dated(F.split(F.regexp_extract(raw, _LOOSE, 0), "[/-]"), 2, 1, 0)
+
+
+def reads_loosely(raw: Column) -> Column:
+    """Whether parse_loose makes anything of a text, without taking it apart."""
+    return F.coalesce(F.regexp_extract(raw, _LOOSE, 0).rlike(r"^(0?[1-9]|[12]\d|3[01])[/-](0?[1-9]|1[0-2])[/-]"), F.lit(False))
 
 
 def parse_compact(raw: Column) -> Column:
     """yyyymmdd at the start; what follows (time, zone) doesn't count."""
-    p = r"^(\d{4})(\d{2})(\d{2})"
-    text = F.trim(raw)
-    return _struct(_number(text, p, 1), _number(text, p, 2), _number(text, p, 3))
+    digits = F.regexp_extract(F.trim(raw), r"^\d{8}", 0)
+    return _once(digits, lambda x: _dated(F.array(F.substring(x, 1, 4), F.substring(x, 5, 2), F.substring(x, 7, 2)), 0, 1, 2))
 
 
 def iso(y: Column, m: Column, d: Column) -> Column:

@@ -27,6 +27,18 @@ def spread(rows: DataFrame, *by: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Rows of a table that one task sorts: a window's memory then stays the same however large the table is.
+TASK_ROWS = 100_000
+
+
+def dealt(rows: DataFrame, counted: DataFrame, *by: str, each: int | None = None) -> DataFrame:
+    """rows dealt out by these columns to tasks of about `each` rows (TASK_ROWS by default) of `counted` (the table they come from, whose count is in its files'
+    footers), and to as many as a shuffle has at least. What is grouped or ordered by these columns needs no further shuffle, and AQE, which
+    joins by compressed bytes, doesn't put several such tasks into one."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, counted.count() // (each or TASK_ROWS) + 1), *by)
+
+
 def apart(rows: DataFrame, new: dict[str, Column], *keep: str) -> DataFrame:
     """rows' columns (those to keep, or all) and new ones, which are computed once: a generator of one row stands between them and what
     uses them, so that no expression is copied into others, and the code of each step stays below the JVM's limit for a method."""

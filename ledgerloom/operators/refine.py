@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.steps import stored
+from ..functions.steps import stored, then
 from ..sources.workbook import is_date_style
 from . import profile
 from .cascade import BATCH, Port, asked_in_batches
@@ -24,7 +24,8 @@ USUAL = "some columns could not be told: the usual letters stand in for them"
 def evidence(cells: DataFrame, by: list[str]) -> DataFrame:
     """by, col, filled and how many of them are dates, numbers, texts, formulas; a text that reads as a date is one."""
     kind = F.col("kind")
-    day = ((kind == "number") & is_date_style(F.col("style"))) | ((kind == "text") & dates.parse_loose(F.col("value")).isNotNull())
+    day = F.when(kind == "number", is_date_style(F.col("style"))).otherwise((kind == "text") & dates.reads_loosely(F.col("value")))
+    cells, day = then(cells, {"_day": day}, *by, "col", "kind"), F.col("_day")
     counts = {"filled": kind != "empty", "n_dates": day, "n_numbers": (kind == "number") & ~day, "n_texts": (kind == "text") & ~day, "n_formulas": kind == "formula"}
     return cells.groupBy(*by, "col").agg(*[F.count_if(x).alias(c) for c, x in counts.items()])
 
@@ -83,7 +84,9 @@ def profiles(cells: DataFrame, headers: DataFrame, by: list[str], port: Port | N
     """A row a workbook: its layout, where it comes from (headers, port or usual) and warnings; what the port told, with verdicts; its failures.
     headers: by, col, header of each column."""
     columns = profile.columns_with_roles(headers, by).join(evidence(cells, by), [*by, "col"], "left")
-    refined, told, failures = refine(columns.fillna(0, ["filled", "n_dates", "n_numbers", "n_texts", "n_formulas"]), by, port)
+    columns = columns.fillna(0, ["filled", "n_dates", "n_numbers", "n_texts", "n_formulas"])
+    # written once: questions, verdicts, layout and what is joined with them would each read all cells again
+    refined, told, failures = refine(columns if port is None else stored(columns), by, port)
     found = profile.layout(refined.withColumn("has_formula", F.col("n_formulas") > 0), by)
     by_port = refined.groupBy(*by).agg(F.bool_or(F.coalesce(F.col("said_by") == "port", F.lit(False))).alias("_port"))
     failed = failures.groupBy(*by).agg(F.array_sort(F.collect_set("failure")).alias("_failed"))

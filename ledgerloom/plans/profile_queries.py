@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.steps import own_folder
+from ..functions.steps import own_folder, spread, stored
 from ..operators import cascade, categories, inference, inspection, profile, refine, rules
 from ..sources import rulebook, workbook, workbook_source
 from .queries import _EVIDENCE, _HOUSE, _LAGGED, _OPTION, _PAIRS, _RULES, _SAYS, ORACLES, QUERIES, _cells, _dated, _query, _spoken
@@ -172,7 +172,7 @@ def layout_of_profile(spark, d: str) -> DataFrame:
 def _untold(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """The orders' sheets under headers that tell of categories only; every seventh customer's name dates and texts, too."""
     cells = _cells(spark, d)
-    seen = cells.select("sheet", "col").distinct()
+    seen = stored(cells.select("sheet", "col").distinct())
     named = F.col("sheet") % 7 == 0
     header = F.when(named & (F.col("col") == "B"), "Data").when(named & (F.col("col") == "C"), "Histórico").otherwise("?")
     headers = seen.select("sheet", "col", header.alias("header"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..functions.steps import dealt
 from ..operators import arbitrate, dedup, inference, ordering, proof, report, rules
 from ..sources import files, ofx, pages, tabular, workbook
 from .tables import EVENTS, ORDERS, cents, events_tx, orders_tx, read
@@ -582,15 +583,15 @@ def description_lengths(spark, d: str) -> DataFrame:
     return inference.description_style(read(spark, d, "documents"), ["lang"], "text").select("lang", "n", "n_chars")
 
 
-def _cells(spark, d: str) -> DataFrame:
-    """Each customer's orders as a sheet: dates in B, names in C, amounts in F or G, a running balance in H."""
-    tx = orders_tx(spark, d).withColumn("row", (F.row_number().over(W.partitionBy("account_id").orderBy("source_order")) + 12).cast("int"))
+def _cells(spark, d: str, *more: str) -> DataFrame:
+    """Each customer's orders as a sheet: dates in B, names in C, amounts in F or G, a running balance in H. more: columns of the orders to keep."""
+    tx = dealt(orders_tx(spark, d), read(spark, d, "orders"), "account_id").withColumn("row", (F.row_number().over(W.partitionBy("account_id").orderBy("source_order")) + 12).cast("int"))
     r = F.col("row").cast("string")
     cell = lambda col, kind, value, style, formula=None: F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), value.cast("string").alias("value"), F.lit(style).alias("style"), (F.lit(None).cast("string") if formula is None else formula).alias("formula"))
     credit = F.col("direction") == "credit"
     balance = F.when(F.col("row") == 13, F.concat(F.lit("G7+F"), r, F.lit("-G"), r)).otherwise(F.concat(F.lit("H"), F.col("row") - 1, F.lit("+F"), r, F.lit("-G"), r))
     each = F.array(cell("B", "number", dates.sheet_serial(F.col("date")), "dd/mm/yyyy"), cell("C", "text", F.col("description"), "0"), F.when(credit, cell("F", "number", F.col("amount_cents") / 100, "#,##0.00")), F.when(~credit, cell("G", "number", F.col("amount_cents") / 100, "#,##0.00")), cell("H", "formula", F.lit("1"), "#,##0.00", balance))
-    return tx.select(F.col("account_id").alias("sheet"), "row", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("c")).select("sheet", "row", "c.*")
+    return tx.select(F.col("account_id").alias("sheet"), "row", *more, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("c")).select("sheet", "row", *more, "c.*")
 
 
 #: Every built-in id up to 60, and codes with quotes, escapes, brackets and currencies.
