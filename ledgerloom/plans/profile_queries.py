@@ -218,10 +218,10 @@ def wrong_port_refused(spark, d: str) -> DataFrame:
     return told.groupBy("sheet", "verdict").agg(F.count("*").alias("n")).join(found.select("sheet", "source"), "sheet")
 
 
-def _booked(spark, d: str) -> DataFrame:
+def _booked(spark, d: str, *more: str) -> DataFrame:
     """The orders' sheets in workbooks of ten customers each."""
     number = F.col("sheet").cast("int")
-    return _cells(spark, d).withColumns({"path": number % 10, "sheet_no": number})
+    return _cells(spark, d, *more).withColumns({"path": number % 10, "sheet_no": number})
 
 
 @_query(f"""WITH n AS (SELECT account_id AS sheet, least(count(*), 201) AS n_rows FROM ({ORDERS}) GROUP BY 1)
@@ -280,11 +280,12 @@ m AS (SELECT path, sheet, col, style, count(*) AS n, min(row) AS f FROM v GROUP
 
 def _styled(spark, d: str) -> DataFrame:
     """Dates and descriptions in styles that vary; the date is a text in rows whose amount is odd; the category column is empty but for a style."""
-    cents = F.sum(F.when(F.col("col").isin("F", "G"), F.round(F.col("value").cast("double") * 100).cast("long"))).over(W.partitionBy("sheet", "row"))
-    rows = _booked(spark, d).withColumn("_c", cents).where("col IN ('B', 'C')")
-    style = F.when(F.col("col") == "B", F.concat(F.lit("s"), F.col("_c") % 3)).otherwise(F.concat(F.lit("t"), F.col("row") % 2))
-    rows = rows.withColumns({"style": style, "kind": F.when((F.col("col") == "B") & (F.col("_c") % 2 == 1), "text").otherwise(F.col("kind"))}).drop("_c")
-    return rows.unionByName(rows.where("col = 'C'").withColumns({"col": F.lit("D"), "kind": F.lit("empty"), "value": F.lit(None).cast("string"), "style": F.concat(F.lit("e"), F.col("row") % 2)}))
+    rows = _booked(spark, d, "amount_cents").where("col IN ('B', 'C')")
+    cell = lambda col, kind, value, style: F.struct(F.lit(col).alias("col"), kind.alias("kind"), value.alias("value"), style.alias("style"))
+    day = cell("B", F.when(F.col("amount_cents") % 2 == 1, "text").otherwise(F.col("kind")), F.col("value"), F.concat(F.lit("s"), F.col("amount_cents") % 3))
+    said = cell("C", F.col("kind"), F.col("value"), F.concat(F.lit("t"), F.col("row") % 2))
+    none = cell("D", F.lit("empty"), F.lit(None).cast("string"), F.concat(F.lit("e"), F.col("row") % 2))
+    return rows.select("path", "sheet", "sheet_no", "row", "formula", F.inline(F.when(F.col("col") == "B", F.array(day)).otherwise(F.array(said, none))))
 
 
 @_query(f"""WITH {_STYLED} SELECT path, sheet, col, style FROM m QUALIFY row_number() OVER (PARTITION BY path, sheet, col ORDER BY n DESC, f) = 1 UNION ALL SELECT DISTINCT path, sheet, 'D', 'e1' FROM r""")

@@ -36,6 +36,15 @@ def test_profiles_read_the_cells_once(spark):
     assert seen.value == len(rows)
 
 
+@pytest.mark.parametrize("query", ["sheet_styles"])
+def test_sheets_are_dealt_by_their_rows(spark, monkeypatch, query):
+    monkeypatch.setattr(steps, "TASK_ROWS", 100)
+    n = spark.read.parquet(f"{SF}/orders.parquet").count()
+    made = profile_queries.QUERIES[query](spark, SF)
+    assert made.rdd.getNumPartitions() == n // 100 + 1
+    assert optimized(made).count("Window") == 1
+
+
 def reference(day, month, year):
     if day is None or not (1 <= month <= 12 and 1 <= day <= 31):
         return None
