@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..functions.steps import held, spread
+from ..functions.steps import apart, spread
 from ..operators import proof
 
 # The bank's own wording of an entry, of the head of its tables, and of lines that say nothing.
@@ -52,16 +52,17 @@ def read_lines(pages: DataFrame) -> DataFrame:
     """A row a line of the tables: an entry, a day's balance (is_close), another balance (is_anchor), or unread."""
     lines = pages.select("path", "page", F.posexplode(F.split("text", r"\r?\n")).alias("n", "_raw"))
     lines = spread(lines, "path", "page")
-    lines = lines.withColumn("line", text.one_line(F.col("_raw"))).withColumn("_key", F.lower(text.plain(F.col("line"))))
-    opens = F.col("_key").rlike(_HEADER) | F.col("line").rlike(_ENTRY)
-    inside = F.max(opens).over(W.partitionBy("path", "page").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
-    rows = lines.withColumn("_in", inside).where(F.col("_in") & ~F.col("_key").rlike(_NOISE))
-    part = lambda i: F.regexp_extract("line", _ENTRY, i)
-    rows = rows.withColumn("_d", dates.parse_br(part(1))).withColumn("description", text.one_line(part(2)))
-    minus = (part(3) == "-") | (part(4) == "-")
-    cents = money.parse_plain_brl(part(5))
-    key = F.trim(F.lower(text.plain(F.col("description"))))
-    rows = rows.withColumns({"is_unread": held(~F.col("line").rlike(_ENTRY) | F.col("_d").isNull()), "signed_cents": F.when(minus, -cents).otherwise(cents), "is_close": key.rlike(r"^saldo do dia\b"), "is_anchor": key.rlike(r"^saldo\s+(anterior|inicial|final|em conta|atual|disponivel)")})
+    lines = apart(lines, {"line": text.one_line(F.col("_raw"))}, "path", "page", "n")
+    lines = apart(lines, {"_entry": F.col("line").rlike(_ENTRY), "_key": F.lower(text.plain(F.col("line")))})
+    lines = apart(lines, {"_opens": F.col("_entry") | F.col("_key").rlike(_HEADER), "_noise": F.col("_key").rlike(_NOISE)}, "path", "page", "n", "line", "_entry")
+    inside = F.max("_opens").over(W.partitionBy("path", "page").orderBy("n").rowsBetween(W.unboundedPreceding, 0))
+    rows = lines.withColumn("_in", inside).where("_in and not _noise")
+    # the pattern is matched once for each of its parts, and what is made of a part once a line
+    part = lambda i: F.when(F.col("_entry"), F.regexp_extract("line", _ENTRY, i)).otherwise("")
+    rows = apart(rows, {f"_{i}": part(i) for i in range(1, 6)}, "path", "page", "n", "line", "_entry")
+    rows = apart(rows, {"_d": dates.parse_br(F.col("_1")), "description": text.one_line(F.col("_2")), "_cents": money.parse_plain_brl(F.col("_5")), "_minus": (F.col("_3") == "-") | (F.col("_4") == "-")}, "path", "page", "n", "line", "_entry")
+    rows = apart(rows, {"_key": F.trim(F.lower(text.plain(F.col("description"))))})
+    rows = apart(rows, {"is_unread": ~F.col("_entry") | F.col("_d").isNull(), "signed_cents": F.when(F.col("_minus"), -F.col("_cents")).otherwise(F.col("_cents")), "is_close": F.col("_key").rlike(r"^saldo do dia\b"), "is_anchor": F.col("_key").rlike(r"^saldo\s+(anterior|inicial|final|em conta|atual|disponivel)")})
     return rows.select("path", "page", "n", "line", "_d", "description", "is_unread", "signed_cents", "is_close", "is_anchor")
 
 

@@ -36,7 +36,7 @@ def test_profiles_read_the_cells_once(spark):
     assert seen.value == len(rows)
 
 
-@pytest.mark.parametrize("query", ["sheet_styles"])
+@pytest.mark.parametrize("query", ["sheet_styles", "category_history"])
 def test_sheets_are_dealt_by_their_rows(spark, monkeypatch, query):
     monkeypatch.setattr(steps, "TASK_ROWS", 100)
     n = spark.read.parquet(f"{SF}/orders.parquet").count()
@@ -45,6 +45,18 @@ def test_sheets_are_dealt_by_their_rows(spark, monkeypatch, query):
     assert optimized(made).count("Window") == 1
 
 
+def test_patterns_of_a_page_line_are_matched_once_each(spark):
+    text = "290 - PagSeguro Internet S/A\nConta 1\nExtrato da conta\nData Valor Descrição\n01/02/2026 Pix R$ 1,00\n31/02/2026 Pix -R$ 2,00\n00/02/2026 x R$ 1,00\nno entry\n01/02/2026 Saldo do dia R$ -1,00\nSaldo\n02/02/2026 Saldo anterior R$ 0,50"
+    lines = pages.read_lines(spark.createDataFrame([("p", 0, text)], "path string, page int, text string"))
+    got = [(r.n, r.description, r.is_unread, r.signed_cents, r.is_close, r.is_anchor, r._d and r._d.date and str(r._d.date)) for r in lines.orderBy("n").collect()]
+    assert got == [
+        (4, "Pix", False, 100, False, False, "2026-02-01"), (5, "Pix", False, -200, False, False, None), (6, "x", True, 100, False, False, None), (7, "", True, None, False, False, None),
+        (8, "Saldo do dia", False, -100, True, False, "2026-02-01"), (9, "", True, None, False, False, None), (10, "Saldo anterior", False, 50, False, True, "2026-02-02"),
+    ]
+    entries = lines.where("not is_unread and not is_close and not is_anchor")
+    assert optimized(entries).count("[\\d.]+,\\d{2}") == 6  # whether it is an entry, and five parts
+
+
 def reference(day, month, year):
     if day is None or not (1 <= month <= 12 and 1 <= day <= 31):
         return None
