@@ -267,7 +267,7 @@ def sheet_order_precedence(spark, d: str) -> DataFrame:
 @_query(f"""WITH n AS (SELECT account_id AS sheet, count(*) AS n FROM ({ORDERS}) GROUP BY 1), c AS (SELECT sheet, n, unnest(['H', 'I']) AS col FROM n)
 SELECT sheet, col, CASE WHEN col = 'H' THEN CASE WHEN n > 1 THEN 'H' || (n + 11) || '+F' || (n + 12) || '-G' || (n + 12) END ELSE 'A1' END AS model, CASE WHEN col = 'H' THEN 'sheet' ELSE 'profile' END AS said_by, CASE WHEN col = 'H' THEN 'Saldo' ELSE 'Total' END AS header FROM c""")
 def formula_precedence(spark, d: str) -> DataFrame:
-    own = inference.formula_columns(_cells(spark, d), 13, ("B", "C", "F", "G")).withColumns({"first_row_formula": F.lit(None).cast("string"), "header": F.lit("")})
+    own = stored(inference.formula_columns(_cells(spark, d), 13, ("B", "C", "F", "G"))).withColumns({"first_row_formula": F.lit(None).cast("string"), "header": F.lit("")})
     stray = own.withColumn("col", F.lit("Z"))
     said = spark.createDataFrame([("H", "H1", 2, "G7", "Saldo"), ("I", "A1", 3, None, "Total")], "col string, model string, model_row int, first_row_formula string, header string")
     return profile.formula_rules(own.unionByName(stray), said, own).select("sheet", "col", "model", "said_by", "header")

@@ -45,6 +45,11 @@ def test_sheets_are_dealt_by_their_rows(spark, monkeypatch, query):
     assert optimized(made).count("Window") == 1
 
 
+def test_formulas_of_sheets_are_found_once(spark):
+    made = profile_queries.formula_precedence(spark, SF)
+    assert "Window" not in optimized(made) and made.count() > 0
+
+
 def test_patterns_of_a_page_line_are_matched_once_each(spark):
     text = "290 - PagSeguro Internet S/A\nConta 1\nExtrato da conta\nData Valor Descrição\n01/02/2026 Pix R$ 1,00\n31/02/2026 Pix -R$ 2,00\n00/02/2026 x R$ 1,00\nno entry\n01/02/2026 Saldo do dia R$ -1,00\nSaldo\n02/02/2026 Saldo anterior R$ 0,50"
     lines = pages.read_lines(spark.createDataFrame([("p", 0, text)], "path string, page int, text string"))
