@@ -344,7 +344,7 @@ def _books(spark, d: str) -> DataFrame:
         return pd.DataFrame({"path": [str(f["block"].iloc[0])], "content": [out.getvalue()]})
 
     parts = read(spark, d, "part").select("p_partkey", "p_name", "p_type", "p_size", F.floor(F.col("p_partkey") / 200).alias("block"))
-    return parts.groupBy("block").applyInPandas(book, "path string, content binary")
+    return spread(parts, "block").groupBy("block").applyInPandas(book, "path string, content binary")
 
 
 _BLOCKS = "p AS (SELECT *, CAST(p_partkey // 200 AS VARCHAR) AS path, CAST(12 + row_number() OVER (PARTITION BY p_partkey // 200 ORDER BY p_partkey) AS INT) AS r FROM part)"
@@ -375,8 +375,8 @@ def workbook_validations(spark, d: str) -> DataFrame:
 SELECT path, 'D' AS col, options, 'range' AS source, 'Categorias!$A:$A' AS source_ref FROM k UNION ALL SELECT path, 'E', 'S;L', 'inline', NULL FROM k""")
 def list_columns(spark, d: str) -> DataFrame:
     """The lists of the parts' workbooks: one read from another sheet, without its header, and one in the validation itself."""
-    books = _books(spark, d)
-    cells = workbook.cells(books)
+    books = stored(_books(spark, d))
+    cells = stored(workbook.cells(books))
     headers = spark.createDataFrame([("C", "Descrição"), ("D", "Categoria"), ("E", "Tamanho")], "col string, header string")
     headers = books.select("path").join(F.broadcast(headers))
     found = profile.list_columns(cells, workbook.validations(books), headers, ["path"], 13)
@@ -386,16 +386,16 @@ def list_columns(spark, d: str) -> DataFrame:
 @_query(f"""WITH {_BLOCKS}, u AS (SELECT path, upper(p_name) AS a, upper(p_type) AS b, min(r) AS r FROM p WHERE r < 73 GROUP BY ALL)
 SELECT path, CAST(least(count(*), 30) AS INT) AS n_examples, (SELECT p_name || '/' || p_type FROM p WHERE p.path = u.path AND p.r = 13) AS first_example FROM u GROUP BY path""")
 def list_examples(spark, d: str) -> DataFrame:
-    books = _books(spark, d)
+    books = stored(_books(spark, d))
     headers = books.select("path", F.lit("D").alias("col"), F.lit("Categoria").alias("header"))
-    found = profile.list_columns(workbook.cells(books), workbook.validations(books), headers, ["path"], 13).where("col = 'D'")
+    found = profile.list_columns(stored(workbook.cells(books)), stored(workbook.validations(books)), headers, ["path"], 13).where("col = 'D'")
     first = F.col("examples")[0]
     return found.select("path", F.size("examples").alias("n_examples"), F.concat_ws("/", first["context"], first["option"]).alias("first_example"))
 
 
 @_query(f"""WITH {_BLOCKS} SELECT path, string_agg(p_type, ';' ORDER BY r) AS samples FROM p WHERE r < 21 GROUP BY path""")
 def latest_samples(spark, d: str) -> DataFrame:
-    return profile.latest_samples(workbook.cells(_books(spark, d)), ["path"], "D", 13).select("path", F.array_join("samples", ";").alias("samples"))
+    return profile.latest_samples(stored(workbook.cells(_books(spark, d))), ["path"], "D", 13).select("path", F.array_join("samples", ";").alias("samples"))
 
 
 # --- the cascade ---

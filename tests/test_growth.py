@@ -62,6 +62,12 @@ def test_patterns_of_a_page_line_are_matched_once_each(spark):
     assert optimized(entries).count("[\\d.]+,\\d{2}") == 6  # whether it is an entry, and five parts
 
 
+@pytest.mark.parametrize("query", ["list_examples", "list_columns"])
+def test_workbooks_are_made_and_unpacked_once(spark, query):
+    made = optimized(profile_queries.QUERIES[query](spark, SF))
+    assert "FlatMapGroupsInPandas" not in made and "MapInArrow" not in made
+
+
 def reference(day, month, year):
     if day is None or not (1 <= month <= 12 and 1 <= day <= 31):
         return None
