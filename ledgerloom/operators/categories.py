@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import money, text
+from ..functions.steps import apart
 
 # The default categories and the flow class of each, in order.
 DEFAULT = (
@@ -76,7 +77,8 @@ def category_history(cells: DataFrame, by: list[str], first_row: int, descriptio
     at = lambda letter: F.max(F.when(F.col("col") == letter, F.struct("kind", "value")))
     rows = own.groupBy(*by, "sheet", "row").agg(at(description).alias("d"), at(category).alias("c"), at(money_in).alias("i"), at(money_out).alias("o"))
     rows = rows.where("trim(coalesce(c.value, '')) <> '' AND trim(coalesce(d.value, '')) <> ''")
-    rows = rows.withColumns({"_i": _cents("i"), "_o": _cents("o")}).where("_i > 0 OR _o > 0")
+    # a step each: one method of both would be beyond what the JVM compiles
+    rows = apart(apart(rows, {"_i": _cents("i")}), {"_o": _cents("o")}).where("_i > 0 OR _o > 0")
     return rows.select(*by, "sheet", F.col("row").alias("pos"), F.col("d.value").alias("description"), F.col("c.value").alias("category"), F.when(F.col("_o") > 0, "out").otherwise("in").alias("flow"))
 
 

@@ -55,8 +55,9 @@ def sheet_categories(spark, d: str) -> DataFrame:
 def _categorised(spark, d: str) -> DataFrame:
     """The orders' sheets with a category on every row whose number is not divisible by 3."""
     cells = _cells(spark, d)
-    named = cells.where("col = 'C' AND row % 3 <> 0").withColumns({"col": F.lit("D"), "value": F.concat(F.lit("Cat "), "value")})
-    return cells.unionByName(named)
+    own = F.struct("col", "value")
+    named = F.when((F.col("col") == "C") & (F.col("row") % 3 != 0), F.array(own, F.struct(F.lit("D").alias("col"), F.concat(F.lit("Cat "), "value").alias("value"))))
+    return cells.select(*[c for c in cells.columns if c not in ("col", "value")], F.inline(F.coalesce(named, F.array(own))))
 
 
 _SHEET_ROWS = f"SELECT account_id AS sheet, CAST(12 + row_number() OVER (PARTITION BY account_id ORDER BY source_order) AS INT) AS pos, * FROM ({ORDERS})"
