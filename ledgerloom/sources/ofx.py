@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..functions.steps import held, spread, then
+from ..functions.steps import apart, held, spread, then
 from ..operators import proof
 
 
@@ -31,8 +31,8 @@ def blocks(texts: DataFrame) -> DataFrame:
     # a statement's blocks are the work of many tasks
     rows = files.select("*", F.posexplode("_blocks").alias("block_no", "block")).drop("_blocks")
     rows = spread(proof.in_segments(rows, "block_no"), "path", "_segment").drop("_segment")
-    rows = then(rows, {f"_{t}": tag(F.col("block"), t) for t in ("DTPOSTED", "TRNAMT", "TRNTYPE", "MEMO", "NAME")})
-    rows = then(rows, {"_d": dates.parse_compact(F.col("_DTPOSTED")), "_v": money.parse_ofx(F.col("_TRNAMT")), "kind": F.upper("_TRNTYPE"), "memo": F.coalesce(F.nullif("_MEMO", F.lit("")), F.col("_NAME"))})
+    rows = apart(rows, {f"_{t}": tag(F.col("block"), t) for t in ("DTPOSTED", "TRNAMT", "TRNTYPE", "MEMO", "NAME")})
+    rows = apart(rows, {"_d": dates.parse_compact(F.col("_DTPOSTED")), "_v": money.parse_ofx(F.col("_TRNAMT")), "kind": F.upper("_TRNTYPE"), "memo": F.coalesce(F.nullif("_MEMO", F.lit("")), F.col("_NAME"))})
     rows = rows.drop("_DTPOSTED", "_TRNAMT", "_TRNTYPE", "_MEMO", "_NAME")
     cents = F.col("_v.cents")
     unread = F.when(F.col("_d").isNull(), "date").when(F.col("_v.status") != "ok", "value").when(((F.col("kind") == "CREDIT") & (cents < 0)) | ((F.col("kind") == "DEBIT") & (cents >= 0)), "direction")

@@ -68,6 +68,12 @@ def test_workbooks_are_made_and_unpacked_once(spark, query):
     assert "FlatMapGroupsInPandas" not in made and "MapInArrow" not in made
 
 
+def test_digits_of_a_date_are_looked_for_once(spark):
+    rows = spark.createDataFrame([("x",)], "x string")
+    for parse in (dates.parse_br, dates.parse_loose, dates.parse_compact):
+        assert optimized(rows.select(parse(rows.x).alias("d")).where("d.y > 0")).count("regexp_extract") <= 2, parse  # the filter's copy and its own
+
+
 def reference(day, month, year):
     if day is None or not (1 <= month <= 12 and 1 <= day <= 31):
         return None
@@ -101,3 +107,11 @@ def test_dates_of_odd_texts(spark):
     for g in got:
         assert (told(g.br), told(g.loose), told(g.compact)) == (br(g.x), loose(g.x), compact(g.x)), g
         assert g.reads == (g.loose is not None), g
+
+
+def test_tags_of_a_block_are_read_once(spark):
+    assert queries.ofx is ofx
+    body = "OFXHEADER:100\n<OFX><BANKTRANLIST><STMTTRN><TRNTYPE>DEBIT<DTPOSTED>20260230<TRNAMT>-1.00<MEMO>Ana - Pix</STMTTRN></BANKTRANLIST></OFX>"
+    rows = ofx.blocks(spark.createDataFrame([("p", body)], "path string, text string"))
+    made = ofx.transactions(rows)
+    assert optimized(made).count("<DTPOSTED>") == 1 and made.count() == 1
