@@ -380,7 +380,7 @@ def list_columns(spark, d: str) -> DataFrame:
     cells = stored(workbook.cells(books))
     headers = spark.createDataFrame([("C", "Descrição"), ("D", "Categoria"), ("E", "Tamanho")], "col string, header string")
     headers = books.select("path").join(F.broadcast(headers))
-    found = profile.list_columns(cells, workbook.validations(books), headers, ["path"], 13)
+    found = profile.list_columns(cells, stored(workbook.validations(books)), headers, ["path"], 13)
     return found.select("path", "col", F.array_join("options", ";").alias("options"), "source", "source_ref")
 
 
