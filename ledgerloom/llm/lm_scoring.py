@@ -11,8 +11,9 @@ text, + sum of log (c+1)/(N_class+V_class+1). Its tables have a fixed size whate
    so no bucket is hot.)
 2. A bucket has all occurrences of its words: it counts them over the training documents, and sends back to each batch
    the sums of log10(c+1) of its documents. N and V add up over the buckets.
-3. Baum-Welch: a start from a bounded sample, then rounds over all training documents, each text one sequence. Each task returns expected counts of
-   states and classes, Spark adds them up, and the driver, which holds only the model, re-estimates it.
+3. Baum-Welch over all training documents, each text one sequence. It starts from classes clustered by what stands before and after
+   them, counted over all of these documents, too. Each task returns expected counts of states and classes, Spark adds them up, and the
+   driver, which holds only the model, re-estimates it. No count, class or parameter comes from a sample.
 4. Each batch meets its sums, and its documents are scored.
 
 Defined results: a null or empty text is its end alone; a very long one is one sequence. A null doc_id counts as training. Rows with
@@ -33,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_chunk, chunks, held_out, in_share, materialise, partitions_for, read, release, small_batches
+from .shared import by_chunk, chunks, held_out, materialise, partitions_for, read, release, small_batches
 from .words import MIX, Words, mixed, range_hashes, words_of
 
 #: Frequent words with a class of their own, and classes of the rest.
 FREQUENT, ENDINGS = 8192, 1023
-STATES, ROUNDS, SAMPLE_ROUNDS = 8, 2, 15
-#: The sample that starts the model: so many training documents; of a longer text a stretch of so many characters.
-FIT_DOCS, FIT_CHARS = 1500, 10_000
+STATES, ROUNDS = 8, 2
+#: Bins into which the neighbours of a class are counted: of one class each, and of all others; rounds of clustering by these counts, and tries.
+OWN_BINS, OTHER_BINS, CLUSTER_ROUNDS, TRIES = 40, 8, 15, 8
 END = FREQUENT + ENDINGS
 CLASSES = END + 1
 _BUCKET = 8 << 20
@@ -307,15 +308,81 @@ def _with_ends(kinds: np.ndarray, size: np.ndarray, train: np.ndarray) -> tuple[
     return np.insert(kinds[at].astype(np.int64), np.cumsum(n), END), n + 1
 
 
-def start_model(texts: list[str], frequent: np.ndarray, rounds: int = SAMPLE_ROUNDS) -> Markov:
-    model = untaught()
-    if not texts:
-        return model
-    words = words_of(pa.array(texts, pa.string()))
-    kinds, size = _with_ends(classes_of(*lowered(words), frequent), words.counts(), np.ones(len(texts), bool))
+def bins_of(counts: np.ndarray) -> np.ndarray:
+    """The bin that each class is counted in as a neighbour of others: one each for the end and the most counted of the frequent words (counts: of
+    these), some for all others together."""
+    bins = OWN_BINS + (mixed((np.arange(CLASSES).astype(np.uint64) + np.uint64(1)) * MIX) % np.uint64(OTHER_BINS)).astype(np.int64)
+    top = np.argsort(-counts, kind="stable")[: OWN_BINS - 1]
+    bins[top] = np.arange(1, len(top) + 1)
+    bins[END] = 0
+    return bins
+
+
+def neighbours(kinds: np.ndarray, size: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """For each class: how often a class of each bin stands before it, and after it, within a sequence."""
+    inner = np.ones(max(0, len(kinds) - 1), bool)
+    inner[np.cumsum(size)[:-1] - 1] = False
+    before, after, width = kinds[:-1][inner], kinds[1:][inner], OWN_BINS + OTHER_BINS
+    left = np.bincount(after * width + bins[before], minlength=CLASSES * width).reshape(CLASSES, width)
+    right = np.bincount(before * width + bins[after], minlength=CLASSES * width).reshape(CLASSES, width)
+    return np.concatenate([left, right], 1)
+
+
+def _meet(batches: Iterator[pa.RecordBatch], bins: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((CLASSES, 2 * (OWN_BINS + OTHER_BINS)), np.int64)
+    for batch in batches:
+        for data, held in zip(batch.column("data").to_pylist(), batch.column("held").to_pylist()):
+            size, kinds = _unpack(data)
+            total += neighbours(*_with_ends(kinds, size, ~np.array(held, bool)), bins)
+        release()
+    at = np.flatnonzero(total.sum(1))
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(x) for x in total[at].T)], ["row", *(f"c{j}" for j in range(total.shape[1]))])
+
+
+def _near(points: np.ndarray, weight: np.ndarray, rounds: int, states: int, seed: int) -> tuple[float, np.ndarray]:
+    """The cluster of each point, by weighted means, and how far the points are from their means."""
+    r = np.random.default_rng(seed)
+    away = lambda c: (points**2).sum(1)[:, None] - 2 * points @ c.T + (c**2).sum(1)
+    centres = points[[int(weight.argmax())]]
+    while len(centres) < states:  # far from the centres so far, by weight
+        far = np.maximum(away(centres).min(1), 0) * weight
+        centres = np.concatenate([centres, points[[int(r.choice(len(points), p=far / far.sum())) if far.sum() else 0]]])
+    near = away(centres).argmin(1)
     for _ in range(rounds):
-        model = improved(*expected(model, kinds, size)[:3])
-    return model
+        for j in range(states):
+            if (near == j).any():
+                centres[j] = np.average(points[near == j], 0, weight[near == j])
+        near = away(centres).argmin(1)
+    return float(away(centres).min(1) @ weight), near
+
+
+def clustered(met: np.ndarray, rounds: int = CLUSTER_ROUNDS, states: int = STATES, seed: int = 3) -> Markov:
+    """A model whose states lean to clusters of classes with like neighbours (met: as by neighbours, of all training documents)."""
+    width = met.shape[1] // 2
+    sides = met[:, :width].astype(float), met[:, width:].astype(float)
+    often = np.maximum(sides[0].sum(1), sides[1].sum(1))
+    seen = np.flatnonzero(often)
+    model = untaught(states)
+    if not len(seen):
+        return model
+    shares = [(x[seen] + 5 * x.sum(0) / x.sum()) / (x[seen].sum(1, keepdims=True) + 5) for x in sides]
+    near = min((_near(np.sqrt(np.concatenate(shares, 1)), often[seen], rounds, states, seed + i) for i in range(TRIES)), key=lambda x: x[0])[1]
+    lean = np.full((len(seen), states), 0.2 / states)
+    lean[np.arange(len(seen)), near] += 0.8
+    emits = np.zeros((CLASSES, states))
+    emits[seen] = lean * often[seen][:, None]
+    return improved(emits.sum(0), emits.sum(0)[:, None] * model.turn, emits)
+
+
+def start_model(encoded: DataFrame, frequent: np.ndarray, rounds: int = CLUSTER_ROUNDS) -> Markov:
+    """The clusters of classes by their neighbours in all training documents: at most CLASSES rows for the driver. (frequent: the words' classes.)"""
+    counts = _added(encoded.where("bucket = -2").select("data"), 1, FREQUENT)[0][: max(1, len(frequent))]
+    bins, names = bins_of(counts), [f"c{j}" for j in range(2 * (OWN_BINS + OTHER_BINS))]
+    parts = encoded.where("bucket = -1").select("held", "data").mapInArrow(lambda it: _meet(it, bins), "row int, " + ", ".join(f"{x} long" for x in names))
+    found = parts.groupBy("row").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+    met = np.zeros((CLASSES, len(names)), np.int64)
+    met[found["row"].to_numpy(np.int64)] = found[names].to_numpy(np.int64)
+    return clustered(met, rounds)
 
 
 def _expect(batches: Iterator[pa.RecordBatch], model: Markov) -> Iterator[pa.RecordBatch]:
@@ -400,9 +467,6 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
     training = rows.where(~F.col("held"))
     frequent = frequent_of(training)
     n_docs = training.count()
-    hashed = training.where("text is not null").select("text", F.xxhash64("ids", "text").alias("h")).where(in_share(n_docs, 1.2 * FIT_DOCS, "h"))
-    at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - FIT_CHARS + 1)).cast("int") + 1
-    sample = [r.text for r in hashed.select("h", F.col("text").substr(at, F.lit(FIT_CHARS)).alias("text")).orderBy("h").limit(FIT_DOCS).collect()]
     parts, buckets = partitions_for(rows, "text", 0.5), partitions_for(rows, "text", 0.5, _BUCKET)
     encoded = materialise(rows.mapInArrow(lambda it: _encode(it, frequent, buckets), _ENCODED))
     words = encoded.where("bucket >= 0").select("batch", "bucket", "n", "data")
@@ -412,7 +476,7 @@ def score_texts(docs: DataFrame, held) -> DataFrame:
     total, different = _added(sums.where("batch = -1").select("data"), 2, CLASSES)
     total[:FREQUENT], different[:FREQUENT] = counts, counts > 0
     total[END], different[END] = n_docs, int(n_docs > 0)
-    model = taught(encoded, start_model(sample, frequent))
+    model = taught(encoded, start_model(encoded, frequent))
     meet = encoded.where("bucket = -1").select("batch", F.lit(0).alias("k"), "ids", "held", "data")
     meet = meet.unionByName(sums.where("batch >= 0").select("batch", F.lit(1).alias("k"), "data"), allowMissingColumns=True)
     met = meet.repartition("batch").sortWithinPartitions("batch", "k")
