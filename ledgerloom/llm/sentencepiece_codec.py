@@ -6,7 +6,7 @@ all pass one boundary, the ids up to it are committed. A character that no piece
 the unknown piece) at ten below the least score. Of equal totals the path with the longer last piece wins.
 
 Before the coder stands a memory: where no piece has a blank after another character, every path has a boundary before each
-run of blanks, so what lies between two such boundaries goes through the coder once per task and is remembered (in a bounded
+run of blanks, so what lies between two such boundaries goes through the coder once per Python worker and is remembered (in a bounded
 memory, by a 64-bit hash of its bytes).
 
 Text is taken as it is: a blank is the mark U+2581, and one is put in front. So decoding gives back the text exactly, but
@@ -19,6 +19,7 @@ any case of letters) are replaced. An empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,8 +34,10 @@ from .words import range_hashes, take_ranges, texts_of
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Segments that a task remembers.
+#: Segments that a Python worker remembers.
 MEMORY = 600_000
+#: Characters of a text that goes without the coder's window.
+SHORT = 256
 #: Characters that a coder is fed at a time.
 _SLICE = 4096
 
@@ -59,6 +62,10 @@ class Pieces:
     def __getstate__(self):
         return self.__dict__ | {"trie": None}  # each task builds its own
 
+    def name(self) -> str:
+        """A digest of all that an encoding depends on."""
+        return hashlib.sha256(repr((sorted(self.score.items()), sorted(self.ids.items()), self.bytes_, self.unknown)).encode()).hexdigest()
+
     def ids_of(self, piece: str) -> list[int]:
         """Of one piece, or of a character that no piece covers."""
         if (i := self.ids.get(piece)) is not None:
@@ -186,8 +193,39 @@ class Coder:
         self.at, self.done = self.at - cut, 0
 
 
+def _short(text: str, pieces: Pieces) -> list[int]:
+    """The coder's answer for a text that needs no window: all boundaries are held, the path is read from its end."""
+    root, score, least, n = pieces.root(), pieces.score, pieces.least, len(text)
+    best, back = [-1e300] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for j in range(n):
+        here, node, e = best[j], root, j
+        while e < n and (found := node.get(text[e])) is not None:
+            node, s = found
+            e += 1
+            if s is not None and here + s > best[e]:
+                best[e], back[e] = here + s, j
+        if here + least > best[j + 1] and text[j] not in score:
+            best[j + 1], back[j + 1] = here + least, j
+    ids, parts, e = pieces.ids, [], n
+    while e:
+        j = back[e]
+        parts.append(text[j:e])
+        e = j
+    out: list[int] = []
+    for piece in reversed(parts):
+        i = ids.get(piece)
+        if i is None:
+            out += pieces.ids_of(piece)
+        else:
+            out.append(i)
+    return out
+
+
 def viterbi(text: str, pieces: Pieces) -> list[int]:
     """Ids of the best segmentation of a text that blanks are marked in."""
+    if len(text) <= SHORT:
+        return _short(text, pieces)
     coder, out = Coder(pieces), []
     for lo in range(0, len(text), _SLICE):
         out += coder.feed(text[lo : lo + _SLICE])
@@ -231,13 +269,25 @@ def encode_column(column: pa.Array, pieces: Pieces, memory: dict[int, list[int]]
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values))
 
 
+#: What this worker remembers of the pieces that it used last: tasks come and go, the worker stays.
+_KEPT: dict[str, tuple[Pieces, dict[int, list[int]]]] = {}
+
+
+def kept(pieces: Pieces, name: str) -> tuple[Pieces, dict[int, list[int]]]:
+    """These pieces, with their trie, and the memory of this worker for them; name tells them from others."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = pieces, {}
+    return _KEPT[name]
+
+
 def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
     """docs with ids."""
     rows = others(docs, "ids")
-    memory: dict[int, list[int]] = {}  # each task has its own
+    name = pieces.name()
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, encode_column(batch.column("text"), pieces, memory)], [*batch.schema.names, "ids"])
+        return pa.RecordBatch.from_arrays([*batch.columns, encode_column(batch.column("text"), *kept(pieces, name))], [*batch.schema.names, "ids"])
 
     return by_chunk(rows, each, schema_with(rows, "ids array<int>"))
 
